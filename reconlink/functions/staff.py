@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from reconlink.functions.names import name_key
 from reconlink.functions.spans import all_spans, overlaps
@@ -78,7 +79,7 @@ def rank_key(value) -> Column:
     return F.regexp_replace(lowered, "[^а-я0-9]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nearest_rank(keys: pd.Series) -> pd.Series:
     long_keys = [k for k in RANKS if len(k) >= 6]
     seen: dict[str, str | None] = {}
