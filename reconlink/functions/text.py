@@ -172,12 +172,18 @@ def truncate_tail(value, limit: int) -> Column:
     return F.when(size <= limit, whole).otherwise(F.concat(F.substring(whole, 1, limit), note))
 
 
-def head_tail(value, limit: int, keep: int, marker: str = "\n...\n") -> Column:
-    """Head and tail of ``keep`` characters each around ``marker`` when over ``limit``."""
-    whole = text(value)
-    return F.when(F.length(whole) <= limit, whole).otherwise(
-        F.concat(F.left(whole, F.lit(keep)), F.lit(marker), F.right(whole, F.lit(keep)))
-    )
+def head_tail(value, max_bytes: int = 2 * 1024 * 1024) -> Column:
+    """Head and tail of half the limit each around a note when the text is over ``max_bytes``."""
+    whole = F.coalesce(text(value), F.lit(""))
+    raw, half = F.encode(whole, "UTF-8"), max_bytes // 2
+
+    def readable(part: Column) -> Column:
+        # a character cut in two at the border is dropped
+        return F.regexp_replace(F.make_valid_utf8(part.cast("string")), "^\ufffd+|\ufffd+$", "")
+
+    note = F.concat(F.lit("\n\n... [TRUNCATED: original size "), F.octet_length(whole).cast("string"), F.lit(" bytes] ...\n\n"))
+    cut = F.concat(readable(F.substring(raw, 1, half)), note, readable(F.substring(raw, -half, half)))
+    return F.when(F.octet_length(whole) <= max_bytes, whole).otherwise(cut)
 
 
 def source_hash(name, aliases) -> Column:
