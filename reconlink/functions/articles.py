@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from reconlink.functions.spans import all_spans, overlaps
-from reconlink.functions.text import NULL_LITERALS, fold, text
+from reconlink.functions.text import NULL_LITERALS, fold, let, text
 
 # The spellings of "article" and "part".
 ARTICLE_MARK = r"(?:ст\.?|статья|статьи|статье|статью)"
@@ -44,11 +44,9 @@ def article_mentions(value) -> Column:
         _found(value, ARTICLE_THEN_PART, 1, 2),
         _found(value, PART_OF_ARTICLE, 2, 1),
     )
-    once = F.filter(
-        paired,
-        lambda m, i: ~F.exists(F.slice(paired, 1, i), lambda earlier: overlaps(earlier, m)),
-    )
-    return F.when(F.size(once) > 0, once).otherwise(_found(value, ARTICLE_ONLY, 1, None))
+    once = let(paired, lambda every: F.filter(
+        every, lambda m, i: ~F.exists(F.slice(every, 1, i), lambda earlier: overlaps(earlier, m))))
+    return let(once, lambda found: F.when(F.size(found) > 0, found).otherwise(_found(value, ARTICLE_ONLY, 1, None)))
 
 
 def article_of(value) -> Column:

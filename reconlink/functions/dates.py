@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from reconlink.functions.spans import all_spans, first_span, overlaps
-from reconlink.functions.text import date_fold, text
+from reconlink.functions.text import date_fold, let, text
 
 # Month names and the patterns that define a date or a time.
 MONTHS = (
@@ -85,9 +85,12 @@ def time_mention(value, date_span: Column | None = None) -> Column:
     neither overlaps the date nor follows a law article; ':' before '.', then
     the nearest to the date, then the earliest.
     """
-    plain = date_fold(F.coalesce(text(value), F.lit("")))
     spot = F.lit(None).cast("struct<start:int,end:int>") if date_span is None else date_span
+    folded = date_fold(F.coalesce(text(value), F.lit("")))
+    return let(F.struct(folded.alias("plain"), spot.alias("spot")), lambda p: _time_in(p["plain"], p["spot"]))
+
 
+def _time_in(plain: Column, spot: Column) -> Column:
     def bare(match: Column) -> Column:
         parts = _clock(match["text"], TIME_BARE, 3)
         separator = F.when(F.regexp_extract(match["text"], TIME_BARE, 2) == ":", 0).otherwise(1)
@@ -109,14 +112,10 @@ def time_mention(value, date_span: Column | None = None) -> Column:
     candidates = F.filter(
         F.transform(F.filter(all_spans(plain, TIME_BARE), allowed), bare), lambda c: c["parts"].isNotNull()
     )
-    best = F.array_min(candidates)
-    return F.coalesce(
-        _first_clock(plain, TIME_CLOCK),
-        _first_clock(plain, TIME_HOURS),
-        F.when(best.isNotNull(), F.struct(
-            best["parts"]["hour"].alias("hour"), best["parts"]["minute"].alias("minute"),
-            best["start"].alias("start"), best["end"].alias("end"))),
-    )
+    nearest = let(F.array_min(candidates), lambda best: F.when(best.isNotNull(), F.struct(
+        best["parts"]["hour"].alias("hour"), best["parts"]["minute"].alias("minute"),
+        best["start"].alias("start"), best["end"].alias("end"))))
+    return F.coalesce(_first_clock(plain, TIME_CLOCK), _first_clock(plain, TIME_HOURS), nearest)
 
 
 def with_date_time(df, text_col: str = "text"):

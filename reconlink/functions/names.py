@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reconlink.functions.similarity import ratio, ratio_bound
 from reconlink.functions.spans import all_spans, merge_longer
-from reconlink.functions.text import text
+from reconlink.functions.text import let, text
 
 # Words and patterns that decide what a name is.
 PATRONYMIC_SUFFIXES = ("кызы", "оглу", "оглы", "огли")
@@ -297,8 +297,9 @@ def best_per_name(people: Column) -> Column:
     keyed = F.transform(people, lambda p, i: F.struct(
         person_key(p["last"], p["first"], p["middle"]).alias("k"),
         birth_rank(p).alias("r"), F.length(p["full_name"]).alias("n"), (-i).alias("i"), p.alias("p")))
-    keys = F.array_distinct(F.transform(keyed, lambda x: x["k"]))
-    return F.transform(keys, lambda k: F.array_max(F.filter(keyed, lambda x: x["k"] == k))["p"])
+    return let(keyed, lambda every: F.transform(
+        F.array_distinct(F.transform(every, lambda x: x["k"])),
+        lambda k: F.array_max(F.filter(every, lambda x: x["k"] == k))["p"]))
 
 
 def with_lexicon(people: DataFrame, lexicon: DataFrame) -> DataFrame:

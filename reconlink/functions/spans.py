@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from reconlink.functions.text import text
+from reconlink.functions.text import let, text
 
 _OPEN, _CLOSE = "\u0001", "\u0002"
 SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
@@ -50,35 +50,40 @@ def span_length(span: Column) -> Column:
 
 def greedy_spans(spans) -> Column:
     """Non-overlapping picks: earliest start first, longer first, skip what starts inside the last pick."""
-    items = text(spans)
-    ordered = F.array_sort(
-        items,
-        lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
-    )
+
+    def ordered(items: Column) -> Column:
+        return F.array_sort(
+            items,
+            lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
+        )
 
     def step(kept: Column, span: Column) -> Column:
         end = F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0))
         return F.when(span["start"] >= end, F.array_append(kept, span)).otherwise(kept)
 
-    return F.aggregate(ordered, F.slice(items, 1, 0), step)
+    return let(text(spans), lambda items: F.aggregate(ordered(items), F.slice(items, 1, 0), step))
 
 
 def merge_longer(primary, secondary) -> Column:
     """Add ``secondary`` spans to ``primary``: on overlap the longer one stays, a tie keeps the earlier."""
 
     def step(kept: Column, span: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: overlaps(k, span)), True).cast("int")
-        other = F.try_element_at(kept, F.nullif(at, F.lit(0)))
-        longer = span_length(span) > span_length(other)
-        swapped = F.transform(kept, lambda k, i: F.when(i == at - 1, span).otherwise(k))
-        return F.when(at == 0, F.array_append(kept, span)).when(longer, swapped).otherwise(kept)
+        def place(at: Column) -> Column:
+            longer = span_length(span) > span_length(F.try_element_at(kept, F.nullif(at, F.lit(0))))
+            swapped = F.transform(kept, lambda k, i: F.when(i == at - 1, span).otherwise(k))
+            return F.when(at == 0, F.array_append(kept, span)).when(longer, swapped).otherwise(kept)
+
+        return let(F.array_position(F.transform(kept, lambda k: overlaps(k, span)), True).cast("int"), place)
 
     return F.aggregate(text(secondary), text(primary), step)
 
 
 def drop_overlapping(weak, strong) -> Column:
     """The weak spans that overlap no strong span."""
-    return F.filter(text(weak), lambda w: ~F.exists(text(strong), lambda s: overlaps(w, s)))
+    return let(
+        F.struct(text(weak).alias("weak"), text(strong).alias("strong")),
+        lambda p: F.filter(p["weak"], lambda w: ~F.exists(p["strong"], lambda s: overlaps(w, s))),
+    )
 
 
 def clip_to_cells(spans, cells, joiner: str = " ") -> Column:
@@ -95,10 +100,9 @@ def clip_to_cells(spans, cells, joiner: str = " ") -> Column:
 
     ranges = F.aggregate(text(cells), state, place, lambda s: s["ranges"])
 
-    def clipped(cell: Column, i: Column) -> Column:
-        hits = F.filter(text(spans), lambda s: overlaps(s, cell))
+    def clipped(items: Column, cell: Column, i: Column) -> Column:
         return F.transform(
-            hits,
+            F.filter(items, lambda s: overlaps(s, cell)),
             lambda s: F.struct(
                 i.cast("int").alias("cell"),
                 (F.greatest(s["start"], cell["start"]) - cell["start"]).alias("start"),
@@ -106,7 +110,7 @@ def clip_to_cells(spans, cells, joiner: str = " ") -> Column:
             ),
         )
 
-    return F.flatten(F.transform(ranges, clipped))
+    return let(text(spans), lambda items: F.flatten(F.transform(ranges, lambda c, i: clipped(items, c, i))))
 
 
 def matches_as(value, pattern: str, build: Callable[[Column], Column]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Characters and words the folds must treat as given.
@@ -29,6 +31,11 @@ def text(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row, however often ``body`` names it (also inside lambdas)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def literal_pattern(value: str) -> str:
     """A pattern matching ``value`` as is."""
     return "\\Q" + value.replace("\\E", "\\E\\\\E\\Q") + "\\E"
@@ -98,13 +105,21 @@ def jaccard(left, right) -> Column:
     )
 
 
-def anchor_similarity(anchor, line) -> Column:
+def folded_similarity(a, b, a_tokens, b_tokens) -> Column:
     """1 when one folded text holds the other, else the Jaccard of their tokens; 0 when one is empty."""
-    a, b = anchor_fold(anchor), anchor_fold(line)
+    left, right = text(a), text(b)
     return (
-        F.when((a == "") | (b == ""), F.lit(0.0))
-        .when(F.contains(b, a) | F.contains(a, b), F.lit(1.0))
-        .otherwise(jaccard(tokens(a), tokens(b)))
+        F.when((left == "") | (right == ""), F.lit(0.0))
+        .when(F.contains(right, left) | F.contains(left, right), F.lit(1.0))
+        .otherwise(jaccard(a_tokens, b_tokens))
+    )
+
+
+def anchor_similarity(anchor, line) -> Column:
+    """``folded_similarity`` of two raw texts."""
+    return let(
+        F.struct(anchor_fold(anchor).alias("a"), anchor_fold(line).alias("b")),
+        lambda p: folded_similarity(p["a"], p["b"], tokens(p["a"]), tokens(p["b"])),
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from reconlink import scale
 from reconlink.config import DEFAULTS, Thresholds
 from reconlink.functions import names as N
 
@@ -134,7 +135,8 @@ def link_persons(
     """
     listed = reenter_staff(people, pairs, registry, fold)
     known = registry.withColumn("birth", N.known_birth("birth"))
-    placed = assign(link_candidates(listed, registry_rows(registry), t, fold))
+    # read four times below
+    placed = scale.cut(assign(link_candidates(listed, registry_rows(registry), t, fold)))
 
     key = [fold(F.col(c)).alias(f"k_{c}") for c in ("last", "first", "middle")]
     keys = ["k_last", "k_first", "k_middle"]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reconlink import scale
 from reconlink.config import DEFAULTS, Thresholds
 from reconlink.functions.spans import all_spans
-from reconlink.functions.text import anchor_details, anchor_similarity, literal_pattern, squeeze, truncate_tail, without_markers
+from reconlink.functions.text import anchor_details, anchor_fold, folded_similarity, literal_pattern, squeeze, tokens, truncate_tail, without_markers
 from reconlink.operators.relops import merge_ranges, only_latest_active, top_per
 
 
@@ -106,9 +106,15 @@ def anchor_scores(elements: DataFrame, doc_templates: DataFrame, anchors: DataFr
     sides = anchors.select("template_id", "seg", F.explode(F.array(
         F.struct(F.lit("start").alias("side"), F.col("start_text").alias("anchor"), limit("weak_start").alias("least")),
         F.struct(F.lit("end").alias("side"), F.col("end_text").alias("anchor"), limit("weak_end").alias("least")))).alias("a"))
-    sides = sides.select("template_id", "seg", "a.*").filter("anchor IS NOT NULL AND anchor <> ''")
-    lines = elements.select("doc_id", "idx", "text").join(doc_templates, "doc_id")
-    scored = lines.join(sides, "template_id").withColumn("score", anchor_similarity("anchor", "text"))
+    # folded once per line and anchor, not once per pair
+    sides = sides.select("template_id", "seg", "a.side", anchor_fold("a.anchor").alias("_a"), "a.least").filter("_a <> ''").withColumn(
+        "_at", tokens("_a"))
+    lines = elements.join(doc_templates, "doc_id").select("template_id", "doc_id", "idx", anchor_fold("text").alias("_l")).filter("_l <> ''")
+    lines = lines.withColumn("_lt", tokens("_l"))
+    small, large = F.least(F.size("_at"), F.size("_lt")), F.greatest(F.size("_at"), F.size("_lt"))
+    # the sizes alone bound the token similarity
+    possible = F.contains(F.col("_l"), F.col("_a")) | F.contains(F.col("_a"), F.col("_l")) | (small >= F.col("least") * large)
+    scored = lines.join(sides, "template_id").filter(possible).withColumn("score", folded_similarity("_a", "_l", "_at", "_lt"))
     return scored.filter(F.col("score") >= F.col("least")).select("doc_id", "seg", "side", "idx", "score")
 
 

@@ -165,15 +165,22 @@ def anchor_lines(t: Tables) -> DataFrame:
 
 @query("anchor_slices")
 def anchor_slices(t: Tables) -> DataFrame:
-    """Benchmark heads and tails are the anchors of one template; documents that hold them are cut there."""
-    lines = F.split("text", "\n")
-    anchors = t.benchmark.select(
-        F.lit("all").alias("template_id"), F.col("item_id").cast("int").alias("seg"), X.anchor_fold(lines[0]).alias("start_text"),
-        X.anchor_fold(F.element_at(lines, -1)).alias("end_text"), F.lit(False).alias("open_ended"), F.lit(False).alias("weak_start"),
-        F.lit(False).alias("weak_end"), F.lit(0.9).alias("threshold"))
+    """A source's template takes its anchors from the line after the first one of each of its documents' first few segments.
+
+    Every source has one template: the first lines of its smallest document
+    open and close the segments that are looked for in all its documents.
+    """
     elements = E.elements_of_text(t.documents, by="lines").select("doc_id", "idx", "text")
-    hits = SL.anchor_scores(elements, elements.select("doc_id").distinct().withColumn("template_id", F.lit("all")), anchors)
-    return hits.groupBy("doc_id", "side").agg(F.count(F.lit(1)).alias("lines"), F.round(F.max("score"), 6).alias("best"))
+    first = t.documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    model = elements.join(first, "doc_id").filter("idx < 8").withColumn("seg", F.floor(F.col("idx") / 4).cast("int"))
+    side = lambda at: F.max(F.when(F.col("idx") % 4 == at, F.col("text")))
+    anchors = model.groupBy(F.col("source").alias("template_id"), "seg").agg(side(0).alias("start_text"), side(2).alias("end_text")).select(
+        "template_id", "seg", X.anchor_fold("start_text").alias("start_text"), X.anchor_fold("end_text").alias("end_text"),
+        F.lit(False).alias("open_ended"), F.lit(False).alias("weak_start"), F.lit(False).alias("weak_end"), F.lit(0.25).alias("threshold"))
+    wanted = t.documents.select("doc_id", F.col("source").alias("template_id"))
+    kept, summary = SL.slice_documents(elements, wanted, anchors)
+    left = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_lines"))
+    return summary.select("doc_id", "strategy", "segments_total", "segments_applied", "total_elements").join(left, "doc_id", "left").na.fill(0)
 
 
 @query("token_windows_small", """
