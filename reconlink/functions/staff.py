@@ -65,6 +65,11 @@ STAFF_MARKERS = (
     "дежурный", "начальник", "майор", "подполковник", "мичман", "старший", "старший мичман", "ст м н", "ст.м-н",
 )
 CONTEXT_TOKEN = "(?iu)[а-яёa-z-]+"
+RANK_WORDS = (
+    "л-т", "лейтенант", "ст", "старший", "ст.", "кап", "кап.", "капитан", "майор", "подполковник", "полковник", "мичман", "м-н",
+    "ст.м-н", "старшина", "генерал", "адмирал", "контр-адмирал", "капитан-лейтенант", "пр-к", "прапорщик", "ранга",
+)
+RANK_WORD_TOKEN = r"[А-ЯЁа-яё0-9.-]+"
 
 _SHORT = "|".join(r"[\s.\-/\\–—]*".join(r) for r in SHORT_RANKS)
 RANK = rf"(?:{_SHORT}|{FULL_RANK}|[А-ЯЁа-яё]{{6,}})"
@@ -104,6 +109,17 @@ def rank_of(value) -> Column:
     return F.coalesce(exact, _nearest_rank(F.when(exact.isNull() & (F.length(key) >= 6), key)), F.lit(""))
 
 
+def rank_before(value, start: Column) -> Column:
+    """The rank words right before a name, '' when there are none."""
+    left = F.substring(text(value), F.greatest(start - 40, F.lit(0)) + 1, F.least(start, F.lit(40)))
+    spelled = F.trim(F.regexp_extract(left, RANK_BEFORE, 1))
+    words = F.regexp_extract_all(left, F.lit(RANK_WORD_TOKEN), F.lit(0))
+    last = F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))
+    known = sorted({"".join(ch for ch in w if ch.isalnum()) for w in RANK_WORDS})
+    marked = F.translate(F.regexp_replace(F.lower(last), "[^а-яё0-9]", ""), "ё", "е").isin(*known)
+    return F.when(spelled != "", spelled).when(marked, last).otherwise("")
+
+
 def initials(value) -> Column:
     letters = F.regexp_extract_all(text(value), F.lit("(?iu)[А-ЯЁ]"), F.lit(0))
     return F.when(F.size(letters) >= 2, F.concat(letters[0], F.lit("."), letters[1], F.lit("."))).otherwise("")

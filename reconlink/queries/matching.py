@@ -186,7 +186,7 @@ SELECT mention_id, {", ".join(f"count(*) FILTER (stage = '{s}') AS {s}" for s in
 FROM hits GROUP BY mention_id
 """)
 def stage_count_pivot(t: Tables) -> DataFrame:
-    return L.stage_counts(L.climb(mentions(t), registry(t), same_key(t), by_key(t)).hits)
+    return L.stage_counts(L.climb(mentions(t), registry(t), same_key(t), by_key(t)).stages)
 
 
 @query("two_path_lookup", f"""

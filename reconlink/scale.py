@@ -173,6 +173,80 @@ def _micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
+@dataclass(frozen=True)
+class TimeLine:
+    """Right rows with their place on the time line, and position ranges for left times and named windows.
+
+    ``rows``: keys, _pos, _row, _b. ``ranges``: keys, _lt, window, newer, to: the
+    right rows of that window are those with newer < _pos <= to, newest first.
+    """
+
+    keys: tuple[str, ...]
+    rows: DataFrame
+    ranges: DataFrame
+
+    def fetch(self, wanted: DataFrame) -> DataFrame:
+        """``wanted``: keys, any columns, and _r, an array of (newer, to). One row per right row in any of the ranges."""
+        blocks = F.array_distinct(F.flatten(F.transform("_r", lambda r: F.sequence(
+            F.floor(r["newer"] / BLOCK), F.floor((r["to"] - 1) / BLOCK)))))
+        return (
+            wanted.withColumn("_b", F.explode(blocks)).join(self.rows, [*self.keys, "_b"])
+            .filter(F.exists("_r", lambda r: (F.col("_pos") > r["newer"]) & (F.col("_pos") <= r["to"])))
+            .drop("_b", "_r")
+        )
+
+
+BLOCK = 64
+
+
+def time_line(
+    left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str, tie: str, windows: dict[str, tuple[int, int, int]],
+    keys: list[str] | None = None, hot_rows: int = HOT_ROWS, cut_scan: bool = False,
+) -> TimeLine:
+    """Place all right rows and all window borders on one line, by one segmented scan.
+
+    ``windows``: name -> (seconds before, seconds after, limit). However many
+    windows are asked for and however dense the line is, every row and border
+    passes once and no pair of rows is made.
+    """
+    keys = keys or []
+    micro = 1_000_000
+    payload = [c for c in right.columns if c not in keys]
+    ev = right.filter(F.col(right_ts).isNotNull()).withColumn("_rt", _micros(right_ts))
+    pts = left.filter(F.col(left_ts).isNotNull()).select(*keys, _micros(left_ts).alias("_lt")).distinct()
+    packed = F.struct(*payload, "_rt").alias("_row")
+    kind = ev.select(packed).schema[0].dataType
+    largest = max(limit for _, _, limit in windows.values())
+    borders = F.array(*[
+        F.struct((F.col("_lt") + F.lit(shift * micro)).alias("_t"), F.lit(side).alias("_kind"), F.lit(name).alias("window"))
+        for name, (before, after, _) in windows.items() for side, shift in ((0, -before), (2, after))])
+    line = ev.select(
+        *keys, F.col("_rt").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("window"), F.col(tie).alias("_tie"), packed,
+        F.lit(None).cast("long").alias("_lt"),
+    ).unionByName(pts.select(*keys, "_lt", F.explode(borders).alias("_x")).select(
+        *keys, "_x.*", F.lit(None).cast(ev.schema[tie].dataType).alias("_tie"), F.lit(None).cast(kind).alias("_row"), "_lt"))
+    if hot_rows < HOT_ROWS or line.count() > hot_rows:
+        # a row beyond the newest of its own instant is never wanted
+        same = W.partitionBy(*keys, "_t", "_kind", "window", "_lt").orderBy(F.col("_tie").asc())
+        line = line.withColumn("_k", F.row_number().over(same)).filter(F.col("_k") <= largest).drop("_k")
+    # scanned from the future to the past: position 1 is the newest row. At one
+    # instant a window's late border comes first, then the rows, then early borders.
+    spot = segmented_scan(
+        line.withColumns({"_d": -F.col("_t"), "_neg": -F.col("_kind")}), keys, ["_d", "_neg", "_tie"],
+        {"_pos": ("sum", F.when(F.col("_kind") == 1, 1).otherwise(0))}, hot_rows=hot_rows,
+    ).select(*keys, "_kind", "window", "_lt", "_pos", "_row")
+    spot = cut(spot) if cut_scan else spot
+    limit_of = F.create_map(*[F.lit(x) for name, (_, _, limit) in windows.items() for x in (name, limit)])
+    ranges = (
+        spot.filter("_kind <> 1").groupBy(*keys, "_lt", "window")
+        .agg(F.max(F.when(F.col("_kind") == 2, F.col("_pos"))).alias("newer"), F.max(F.when(F.col("_kind") == 0, F.col("_pos"))).alias("to"))
+        .withColumn("to", F.least(F.col("to"), F.col("newer") + F.element_at(limit_of, F.col("window"))))
+        .filter("to > newer")
+    )
+    rows = spot.filter("_kind = 1").select(*keys, "_pos", "_row", F.floor((F.col("_pos") - 1) / BLOCK).alias("_b"))
+    return TimeLine(tuple(keys), rows, ranges)
+
+
 def newest_in_window(
     left: DataFrame,
     right: DataFrame,
@@ -195,18 +269,15 @@ def newest_in_window(
 
     Two exact plans. When no time bucket of the right side holds more than
     ``limit`` rows, a bucket equi join is bounded by itself. Otherwise rows get
-    positions on the time line by a segmented scan, a window becomes a position
-    range, and only the at most ``limit`` newest positions of it are fetched.
+    positions on a ``time_line``, a window becomes a position range, and only
+    the at most ``limit`` newest positions of it are fetched.
     """
     keys = keys or []
     micro = 1_000_000
     span = (before + after) * micro
-    payload = [c for c in right.columns if c not in keys]
     ev = right.filter(F.col(right_ts).isNotNull()).withColumn("_rt", _micros(right_ts))
     pts = left.filter(F.col(left_ts).isNotNull()).select(*keys, _micros(left_ts).alias("_lt")).distinct()
-    bucket = F.floor(F.col("_rt") / F.lit(span)).cast("long")
-    if span == 0:
-        bucket = F.col("_rt")
+    bucket = F.floor(F.col("_rt") / F.lit(span)).cast("long") if span else F.col("_rt")
     fullest = ev.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if fullest <= (limit if bucket_limit is None else bucket_limit):
         buckets = F.array(F.col("_lt")) if span == 0 else F.sequence(
@@ -214,52 +285,11 @@ def newest_in_window(
             F.floor((F.col("_lt") + after * micro) / F.lit(span)).cast("long"),
         )
         found = pts.withColumn("_b", F.explode(buckets)).join(ev.withColumn("_b", bucket), [*keys, "_b"])
-        found = found.filter(
-            F.col("_rt").between(F.col("_lt") - before * micro, F.col("_lt") + after * micro)
-        ).drop("_b")
+        found = found.filter(F.col("_rt").between(F.col("_lt") - before * micro, F.col("_lt") + after * micro)).drop("_b")
+        newest = W.partitionBy(*keys, "_lt").orderBy(F.col("_rt").desc(), F.col(tie).asc())
+        found = found.withColumn("rank_in_window", F.row_number().over(newest)).filter(F.col("rank_in_window") <= limit)
     else:
-        packed = F.struct(*payload, "_rt").alias("_row")
-        empty = F.lit(None).cast(ev.select(packed).schema[0].dataType).alias("_row")
-        no_tie = F.lit(None).cast(ev.schema[tie].dataType).alias("_tie")
-        line = (
-            ev.select(*keys, F.col("_rt").alias("_t"), F.lit(1).alias("_kind"), F.col(tie).alias("_tie"), packed,
-                      F.lit(None).cast("long").alias("_lt"))
-            .unionByName(pts.select(*keys, (F.col("_lt") - before * micro).alias("_t"), F.lit(0).alias("_kind"),
-                                    no_tie, empty, "_lt"))
-            .unionByName(pts.select(*keys, (F.col("_lt") + after * micro).alias("_t"), F.lit(2).alias("_kind"),
-                                    no_tie, empty, "_lt"))
-            # larger position = newer; among equal times the smaller tie is newer
-            .withColumn("_neg", -F.col("_kind"))
-        )
-        if hot_rows < HOT_ROWS or line.count() > hot_rows:
-            # a row beyond the newest ``limit`` of its own instant is never wanted
-            same = W.partitionBy(*keys, "_t", "_kind", "_lt").orderBy(F.col("_tie").asc())
-            line = line.withColumn("_k", F.row_number().over(same)).filter(F.col("_k") <= limit).drop("_k")
-        # scanned from the future to the past: position 1 is the newest row
-        spot = segmented_scan(
-            line.withColumn("_d", -F.col("_t")), keys, ["_d", "_neg", "_tie"],
-            {"_pos": ("sum", F.when(F.col("_kind") == 1, 1).otherwise(0))}, hot_rows=hot_rows,
-        )
-        ranges = (
-            spot.filter("_kind <> 1").groupBy(*keys, "_lt")
-            .agg(F.max(F.when(F.col("_kind") == 2, F.col("_pos"))).alias("_newer"),
-                 F.max(F.when(F.col("_kind") == 0, F.col("_pos"))).alias("_to"))
-            .withColumn("_to", F.least(F.col("_to"), F.col("_newer") + limit))
-            .filter("_to > _newer")
-        )
-        width = 64
-        rows = spot.filter("_kind = 1").select(*keys, "_pos", "_row", F.floor((F.col("_pos") - 1) / width).alias("_b"))
-        found = (
-            ranges.withColumn("_b", F.explode(F.sequence(
-                F.floor(F.col("_newer") / width), F.floor((F.col("_to") - 1) / width))))
-            .join(rows, [*keys, "_b"])
-            .filter((F.col("_pos") > F.col("_newer")) & (F.col("_pos") <= F.col("_to")))
-            .select(*keys, "_lt", "_row.*")
-        )
-    newest = W.partitionBy(*keys, "_lt").orderBy(F.col("_rt").desc(), F.col(tie).asc())
-    found = (
-        found.withColumn("rank_in_window", F.row_number().over(newest))
-        .filter(F.col("rank_in_window") <= limit)
-        .drop("_rt")
-    )
-    return left.withColumn("_lt", _micros(left_ts)).join(found, [*keys, "_lt"]).drop("_lt")
+        line = time_line(left, right, left_ts=left_ts, right_ts=right_ts, tie=tie, windows={"w": (before, after, limit)}, keys=keys, hot_rows=hot_rows)
+        wanted = line.ranges.select(*keys, "_lt", "newer", F.array(F.struct("newer", "to")).alias("_r"))
+        found = line.fetch(wanted).select(*keys, "_lt", "_row.*", (F.col("_pos") - F.col("newer")).cast("int").alias("rank_in_window"))
+    return left.withColumn("_lt", _micros(left_ts)).join(found.drop("_rt"), [*keys, "_lt"]).drop("_lt")
