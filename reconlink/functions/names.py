@@ -136,22 +136,25 @@ def variants(value, part: str) -> Column:
     return F.filter(F.array_distinct(F.array_compact(F.array(*made))), lambda x: x != "")
 
 
-def part_possible(report, registry, part: str, threshold: float) -> Column:
-    """Native necessary condition for ``part_match``: use it in join conditions."""
+def part_possible(report, registry, readings, threshold: float) -> Column:
+    """Native necessary condition for ``part_match``: use it in join conditions.
+
+    ``readings`` are the ``variants`` of the report part, made once per person.
+    """
     r, g = text(report), text(registry)
     return (
         (r == "")
         | F.when(F.length(r) == 1, F.startswith(g, r)).otherwise(
-            F.array_contains(variants(r, part), g) | (ratio_bound(r, g) >= threshold)
+            (ratio_bound(r, g) >= threshold) | F.array_contains(text(readings), g)
         )
     )
 
 
-def part_match(report, registry, part: str, threshold: float, label: str) -> Column:
+def part_match(report, registry, readings, threshold: float, label: str) -> Column:
     """struct<ok,note>: missing, initial, inflected or similar spelling of one name part."""
     r, g = text(report), text(registry)
     initial = F.length(r) == 1
-    inflected = F.array_contains(variants(r, part), g)
+    inflected = F.array_contains(text(readings), g)
     unsure = (r != "") & (g != "") & ~initial & ~inflected & (ratio_bound(r, g) >= threshold)
     near = F.coalesce(ratio(F.when(unsure, r), g) >= threshold, F.lit(False))
     no_note = F.lit(None).cast("string")

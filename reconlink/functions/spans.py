@@ -52,16 +52,20 @@ def greedy_spans(spans) -> Column:
     """Non-overlapping picks: earliest start first, longer first, skip what starts inside the last pick."""
 
     def ordered(items: Column) -> Column:
-        return F.array_sort(
-            items,
-            lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
-        )
+        return F.array_sort(F.transform(
+            items, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s.alias("span"))))
 
-    def step(kept: Column, span: Column) -> Column:
-        end = F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0))
-        return F.when(span["start"] >= end, F.array_append(kept, span)).otherwise(kept)
+    def step(state: Column, item: Column) -> Column:
+        taken = item["start"] >= state["end"]
+        return F.struct(
+            F.when(taken, item["span"]["end"]).otherwise(state["end"]).alias("end"),
+            F.when(taken, F.array_append(state["kept"], item["span"])).otherwise(state["kept"]).alias("kept"))
+
+    def pick(items: Column) -> Column:
+        start = F.struct(F.lit(0).alias("end"), F.slice(items, 1, 0).alias("kept"))
+        return F.aggregate(ordered(items), start, step, lambda state: state["kept"])
 
-    return let(text(spans), lambda items: F.aggregate(ordered(items), F.slice(items, 1, 0), step))
+    return let(text(spans), pick)
 
 
 def merge_longer(primary, secondary) -> Column:

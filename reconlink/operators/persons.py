@@ -57,16 +57,18 @@ def link_candidates(
     The join itself drops pairs that cannot pass; only the rest reach the ratio.
     """
     p = _folded(people, "s", fold).filter("s_last <> ''").select(
-        "mention_id", "event_id", "seq", "place", F.col("birth").alias("s_birth"), "s_last", "s_first", "s_middle")
+        "mention_id", "event_id", "seq", "place", F.col("birth").alias("s_birth"), "s_last", "s_first", "s_middle",
+        *[N.variants(f"s_{part}", part).alias(f"v_{part}") for part in ("last", "first", "middle")],
+    ).repartition("mention_id", "event_id")  # the test is costly per row, and assign groups by the same keys
     r = _folded(registry, "p", fold).select(
         F.col("event_id").alias("p_event"), "person_id", "record_id", F.col("birth").alias("p_birth"),
         "p_last", "p_first", "p_middle")
     limits = (("last", t.surname_ratio, "фамилия"), ("first", t.first_name_ratio, "имя"), ("middle", t.patronymic_ratio, "отчество"))
     possible = p["event_id"] == r["p_event"]
     for part, limit, _ in limits:
-        possible = possible & N.part_possible(p[f"s_{part}"], r[f"p_{part}"], part, limit)
+        possible = possible & N.part_possible(p[f"s_{part}"], r[f"p_{part}"], p[f"v_{part}"], limit)
     tested = p.join(r, possible).drop("p_event").withColumns(
-        {f"_{part}": N.part_match(f"s_{part}", f"p_{part}", part, limit, label) for part, limit, label in limits})
+        {f"_{part}": N.part_match(f"s_{part}", f"p_{part}", f"v_{part}", limit, label) for part, limit, label in limits})
     linked = tested.filter("_last.ok AND _first.ok AND _middle.ok")
     note = F.concat_ws("; ", "_last.note", "_first.note", "_middle.note")
     kind = (

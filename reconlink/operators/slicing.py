@@ -181,7 +181,9 @@ def slice_documents(
     when a segment failed the whole document stays, unless it is over the
     element limit and something was cut.
     """
-    summary = marker_summary(elements, begin, end)
+    # read by every step below
+    elements = scale.cut(elements)
+    summary = scale.cut(marker_summary(elements, begin, end))
     by_marker = summary.filter("markers_found AND kept_elements > 0").select("doc_id")
     marked = slice_by_markers(elements.join(by_marker, "doc_id", "left_semi"), begin, end).drop("segment")
     rest = elements.join(by_marker, "doc_id", "left_anti")

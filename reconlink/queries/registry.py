@@ -11,6 +11,9 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 class Tables:
     """Lazy readers of the given parquet tables."""
 
@@ -18,7 +21,12 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in TEXT_KEYS and len(df.inputFiles()) < cores:
+            # a handful of files gives as few tasks; text work is worth one small shuffle
+            return df.repartition(cores, TEXT_KEYS[name])
+        return df
 
 
 def query(name: str, sql: str | None = None):
