@@ -36,15 +36,16 @@ def registry_rows(registry: DataFrame) -> DataFrame:
 
     Among equal records of an event a match always resolves to the first, so
     the first, second and last stand for all: no group grows with the copies.
+    The first two come by a group limit and the last by an aggregate, both of
+    which reduce before the shuffle.
     """
-    known = registry.withColumn("birth", N.known_birth("birth"))
-    same = W.partitionBy("event_id", "last", "first", "middle", "birth")
-    ranked = known.withColumns({
-        "_rn": F.row_number().over(same.orderBy("person_id")),
-        "_last": F.row_number().over(same.orderBy(F.desc("person_id"))),
-        "record_id": F.min("person_id").over(same),
-    })
-    return ranked.filter("_rn <= 2 OR _last = 1").drop("_rn", "_last")
+    record = ["event_id", "last", "first", "middle", "birth"]
+    known = registry.select("event_id", "person_id", "last", "first", "middle", N.known_birth("birth").alias("birth"))
+    first = W.partitionBy(*record).orderBy("person_id")
+    heads = known.withColumn("_rn", F.row_number().over(first)).filter("_rn <= 2").drop("_rn")
+    tails = known.groupBy(*record).agg(F.max("person_id").alias("person_id")).select(*known.columns)
+    few = heads.unionByName(tails).distinct()
+    return few.withColumn("record_id", F.min("person_id").over(W.partitionBy(*record)))
 
 
 def link_candidates(

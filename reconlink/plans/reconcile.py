@@ -124,15 +124,14 @@ def reconcile(mentions: DataFrame, registry: Registry, units: DataFrame, rules:
         "mention_id", "event_id", F.col("matched").alias("persons_matched"), F.col("registry_total").alias("persons_registered"),
         F.col("possible").alias("persons_possible"), F.col("missing_in_registry").alias("persons_missing_registry"),
         F.col("missing_in_report").alias("persons_missing_report"), F.round(F.col("ratio") * 100, 2).alias("persons_percent"), "persons_agree")
-    named = lambda df, key: df.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(N.full_name("last", "first", "middle"))), ", ").alias("_n"))
+    expected = everyone.groupBy("mention_id").agg(F.count(F.lit(1)).alias("persons_expected"))
     unit_names = units.select(F.col("unit_id").alias("_eu"), F.col("name").alias("event_unit_name"))
     rows = (
         ex.attributes.join(climbed.decisions, "mention_id")
         .join(registry.event.select("event_id", "event_ts", F.col("unit_id").alias("_eu"), "event_type", F.col("article").alias("event_article")), "event_id", "left")
         .join(unit_names, "_eu", "left")
         .join(counts, ["mention_id", "event_id"], "left")
-        .join(named(own, ["mention_id"]).withColumnRenamed("_n", "persons_report"), "mention_id", "left")
-        .join(named(known.join(pairs.select("event_id").distinct(), "event_id", "left_semi"), ["event_id"]).withColumnRenamed("_n", "persons_registry"), "event_id", "left")
+        .join(expected, "mention_id", "left")
         .drop("_eu"))
     # an event without persons agrees with a text without persons
     rows = rows.withColumns({

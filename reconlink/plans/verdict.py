@@ -71,7 +71,10 @@ def with_lights(rows: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
 
 def diffs(rows: DataFrame) -> DataFrame:
-    """Adds diffs: a struct of expected and actual per field, NULL where they agree."""
+    """Adds diffs: a struct of expected and actual per field, NULL where they agree.
+
+    Persons are compared by their numbers here; who differs stands in the links.
+    """
     pair = lambda e, a: F.struct(text(e).cast("string").alias("expected"), text(a).cast("string").alias("actual"))
     late = F.struct(
         F.lit("Событие найдено по подразделению и нарушителям; дата/время отличаются").alias("message"),
@@ -82,7 +85,7 @@ def diffs(rows: DataFrame) -> DataFrame:
         F.when(m & ~F.col("category_ok"), pair("category", "event_type")).alias("category"),
         F.when(m & (F.col("article_light") == "red"), pair("article", "event_article")).alias("article"),
         F.when(m & ~F.col("unit_ok"), pair("unit_name", "event_unit_name")).alias("unit"),
-        F.when(m & ~F.col("persons_agree"), pair("persons_report", "persons_registry")).alias("persons"),
+        F.when(m & ~F.col("persons_agree"), pair("persons_expected", "persons_registered")).alias("persons"),
         F.when(m & F.col("time_mismatch") & F.col("delta_minutes").isNotNull(), late).alias("time")))
 
 
@@ -126,11 +129,13 @@ def comments(rows: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return rows.withColumn("comments", F.array_compact(F.when(m, matched).otherwise(unmatched)))
 
 
-def person_report(links: DataFrame, people: DataFrame, registry: DataFrame) -> DataFrame:
-    """mention_id, event_id, lines: what differs between the persons of both sides.
+def person_report(links: DataFrame, people: DataFrame, registry: DataFrame, chunk: int = 1000) -> DataFrame:
+    """mention_id, event_id, line_no, line: what differs between the persons of both sides.
 
-    ``people`` and ``registry`` carry a ``display`` column.
+    ``people`` and ``registry`` carry a ``display`` column. A long list of
+    missing persons is given in several lines of about ``chunk`` names.
     """
+    pair = ["mention_id", "event_id"]
     rows = links.join(people.select("mention_id", "seq", F.col("display").alias("_s")), ["mention_id", "seq"], "left").join(
         registry.select("event_id", F.col("person_id").cast("string").alias("person_id"), F.col("display").alias("_p")),
         ["event_id", "person_id"], "left")
@@ -141,15 +146,17 @@ def person_report(links: DataFrame, people: DataFrame, registry: DataFrame) -> D
         .when(bucket == "possible", F.concat(
             F.lit("Возможное совпадение по ФИО, но ДР отличается: "), F.col("_s"), F.lit(" / "), F.col("_p")))
         .when(bucket == "ambiguous", F.concat(F.lit("Неоднозначное совпадение: "), F.col("_s"))))
-    listed = lambda b, c: F.array_join(F.array_sort(F.collect_set(F.when(bucket == b, F.col(c)))), ", ")
     order = F.when(bucket == "matched", 1).when(bucket == "possible", 2).otherwise(3)
-    grouped = rows.groupBy("mention_id", "event_id").agg(
-        F.array_sort(F.collect_set(F.when(line.isNotNull(), F.struct(order.alias("o"), line.alias("l"))))).alias("_l"),
-        listed("missing_in_registry", "_s").alias("_mr"), listed("missing_in_report", "_p").alias("_mp"))
-    tail = F.array_compact(F.array(
-        F.when(F.col("_mr") != "", F.concat(F.lit("В сводке есть, в БД нет: "), "_mr")),
-        F.when(F.col("_mp") != "", F.concat(F.lit("В БД есть, в сводке нет: "), "_mp"))))
-    return grouped.select("mention_id", "event_id", F.concat(F.transform("_l", lambda x: x["l"]), tail).alias("lines"))
+    single = rows.select(*pair, order.alias("line_no"), line.alias("line")).filter("line IS NOT NULL").distinct()
+    missing = rows.filter(bucket.isin("missing_in_registry", "missing_in_report")).select(
+        *pair, "bucket", F.coalesce("_s", "_p").alias("_name")).distinct()
+    sizes = missing.groupBy(*pair, "bucket").agg(F.count(F.lit(1)).alias("_n"))
+    parts = missing.join(sizes, [*pair, "bucket"]).withColumn("_part", F.pmod(F.xxhash64("_name"), F.ceil(F.col("_n") / chunk)))
+    lists = parts.groupBy(*pair, "bucket", "_part").agg(F.array_join(F.array_sort(F.collect_list("_name")), ", ").alias("_l"))
+    here = F.col("bucket") == "missing_in_registry"
+    return single.unionByName(lists.select(
+        *pair, F.when(here, 4).otherwise(5).alias("line_no"),
+        F.concat(F.when(here, "В сводке есть, в БД нет: ").otherwise("В БД есть, в сводке нет: "), F.col("_l")).alias("line")))
 
 
 def backfill(results: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:

@@ -58,8 +58,8 @@ def compared(t: Tables) -> DataFrame:
         f("o_orderstatus").alias("event_type"), (f("o_orderstatus") == "F").alias("category_ok"), F.lit("18.1 ч. 1").alias("article"),
         F.when(f("o_orderpriority") == "1-URGENT", "18.1 ч. 1").otherwise("20.3").alias("event_article"), F.lit("18.1 ч. 1").alias("rule_article"),
         F.when(f("o_orderpriority") != "5-LOW", f("o_orderpriority")).alias("unit_name"), f("o_orderpriority").alias("event_unit_name"),
-        (f("o_orderpriority") != "5-LOW").alias("unit_ok"), (f("o_totalprice") > 250000).alias("persons_agree"), F.lit("a").alias("persons_report"),
-        F.lit("b").alias("persons_registry"), (f("o_totalprice") < 100000).alias("time_mismatch"), F.floor(f("o_totalprice") / 1000).cast("long").alias("delta_minutes"),
+        (f("o_orderpriority") != "5-LOW").alias("unit_ok"), (f("o_totalprice") > 250000).alias("persons_agree"), F.lit(2).alias("persons_expected"),
+        (f("o_totalprice") < 100000).alias("time_mismatch"), F.floor(f("o_totalprice") / 1000).cast("long").alias("delta_minutes"),
         f("o_orderdate").alias("date_time"), f("o_orderdate").alias("event_ts"), (f("o_totalprice") > 50000).alias("time_found"),
         F.lit(2).alias("persons_matched"), F.lit(3).alias("persons_registered"))
 

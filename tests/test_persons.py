@@ -182,3 +182,18 @@ def test_person_lights(spark):
     assert got == {"exact": "warn", **{k: v[2] for k, v in cases.items() if k != "exact"}}
     counts = {r["mention_id"]: r for r in P.all_agree(P.bucket_counts(links, registry, people)).collect()}
     assert counts["year"]["persons_agree"] and not counts["clash"]["persons_agree"] and counts["gone"]["missing_in_registry"] == 1
+
+
+def test_person_report(spark):
+    from reconlink.plans.verdict import person_report
+
+    people = spark.createDataFrame([("m", 0, "A"), ("m", 1, "B"), ("m", 2, "C")], "mention_id string, seq int, display string")
+    registry = spark.createDataFrame([("e", f"p{i}", f"R{i}") for i in range(5)], "event_id string, person_id string, display string")
+    links = spark.createDataFrame([("m", "e", 0, "p0", "matched", "fuzzy", "имя отличается"), ("m", "e", 1, None, "missing_in_registry", None, None),
+                                   *[("m", "e", None, f"p{i}", "missing_in_report", None, None) for i in range(1, 5)]],
+                                  "mention_id string, event_id string, seq int, person_id string, bucket string, match_type string, note string")
+    rows = [(r["line_no"], r["line"]) for r in person_report(links, people, registry).orderBy("line_no").collect()]
+    assert rows == [(1, "ФИО совпало частично/с ошибкой: A / R0 (имя отличается)"), (4, "В сводке есть, в БД нет: B"),
+                    (5, "В БД есть, в сводке нет: R1, R2, R3, R4")]
+    parts = [r["line"] for r in person_report(links, people, registry, chunk=2).filter("line_no = 5").collect()]
+    assert sorted(n for p in parts for n in p.split(": ")[1].split(", ")) == ["R1", "R2", "R3", "R4"]
