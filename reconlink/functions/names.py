@@ -150,6 +150,58 @@ def part_possible(report, registry, readings, threshold: float) -> Column:
     )
 
 
+def _pieces(size: Column, threshold: float) -> Column:
+    """How many pieces a name of ``size`` letters is cut into: one more than the edits the ratio allows."""
+    return F.floor(size * (2 * (1 - threshold) / threshold) + 1e-9).cast("int") + 1
+
+
+def _piece(size: Column, i: Column, n: Column) -> tuple[Column, Column]:
+    start = F.floor(i * size / n).cast("int")
+    return start, F.floor((i + 1) * size / n).cast("int") - start
+
+
+def registry_surname_keys(surname, threshold: float) -> Column:
+    """Block keys of a registry surname; any report surname that may match it shares one.
+
+    A ratio of at least ``threshold`` leaves room for a known number of edits,
+    so when a name is cut into one piece more, some piece stands whole in the
+    other name, moved by no more than the edits.
+    """
+    g = text(surname)
+    size = F.length(g)
+
+    def cut(n: Column) -> Column:
+        def one(i: Column) -> Column:
+            start, width = _piece(size, i, n)
+            return F.concat_ws("/", size.cast("string"), i.cast("string"), F.substring(g, start + 1, width))
+
+        return F.transform(F.sequence(F.lit(0), n - 1), one)
+
+    return F.concat(F.array(F.concat(F.lit("="), g), F.concat(F.lit("^"), F.left(g, F.lit(1)))), let(_pieces(size, threshold), cut))
+
+
+def report_surname_keys(surname, readings, threshold: float) -> Column:
+    """Block keys of a report surname, see ``registry_surname_keys``."""
+    r = text(surname)
+    size = F.length(r)
+    spread = (2 - threshold) / threshold
+
+    def for_size(other: Column) -> Column:
+        n = _pieces(other, threshold)
+
+        def for_piece(i: Column) -> Column:
+            start, width = _piece(other, i, n)
+            moved = F.filter(F.transform(F.sequence(1 - n, n - 1), lambda d: start + d), lambda at: (at >= 0) & (at + width <= size))
+            return F.transform(moved, lambda at: F.concat_ws("/", other.cast("string"), i.cast("string"), F.substring(r, at + 1, width)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), for_piece))
+
+    sizes = F.sequence(F.ceil(size / spread - 1e-9).cast("int"), F.floor(size * spread + 1e-9).cast("int"))
+    whole = F.transform(text(readings), lambda v: F.concat(F.lit("="), v))
+    similar = F.flatten(F.transform(sizes, for_size))
+    return F.array_distinct(F.when(size == 1, F.array(F.concat(F.lit("^"), r))).otherwise(F.concat(whole, similar)))
+
+
 def part_match(report, registry, readings, threshold: float, label: str) -> Column:
     """struct<ok,note>: missing, initial, inflected or similar spelling of one name part."""
     r, g = text(report), text(registry)

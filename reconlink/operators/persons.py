@@ -48,27 +48,46 @@ def registry_rows(registry: DataFrame) -> DataFrame:
     return few.withColumn("record_id", F.min("person_id").over(W.partitionBy(*record)))
 
 
+# An event with more registry persons than this is linked through surname blocks.
+CROWDED = 1000
+
+
 def link_candidates(
-    people: DataFrame, registry: DataFrame, t: Thresholds = DEFAULTS, fold: Callable[[Column], Column] = N.name_key
+    people: DataFrame, registry: DataFrame, t: Thresholds = DEFAULTS, fold: Callable[[Column], Column] = N.name_key,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """Pairs of one (mention, event) that pass the name test.
 
     ``people``: mention_id, event_id, seq, place, last, first, middle, birth.
     ``registry``: event_id, person_id, record_id, last, first, middle, birth.
-    The join itself drops pairs that cannot pass; only the rest reach the ratio.
+    The join itself drops pairs that cannot pass; only the rest reach the
+    ratio. In a crowded event people meet only the records that share a block
+    key of the surname, which loses no pair.
     """
+    parts = ("last", "first", "middle")
     p = _folded(people, "s", fold).filter("s_last <> ''").select(
         "mention_id", "event_id", "seq", "place", F.col("birth").alias("s_birth"), "s_last", "s_first", "s_middle",
-        *[N.variants(f"s_{part}", part).alias(f"v_{part}") for part in ("last", "first", "middle")],
+        *[N.variants(f"s_{part}", part).alias(f"v_{part}") for part in parts],
     ).repartition("mention_id", "event_id")  # the test is costly per row, and assign groups by the same keys
     r = _folded(registry, "p", fold).select(
-        F.col("event_id").alias("p_event"), "person_id", "record_id", F.col("birth").alias("p_birth"),
-        "p_last", "p_first", "p_middle")
+        "event_id", "person_id", "record_id", F.col("birth").alias("p_birth"), "p_last", "p_first", "p_middle")
     limits = (("last", t.surname_ratio, "фамилия"), ("first", t.first_name_ratio, "имя"), ("middle", t.patronymic_ratio, "отчество"))
-    possible = p["event_id"] == r["p_event"]
+    possible = F.lit(True)
     for part, limit, _ in limits:
-        possible = possible & N.part_possible(p[f"s_{part}"], r[f"p_{part}"], p[f"v_{part}"], limit)
-    tested = p.join(r, possible).drop("p_event").withColumns(
+        possible = possible & N.part_possible(f"s_{part}", f"p_{part}", f"v_{part}", limit)
+
+    full = r.groupBy("event_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).select("event_id")
+    if full.isEmpty():
+        pairs = p.join(r, "event_id").filter(possible)
+    else:
+        full = scale.cut(full)
+        pairs = p.join(full, "event_id", "left_anti").join(r.join(full, "event_id", "left_anti"), "event_id").filter(possible)
+        asked = p.join(full, "event_id", "left_semi").withColumn("_k", F.explode(N.report_surname_keys("s_last", "v_last", t.surname_ratio)))
+        known = r.join(full, "event_id", "left_semi").withColumn("_k", F.explode(N.registry_surname_keys("p_last", t.surname_ratio)))
+        blocked = asked.join(known, ["event_id", "_k"]).filter(possible).drop("_k")
+        pairs = pairs.unionByName(blocked.dropDuplicates(["mention_id", "event_id", "place", "seq", "person_id"]))
+
+    tested = pairs.withColumns(
         {f"_{part}": N.part_match(f"s_{part}", f"p_{part}", f"v_{part}", limit, label) for part, limit, label in limits})
     linked = tested.filter("_last.ok AND _first.ok AND _middle.ok")
     note = F.concat_ws("; ", "_last.note", "_first.note", "_middle.note")

@@ -197,3 +197,24 @@ def test_person_report(spark):
                     (5, "В БД есть, в сводке нет: R1, R2, R3, R4")]
     parts = [r["line"] for r in person_report(links, people, registry, chunk=2).filter("line_no = 5").collect()]
     assert sorted(n for p in parts for n in p.split(": ")[1].split(", ")) == ["R1", "R2", "R3", "R4"]
+
+
+def test_crowded_events_lose_no_pair(spark):
+    import random
+
+    rnd = random.Random(9)
+    roots = ["константинопольский", "александровский", "холматов", "орлов", "ли", "иваненко", "преображенский"]
+
+    def spoil(name):
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randint(0, len(name))
+            name = rnd.choice([name[:at] + rnd.choice("аобя") + name[at:], name[:at] + name[at + 1 :], name[:at] + "ж" + name[at + 1 :]])
+        return name or "я"
+
+    people = [("m", "e", i, spoil(rnd.choice(roots)) if rnd.random() < 0.9 else "х", "", "", None) for i in range(80)]
+    known = [("e", f"p{i:03d}", f"p{i:03d}", spoil(rnd.choice(roots)), "", "", None) for i in range(120)]
+    p = spark.createDataFrame(people, "mention_id string, event_id string, seq int, last string, first string, middle string, birth date").withColumn("place", F.col("seq"))
+    r = spark.createDataFrame(known, "event_id string, person_id string, record_id string, last string, first string, middle string, birth date")
+    pairs = lambda crowded: sorted((x["seq"], x["person_id"], x["note"]) for x in P.link_candidates(p, r, crowded=crowded).collect())
+    plain = pairs(1000)
+    assert len(plain) > 200 and pairs(10) == plain
