@@ -115,7 +115,7 @@ def reconcile(mentions: DataFrame, registry: Registry, units: DataFrame, rules:
     def person_stage(open_: DataFrame) -> DataFrame:
         return L.by_persons(open_, lookups.join(open_.select("mention_id"), "mention_id", "left_semi"), folded, events, t)
 
-    climbed = L.climb(asked, events, overlap, person_stage, t)
+    climbed = L.resolve(asked, events, overlap, person_stage, t)
     pairs = climbed.decisions.filter("matched").select("mention_id", "event_id")
     everyone = own.select("mention_id", "seq", "last", "first", "middle", "birth", "birth_year", "staff_context").unionByName(
         staff_people(ex.staff, ex.people))

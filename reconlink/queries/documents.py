@@ -245,19 +245,35 @@ def clip_spans(t: Tables) -> DataFrame:
     return rows.select("doc_id", "c.cell", F.col("c.start").alias("start_at"), F.col("c.end").alias("end_at"))
 
 
-@query("greedy_spans")
-def greedy_spans(t: Tables) -> DataFrame:
+PAIRED = f"""
+WITH {TOKENS.replace("SELECT doc_id, tok,", "SELECT doc_id, tok, i,")},
+w AS (SELECT doc_id, list({{'s': start_at, 'e': start_at + length(tok)}} ORDER BY i) FILTER (length(tok) >= 8) AS long FROM p WHERE tok <> '' GROUP BY doc_id),
+d AS (SELECT a.doc_id, list({{'s': a.start_at, 'e': CAST(b.start_at + length(b.tok) AS INT)}} ORDER BY a.i) AS two
+      FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.i % 2 = 1 AND a.tok <> '' AND b.tok <> '' GROUP BY a.doc_id)
+"""
+
+
+def span_lists(t: Tables) -> DataFrame:
+    """Long words, and words taken two by two."""
     body = X.squeeze("text")
-    both = F.concat(S.all_spans(body, "[^ ]{8,}"), S.all_spans(body, "[A-Z][a-z]+ [a-z]+"))
-    rows = t.documents.select("doc_id", F.explode(S.greedy_spans(both)).alias("s"))
+    return t.documents.select("doc_id", S.all_spans(body, "[^ ]{8,}").alias("long"), S.all_spans(body, "[^ ]+ [^ ]+").alias("two"))
+
+
+@query("greedy_spans", f"""
+{PAIRED},
+s AS (SELECT doc_id, list_transform(list_sort(list_transform(list_concat(coalesce(long, []), coalesce(two, [])), lambda x: {{'s': x.s, 'n': -x.e}})), lambda x: [{{'s': x.s, 'e': -x.n}}]) AS l
+      FROM w FULL JOIN d USING (doc_id)),
+k AS (SELECT doc_id, list_reduce(l, lambda acc, x: CASE WHEN x[1].s >= acc[len(acc)].e THEN list_concat(acc, x) ELSE acc END) AS kept FROM s WHERE len(l) > 0)
+SELECT doc_id, CAST(x.s AS INT) AS start_at, CAST(x.e AS INT) AS end_at FROM (SELECT doc_id, unnest(kept) AS x FROM k)
+""")
+def greedy_spans(t: Tables) -> DataFrame:
+    rows = span_lists(t).select("doc_id", F.explode(S.greedy_spans(F.concat("long", "two"))).alias("s"))
     return rows.select("doc_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
 
 
 @query("merge_extractors")
 def merge_extractors(t: Tables) -> DataFrame:
-    body = X.squeeze("text")
-    merged = S.merge_longer(S.all_spans(body, "[^ ]{8,}"), S.all_spans(body, "[A-Z][a-z]+ [a-z]+"))
-    rows = t.documents.select("doc_id", F.explode(merged).alias("s"))
+    rows = span_lists(t).select("doc_id", F.explode(S.merge_longer("long", "two")).alias("s"))
     return rows.select("doc_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
 
 
@@ -428,7 +444,9 @@ def birth_compatible(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", a.alias("a"), b.alias("b")).select("o_orderkey", N.birth_compatible("a", "b").alias("fits"))
 
 
-@query("json_export")
+@query("json_export", """
+SELECT event_id, CAST(json_object('event_id', event_id, 'event_type', event_type, 'ts', strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'text', props) AS VARCHAR) AS document FROM events
+""")
 def json_export(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("props").alias("text"))
     return K.event_documents(rows, ["event_id"])

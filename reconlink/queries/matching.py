@@ -180,6 +180,28 @@ def ladder_full(t: Tables) -> DataFrame:
     return L.climb(mentions(t), registry(t), same_key(t), by_key(t)).decisions
 
 
+@query("ladder_decisions", f"""
+WITH {LADDER}, w AS (SELECT * FROM r WHERE flags >= 2)
+SELECT m.mention_id, w.event_id, delta_minutes, overlap, date_ok, unit_ok, persons_ok, flags,
+       {CHOSEN} AS method, {CHOSEN} IS NOT NULL AS matched,
+       coalesce({CHOSEN} = 'time+persons', false) AS unit_mismatch, coalesce({CHOSEN} = 'unit+persons', false) AS time_mismatch
+FROM m LEFT JOIN w USING (mention_id)
+""")
+def ladder_decisions(t: Tables) -> DataFrame:
+    """The matched event or nothing, without scoring what cannot decide."""
+    return L.resolve(mentions(t), registry(t), same_key(t), by_key(t)).decisions
+
+
+@query("stage_counts_decisive", f"""
+WITH {LADDER}, hits AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT mention_id, event_id, 'stage4_persons' FROM c4)
+SELECT mention_id, {", ".join(f"count(*) FILTER (stage = '{s}') AS {s}" for s in L.STAGES)}
+FROM hits GROUP BY mention_id
+""")
+def stage_counts_decisive(t: Tables) -> DataFrame:
+    """Rows per stage read off the positions, without fetching the rows."""
+    return L.stage_counts(L.resolve(mentions(t), registry(t), same_key(t), by_key(t)).stages)
+
+
 @query("stage_count_pivot", f"""
 WITH {LADDER}, hits AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT mention_id, event_id, 'stage4_persons' FROM c4)
 SELECT mention_id, {", ".join(f"count(*) FILTER (stage = '{s}') AS {s}" for s in L.STAGES)}

@@ -308,3 +308,35 @@ def test_reconcile_end_to_end(spark):
     assert rows["no date"]["comments"][0] == "Событие не найдено." and rows["no date"]["light_unit"] == "green"
     stages = {r["mention_id"]: r for r in L.stage_counts(out.ladder.stages).collect()}
     assert stages["by person"]["stage4_persons"] == 1 and stages["unit and time"]["stage1_unit_time"] == 1
+
+
+def test_decisions_equal_the_full_ladder(spark):
+    """Dense times and tight limits, so that windows overflow and the last minute of the tolerance matters."""
+    rnd = random.Random(13)
+    base = dt.datetime(2024, 3, 1)
+    when = lambda days: base + dt.timedelta(seconds=rnd.choice([rnd.randint(0, 86400 * days), rnd.randint(0, 7200)]))
+    mentions = spark.createDataFrame([(i, when(12), rnd.choice([1, 2, 3, None]), rnd.random() < 0.5, rnd.randint(0, 9)) for i in range(150)],
+                                     "mention_id int, ts timestamp, unit_id int, high_conf boolean, k int")
+    events = spark.createDataFrame([(i, when(12), rnd.randint(1, 3), rnd.randint(0, 9)) for i in range(400)],
+                                   "event_id int, event_ts timestamp, unit_id int, k int")
+
+    def overlap(pairs):
+        return pairs.join(mentions.select("mention_id", "k"), "mention_id").join(events.select("event_id", "k"), ["event_id", "k"]).select(
+            "mention_id", "event_id", F.lit(1).alias("overlap"))
+
+    def persons(open_):
+        people = open_.select("mention_id").join(mentions.select("mention_id", F.col("k").cast("string").alias("surname")), "mention_id").withColumns(
+            {"seq": F.lit(1), "mode": F.lit("none"), "birth": F.lit(None).cast("date"), "birth_year": F.lit(None).cast("int")})
+        known = events.select("event_id", F.col("k").cast("string").alias("surname"), F.lit(None).cast("date").alias("birth"))
+        return L.by_persons(open_, people, known, events, t)
+
+    for limit in (3, 40):
+        t = Thresholds(stage_unit_limit=limit, stage_time_limit=limit, stage_fallback_limit=limit, person_stage_limit_no_birth=4)
+        for stage in (None, persons):
+            full = L.climb(mentions, events, overlap, stage, t)
+            fast = L.resolve(mentions, events, overlap, stage, t)
+            columns = ["mention_id", "event_id", "method", "delta_minutes", "overlap"]
+            want = [tuple(r) if r["method"] else (r["mention_id"], None, None, None, None) for r in full.decisions.select(columns).orderBy("mention_id").collect()]
+            assert [tuple(r) for r in fast.decisions.select(columns).orderBy("mention_id").collect()] == want
+            counts = lambda r: sorted(map(tuple, L.stage_counts(r.stages).collect()))
+            assert counts(fast) == counts(full)

@@ -142,3 +142,35 @@ def test_cosine_and_edit(spark):
                                "a array<double>, b array<double>, x string, y string").coalesce(1)
     rows = df.select(F.round(X.cosine("a", "b"), 6), X.edit_le_one("x", "y")).collect()
     assert [tuple(r) for r in rows] == [(0.707107, True), (0.0, False)]
+
+
+def test_span_folds_against_loops(spark):
+    import random
+
+    rnd = random.Random(11)
+    span = lambda: (lambda a: (a, a + rnd.randint(1, 9)))(rnd.randint(0, 60))
+    rows = [(i, [span() for _ in range(rnd.randint(0, 8))], [span() for _ in range(rnd.randint(0, 8))]) for i in range(80)]
+
+    def merged(first, second):
+        kept = list(first)
+        for s in second:
+            at = next((i for i, k in enumerate(kept) if k[0] < s[1] and s[0] < k[1]), None)
+            if at is None:
+                kept.append(s)
+            elif s[1] - s[0] > kept[at][1] - kept[at][0]:
+                kept[at] = s
+        return kept
+
+    def greedy(spans):
+        kept, end = [], 0
+        for s in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if s[0] >= end:
+                kept.append(s)
+                end = s[1]
+        return kept
+
+    df = spark.createDataFrame(rows, "i int, a array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    got = {r["i"]: r for r in df.select("i", S.merge_longer("a", "b").alias("m"), S.greedy_spans("a").alias("g")).collect()}
+    for i, a, b in rows:
+        assert [tuple(x) for x in got[i]["m"]] == merged(a, b)
+        assert [tuple(x) for x in got[i]["g"]] == greedy(a)
