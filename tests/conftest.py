@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[8]").appName("reconlink-tests").config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[8]").appName("reconlink-tests").config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
         .getOrCreate()
     )

@@ -330,9 +330,9 @@ def test_decisions_equal_the_full_ladder(spark):
         known = events.select("event_id", F.col("k").cast("string").alias("surname"), F.lit(None).cast("date").alias("birth"))
         return L.by_persons(open_, people, known, events, t)
 
-    for limit in (3, 40):
+    for limit, stages in ((3, (None, persons)), (40, (persons,))):
         t = Thresholds(stage_unit_limit=limit, stage_time_limit=limit, stage_fallback_limit=limit, person_stage_limit_no_birth=4)
-        for stage in (None, persons):
+        for stage in stages:
             full = L.climb(mentions, events, overlap, stage, t)
             fast = L.resolve(mentions, events, overlap, stage, t)
             columns = ["mention_id", "event_id", "method", "delta_minutes", "overlap"]
