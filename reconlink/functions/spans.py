@@ -12,6 +12,25 @@ _OPEN, _CLOSE = "\u0001", "\u0002"
 SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
 
 
+# An append copies its array, so a fold fills short arrays and keeps the full ones aside.
+_CHUNK = 64
+
+
+def _empty_list(empty: Column) -> Column:
+    return F.struct(F.slice(F.array(empty), 1, 0).alias("full"), empty.alias("last"))
+
+
+def _pushed(made: Column, item: Column) -> Column:
+    whole = F.size(made["last"]) >= _CHUNK
+    return F.struct(
+        F.when(whole, F.array_append(made["full"], made["last"])).otherwise(made["full"]).alias("full"),
+        F.when(whole, F.array(item)).otherwise(F.array_append(made["last"], item)).alias("last"))
+
+
+def _listed(made: Column) -> Column:
+    return F.concat(F.flatten(made["full"]), made["last"])
+
+
 def all_spans(value, pattern: str) -> Column:
     """array<struct<start,end,text>> of every match, left to right.
 
@@ -20,17 +39,16 @@ def all_spans(value, pattern: str) -> Column:
     """
     plain = F.translate(F.coalesce(text(value), F.lit("")), _OPEN + _CLOSE, "  ")
     parts = F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
-    start = F.struct(
-        F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.array().cast(SPAN_TYPE).alias("found")
-    )
+    empty = F.array().cast(SPAN_TYPE)
+    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), _empty_list(empty).alias("found"))
 
     def step(state: Column, part: Column) -> Column:
         end = state["pos"] + F.length(part)
         hit = F.struct(state["pos"].alias("start"), end.alias("end"), part.alias("text"))
-        grown = F.when(state["inside"], F.array_append(state["found"], hit)).otherwise(state["found"])
+        grown = F.when(state["inside"], _pushed(state["found"], hit)).otherwise(state["found"])
         return F.struct(end.alias("pos"), (~state["inside"]).alias("inside"), grown.alias("found"))
 
-    return F.aggregate(parts, start, step, lambda state: state["found"])
+    return F.aggregate(parts, start, step, lambda state: _listed(state["found"]))
 
 
 def first_span(value, pattern: str, group: int = 0) -> Column:
@@ -59,11 +77,11 @@ def greedy_spans(spans) -> Column:
         taken = item["start"] >= state["end"]
         return F.struct(
             F.when(taken, item["span"]["end"]).otherwise(state["end"]).alias("end"),
-            F.when(taken, F.array_append(state["kept"], item["span"])).otherwise(state["kept"]).alias("kept"))
+            F.when(taken, _pushed(state["kept"], item["span"])).otherwise(state["kept"]).alias("kept"))
 
     def pick(items: Column) -> Column:
-        start = F.struct(F.lit(0).alias("end"), F.slice(items, 1, 0).alias("kept"))
-        return F.aggregate(ordered(items), start, step, lambda state: state["kept"])
+        start = F.struct(F.lit(0).alias("end"), _empty_list(F.slice(items, 1, 0)).alias("kept"))
+        return F.aggregate(ordered(items), start, step, lambda state: _listed(state["kept"]))
 
     return let(text(spans), pick)
 
