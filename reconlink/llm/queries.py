@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lengths
+from . import bpe, lengths, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,16 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Totals, shares and truncated totals of the documents for every length as a context limit."""
     return lengths.token_counts(table(spark, folder, "documents"))
+
+
+@query
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and the components that links of at most four bits make."""
+    found = simhash.simhash_components(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A calibrated toxicity score for every document."""
+    return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
