@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lengths, simhash, toxicity
+from . import bpe, decontam, lengths, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,9 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """A calibrated toxicity score for every document."""
     return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every place where a document holds a benchmark item within a tenth of edits."""
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
