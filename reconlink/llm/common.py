@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -15,18 +14,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only in local mode, where
-    every task sees the driver's disk, is a folder made when none is set.
+    Only in local mode, where every task sees the driver's disk, is a folder made when none is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or f"/tmp/reconlink-checkpoints-{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -118,6 +122,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)
-
-
-__all__ = ["StorageLevel", "binary_array", "chunks", "components", "cut", "ragged", "table", "with_arrow_columns", "words_of"]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lengths, simhash, toxicity
+from . import bpe, chaining, decontam, lengths, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every place where a document holds a benchmark item within a tenth of edits."""
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op8_chaining(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fuzzy passage of a document that an earlier document holds."""
+    return chaining.passages(table(spark, folder, "documents"))
