@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chaining, decontam, lengths, simhash, toxicity
+from . import bpe, chaining, decontam, html_extract, lengths, licences, simhash, spotsigs, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,24 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op8_chaining(spark: SparkSession, folder: str) -> DataFrame:
     """Every fuzzy passage of a document that an earlier document holds."""
     return chaining.passages(table(spark, folder, "documents"))
+
+
+@query
+def op3_html(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op7_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return spotsigs.edited_pairs(table(spark, folder, "documents"))
+
+
+@query
+def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of every document with a known licence sentence."""
+    return licences.licences(table(spark, folder, "documents"))
+
+
+ORACLES["op10_licences"] = licences.licence_sql()
