@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chaining, decontam, html_extract, lengths, licences, simhash, spotsigs, toxicity
+from . import bpe, chaining, ctw, decontam, html_extract, lengths, licences, simhash, spotsigs, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op10_licences"] = licences.licence_sql()
+
+
+@query
+def op4_ctw(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under a unigram base and the context-tree model."""
+    return ctw.scores(table(spark, folder, "documents"))
