@@ -32,43 +32,27 @@ def reenter_staff(people: DataFrame, pairs: DataFrame, registry: DataFrame, fold
 
 
 def registry_rows(registry: DataFrame) -> DataFrame:
-    """Registry persons with births cleaned and long runs of equal records thinned.
-
-    Among equal records of an event a match always resolves to the first, so
-    the first, second and last stand for all: no group grows with the copies.
-    The first two come by a group limit and the last by an aggregate, both of
-    which reduce before the shuffle.
-    """
+    """Registry persons with births cleaned; ``record_id`` is the first of the equal records of an event, which a match resolves to."""
     record = ["event_id", "last", "first", "middle", "birth"]
     known = registry.select("event_id", "person_id", "last", "first", "middle", N.known_birth("birth").alias("birth"))
-    first = W.partitionBy(*record).orderBy("person_id")
-    heads = known.withColumn("_rn", F.row_number().over(first)).filter("_rn <= 2").drop("_rn")
-    tails = known.groupBy(*record).agg(F.max("person_id").alias("person_id")).select(*known.columns)
-    few = heads.unionByName(tails).distinct()
-    return few.withColumn("record_id", F.min("person_id").over(W.partitionBy(*record)))
-
-
-# An event with more registry persons than this is linked through surname blocks.
-CROWDED = 1000
+    return known.withColumn("record_id", F.min("person_id").over(W.partitionBy(*record)))
 
 
 def link_candidates(
     people: DataFrame, registry: DataFrame, t: Thresholds = DEFAULTS, fold: Callable[[Column], Column] = N.name_key,
-    crowded: int = CROWDED,
 ) -> DataFrame:
     """Pairs of one (mention, event) that pass the name test.
 
     ``people``: mention_id, event_id, seq, place, last, first, middle, birth.
     ``registry``: event_id, person_id, record_id, last, first, middle, birth.
-    The join itself drops pairs that cannot pass; only the rest reach the
-    ratio. In a crowded event people meet only the records that share a block
-    key of the surname, which loses no pair.
+    People meet only the records of the event that share a block key of the surname,
+    which loses no pair; the join drops pairs that cannot pass, and only the rest
+    reach the ratio.
     """
     parts = ("last", "first", "middle")
     p = _folded(people, "s", fold).filter("s_last <> ''").select(
         "mention_id", "event_id", "seq", "place", F.col("birth").alias("s_birth"), "s_last", "s_first", "s_middle",
-        *[N.variants(f"s_{part}", part).alias(f"v_{part}") for part in parts],
-    ).repartition("mention_id", "event_id")  # the test is costly per row, and assign groups by the same keys
+        *[N.variants(f"s_{part}", part).alias(f"v_{part}") for part in parts])
     r = _folded(registry, "p", fold).select(
         "event_id", "person_id", "record_id", F.col("birth").alias("p_birth"), "p_last", "p_first", "p_middle")
     limits = (("last", t.surname_ratio, "фамилия"), ("first", t.first_name_ratio, "имя"), ("middle", t.patronymic_ratio, "отчество"))
@@ -76,16 +60,9 @@ def link_candidates(
     for part, limit, _ in limits:
         possible = possible & N.part_possible(f"s_{part}", f"p_{part}", f"v_{part}", limit)
 
-    full = r.groupBy("event_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).select("event_id")
-    if full.isEmpty():
-        pairs = p.join(r, "event_id").filter(possible)
-    else:
-        full = scale.cut(full)
-        pairs = p.join(full, "event_id", "left_anti").join(r.join(full, "event_id", "left_anti"), "event_id").filter(possible)
-        asked = p.join(full, "event_id", "left_semi").withColumn("_k", F.explode(N.report_surname_keys("s_last", "v_last", t.surname_ratio)))
-        known = r.join(full, "event_id", "left_semi").withColumn("_k", F.explode(N.registry_surname_keys("p_last", t.surname_ratio)))
-        blocked = asked.join(known, ["event_id", "_k"]).filter(possible).drop("_k")
-        pairs = pairs.unionByName(blocked.dropDuplicates(["mention_id", "event_id", "place", "seq", "person_id"]))
+    asked = p.withColumn("_k", F.explode(F.array_distinct(N.report_surname_keys("s_last", "v_last", t.surname_ratio))))
+    known = r.withColumn("_k", F.explode(F.array_distinct(N.registry_surname_keys("p_last", t.surname_ratio))))
+    pairs = asked.join(known, ["event_id", "_k"]).filter(possible).drop("_k").dropDuplicates(["mention_id", "event_id", "place", "seq", "person_id"])
 
     tested = pairs.withColumns(
         {f"_{part}": N.part_match(f"s_{part}", f"p_{part}", f"v_{part}", limit, label) for part, limit, label in limits})
@@ -106,20 +83,12 @@ def link_candidates(
 def assign(candidates: DataFrame) -> DataFrame:
     """Greedy one-to-one: people in their order take the strongest free row, ties to the first.
 
-    Only candidates that could be picked are gathered: with n people linked in
-    an event, a person's choice is among the n best compatible and n last
-    clashing rows, so a gathered group is bounded by the text, not the registry.
+    What is gathered are the pairs of one mention and event that passed the name test.
     """
     group = ["mention_id", "event_id"]
-    heads = candidates.groupBy(*group).agg(F.count_distinct("seq", F.col("place")).alias("_n"))
-    person = W.partitionBy(*group, "place", "birth_ok")
-    order = F.when(F.col("birth_ok"), -F.col("strength")).otherwise(0)
-    ranked = candidates.join(heads, group).withColumns({
-        "_rn": F.row_number().over(person.orderBy(order, F.when(F.col("birth_ok"), F.col("person_id")), F.desc("person_id"))),
-    }).filter("_rn <= _n + 1")
     option = F.struct(
         (-F.col("strength")).alias("weak"), "person_id", "record_id", "match_type", "note", "birth_ok")
-    per_person = ranked.groupBy(*group, "place", "seq").agg(F.array_sort(F.collect_list(option)).alias("options"))
+    per_person = candidates.groupBy(*group, "place", "seq").agg(F.array_sort(F.collect_list(option)).alias("options"))
     people = per_person.groupBy(*group).agg(
         F.array_sort(F.collect_list(F.struct("place", "seq", "options"))).alias("people"))
     result = "array<struct<seq:int,person_id:string,bucket:string,match_type:string,note:string>>"
@@ -175,22 +144,31 @@ def link_persons(
         .join(here.select("mention_id", "event_id", "seq", "birth", "k_birth",
                           *[F.col(k).alias(f"m_{k}") for k in keys]), ["mention_id", "event_id", "seq"])
     )
-    covered_people = taken.select("mention_id", "event_id", *[F.col(f"m_{k}").alias(k) for k in keys], "k_birth").distinct()
+    # a matched pair covers both sides' namesakes of equal birth, a possible one only if a known year agrees
+    year = F.coalesce((F.year("birth") == F.year("p_birth")) & (N.year_only("birth") | N.year_only("p_birth")), F.lit(False))
+    covers = taken.filter((F.col("bucket") == "matched") | year)
+    covered_people = covers.select("mention_id", "event_id", *[F.col(f"m_{k}").alias(k) for k in keys], "k_birth").distinct()
     missing_here = open_.filter("bucket = 'missing_in_registry'").join(
         covered_people, ["mention_id", "event_id", *keys, "k_birth"], "left_anti")
 
+    # equal records are reported once: by the first that no placed row accounts for
     record = ["event_id", *keys, "p_birth"]
-    distinct_rows = registered.groupBy(*record).agg(F.min("person_id").alias("person_id"))
+    two = W.partitionBy(*record).orderBy("person_id")
+    distinct_rows = registered.withColumn("_rn", F.row_number().over(two)).filter("_rn <= 2").groupBy(*record).agg(
+        F.min("person_id").alias("_first"), F.max(F.when(F.col("_rn") == 2, F.col("person_id"))).alias("_second"))
     wanted = pairs.select("mention_id", "event_id").distinct().join(distinct_rows, "event_id")
-    # every placed row, matched or possible, accounts for its own record
-    accounted = taken.select("mention_id", *record).distinct()
-    missing_there = wanted.alias("w").join(
-        accounted.alias("a"),
-        (F.col("w.mention_id") == F.col("a.mention_id")) & (F.col("w.event_id") == F.col("a.event_id"))
-        & (F.col("w.k_last") == F.col("a.k_last")) & (F.col("w.k_first") == F.col("a.k_first"))
-        & (F.col("w.k_middle") == F.col("a.k_middle")) & F.col("w.p_birth").eqNullSafe(F.col("a.p_birth")),
-        "left_anti",
-    )
+
+    def same(a: str, b: str) -> Column:
+        on = F.col(f"{a}.p_birth").eqNullSafe(F.col(f"{b}.p_birth"))
+        for k in ("mention_id", "event_id", *keys):
+            on = on & (F.col(f"{a}.{k}") == F.col(f"{b}.{k}"))
+        return on
+
+    left = wanted.alias("w").join(covers.select("mention_id", *record).distinct().alias("c"), same("w", "c"), "left_anti")
+    accounted = taken.select("mention_id", *record, F.lit(True).alias("_taken")).distinct()
+    missing_there = left.alias("w").join(accounted.alias("a"), same("w", "a"), "left").select(
+        F.col("w.mention_id").alias("mention_id"), F.col("w.event_id").alias("event_id"),
+        F.when(F.col("_taken"), F.col("_second")).otherwise(F.col("_first")).alias("person_id")).filter("person_id IS NOT NULL")
     none = F.lit(None).cast("string")
     out = ["mention_id", "event_id", "seq", "person_id", "bucket", "match_type", "note"]
     return (

@@ -49,21 +49,11 @@ def not_blank(column: str) -> Column:
     return ~(F.col(column).isNull() | (F.col(column) == ""))
 
 
-def children_list(parents: DataFrame, children: DataFrame, key: str, item: list[str], name: str, chunk: int = 10_000) -> DataFrame:
-    """Parents with their children as sorted lists; no child gives one empty list.
-
-    A parent with more than ``chunk`` children gets several rows, numbered by
-    ``part``, so no list and no task holds an unbounded group.
-    """
-    sizes = children.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.filter(F.col("_n") > chunk)
-    rows = children.join(big, key, "left").withColumn(
-        "part", F.when(F.col("_n").isNull(), 0).otherwise(
-            F.pmod(F.xxhash64(*item), F.ceil(F.col("_n") / chunk) + 1)).cast("int"))
-    lists = rows.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(*item))).alias(name))
+def children_list(parents: DataFrame, children: DataFrame, key: str, item: list[str], name: str) -> DataFrame:
+    """Parents with their children as one sorted list each; no child gives an empty list."""
+    lists = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*item))).alias(name))
     kind = lists.schema[name].dataType
-    return parents.join(lists, key, "left").withColumns({
-        name: F.coalesce(F.col(name), F.array().cast(kind)), "part": F.coalesce("part", F.lit(0))})
+    return parents.join(lists, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
 
 
 def count_children(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:

@@ -192,7 +192,7 @@ def slice_documents(
     verdict = sizes.join(ranges.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("segments_total"), F.count("first").alias("segments_applied")), "doc_id", "left").na.fill(0)
     missing = (F.col("segments_applied") < F.col("segments_total")) | (F.col("segments_total") == 0)
-    limited = missing & (F.col("segments_applied") > 0) & (F.col("total_elements") > t.slice_fallback_elements)
+    limited = missing & (F.col("segments_applied") > 0) & (F.lit(False) if t.slice_fallback_elements is None else F.col("total_elements") > t.slice_fallback_elements)
     verdict = verdict.withColumn("strategy", F.when(F.col("segments_total") == 0, "none").when(limited, "anchors-missing-limited")
                                  .when(missing, "anchors-missing").otherwise("anchors"))
     merged = merge_ranges(ranges.filter("first <= last"), ["doc_id"], "first", "last").drop("parts")
@@ -207,10 +207,10 @@ def slice_documents(
     return kept, table
 
 
-def anchor_report(ranges: DataFrame, elements: DataFrame, limit: int = 20_000) -> DataFrame:
+def anchor_report(ranges: DataFrame, elements: DataFrame, limit: int | None = None) -> DataFrame:
     """Per segment a short summary with the matched lines, for the slicing status."""
     lines = scale.segmented_scan(elements, ["doc_id"], ["idx"], {"_no": ("count", F.lit(1))}).select(
-        "doc_id", (F.col("_no") - 1).alias("_no"), truncate_tail("text", limit).alias("_text"))
+        "doc_id", (F.col("_no") - 1).alias("_no"), (F.col("text") if limit is None else truncate_tail("text", limit)).alias("_text"))
     out = ranges
     for side in ("start", "end"):
         named = lines.select("doc_id", F.col("_no").alias(f"{side}_idx"), F.col("_text").alias(f"{side}_line"))

@@ -35,7 +35,7 @@ def upsert_orgs(stored: DataFrame, incoming: DataFrame, *, force: bool = False,
         F.coalesce(needs, F.lit(False)).alias("needs_embedding"))
 
 
-def describe_units(units: DataFrame, *, alias_limit: int = 30, fold=U.unit_fold) -> DataFrame:
+def describe_units(units: DataFrame, *, alias_limit: int | None = None, fold=U.unit_fold) -> DataFrame:
     """Normal forms, aliases and the source hash of incoming units."""
     short = F.trim(F.coalesce("short_name", F.lit("")))
     name = F.trim("name")

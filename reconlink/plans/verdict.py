@@ -129,11 +129,10 @@ def comments(rows: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return rows.withColumn("comments", F.array_compact(F.when(m, matched).otherwise(unmatched)))
 
 
-def person_report(links: DataFrame, people: DataFrame, registry: DataFrame, chunk: int = 1000) -> DataFrame:
+def person_report(links: DataFrame, people: DataFrame, registry: DataFrame) -> DataFrame:
     """mention_id, event_id, line_no, line: what differs between the persons of both sides.
 
-    ``people`` and ``registry`` carry a ``display`` column. A long list of
-    missing persons is given in several lines of about ``chunk`` names.
+    ``people`` and ``registry`` carry a ``display`` column. Missing persons of a side are one line.
     """
     pair = ["mention_id", "event_id"]
     rows = links.join(people.select("mention_id", "seq", F.col("display").alias("_s")), ["mention_id", "seq"], "left").join(
@@ -150,9 +149,7 @@ def person_report(links: DataFrame, people: DataFrame, registry: DataFrame, chun
     single = rows.select(*pair, order.alias("line_no"), line.alias("line")).filter("line IS NOT NULL").distinct()
     missing = rows.filter(bucket.isin("missing_in_registry", "missing_in_report")).select(
         *pair, "bucket", F.coalesce("_s", "_p").alias("_name")).distinct()
-    sizes = missing.groupBy(*pair, "bucket").agg(F.count(F.lit(1)).alias("_n"))
-    parts = missing.join(sizes, [*pair, "bucket"]).withColumn("_part", F.pmod(F.xxhash64("_name"), F.ceil(F.col("_n") / chunk)))
-    lists = parts.groupBy(*pair, "bucket", "_part").agg(F.array_join(F.array_sort(F.collect_list("_name")), ", ").alias("_l"))
+    lists = missing.groupBy(*pair, "bucket").agg(F.array_join(F.array_sort(F.collect_list("_name")), ", ").alias("_l"))
     here = F.col("bucket") == "missing_in_registry"
     return single.unionByName(lists.select(
         *pair, F.when(here, 4).otherwise(5).alias("line_no"),

@@ -133,7 +133,7 @@ RULES = """r AS (SELECT item_id AS rule_id, regexp_extract_all(lower(text), '[a-
 
 
 @query("regex_rules", f"""
-WITH {RULES}, d AS (SELECT doc_id, substr({FOLD.format(c='text')}, 1, 800) AS body FROM documents)
+WITH {RULES}, d AS (SELECT doc_id, {FOLD.format(c='text')} AS body FROM documents)
 SELECT doc_id, rule_id, regexp_extract(body, '(?i)' || pattern) AS fragment FROM d JOIN r ON regexp_matches(body, '(?i)' || pattern)
 """)
 def regex_rules(t: Tables) -> DataFrame:
@@ -170,10 +170,10 @@ def same_pattern_expand(t: Tables) -> DataFrame:
 
 @query("pattern_category_map", f"""
 WITH {PART_RULES}
-SELECT pattern, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM pr WHERE pattern IN (SELECT p_name FROM part WHERE p_retailprice > 1000) GROUP BY pattern
+SELECT pattern, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM pr WHERE pattern IN (SELECT p_name FROM part WHERE p_size > 25) GROUP BY pattern
 """)
 def pattern_category_map(t: Tables) -> DataFrame:
-    used = t.part.filter("p_retailprice > 1000").select(F.col("p_name").alias("pattern"))
+    used = t.part.filter("p_size > 25").select(F.col("p_name").alias("pattern"))
     return C.pattern_categories(used, part_rules(t)).withColumn("categories", F.array_join("categories", ","))
 
 
@@ -194,16 +194,16 @@ def similar_rules(t: Tables) -> DataFrame:
 
 @query("strategy_ladder", """
 WITH a AS (SELECT doc_id, item_id, 'whole' AS strategy FROM documents d JOIN benchmark b ON instr(d.text, b.text) > 0),
-b AS (SELECT doc_id, item_id, 'head' AS strategy FROM documents d JOIN benchmark b ON instr(lower(d.text), lower(left(b.text, 20))) > 0)
+b AS (SELECT doc_id, item_id, 'folded' AS strategy FROM documents d JOIN benchmark b ON instr(lower(d.text), lower(b.text)) > 0)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)
 """)
 def strategy_ladder(t: Tables) -> DataFrame:
     """The first strategy that finds anything in a document answers for it."""
     whole = D.contained_names(t.documents, t.benchmark, text_key="doc_id", text="text", name_key="item_id", name="text")
     low = t.documents.select("doc_id", F.lower("text").alias("text"))
-    heads = t.benchmark.select("item_id", F.lower(F.left("text", F.lit(20))).alias("head"))
-    part = D.contained_names(low, heads, text_key="doc_id", text="text", name_key="item_id", name="head")
-    return replace_when_found(part.select("doc_id", "item_id", F.lit("head").alias("strategy")),
+    folded = t.benchmark.select("item_id", F.lower("text").alias("name"))
+    part = D.contained_names(low, folded, text_key="doc_id", text="text", name_key="item_id", name="name")
+    return replace_when_found(part.select("doc_id", "item_id", F.lit("folded").alias("strategy")),
                               whole.select("doc_id", "item_id", F.lit("whole").alias("strategy")), ["doc_id"])
 
 

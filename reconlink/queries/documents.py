@@ -188,10 +188,9 @@ WITH k AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\
 w AS (SELECT conv_id, turn, s, z, array_to_string(list_slice(toks, s, s + z - 1), ' ') AS words FROM
   (SELECT *, unnest(generate_series(1, len(toks))) AS s FROM k), (SELECT unnest([1, 2, 3, 4, 5, 6]) AS z) WHERE s + z - 1 <= len(toks))
 SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY s, z) - 1 AS INT) AS w, words FROM w
-QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY s, z) <= 80
 """)
 def token_windows_small(t: Tables) -> DataFrame:
-    rows = t.conversations.select("conv_id", "turn", F.posexplode(windows_by_start(F.lower("text"), (1, 6), 80)).alias("w", "win"))
+    rows = t.conversations.select("conv_id", "turn", F.posexplode(windows_by_start(F.lower("text"), (1, 6))).alias("w", "win"))
     return rows.select("conv_id", "turn", "w", F.col("win.text").alias("words"))
 
 
@@ -200,10 +199,9 @@ WITH k AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[а-яёa-z0-9
 w AS (SELECT conv_id, turn, s, z, array_to_string(list_slice(toks, s, s + z - 1), ' ') AS words FROM
   (SELECT *, unnest(generate_series(1, len(toks))) AS s FROM k), (SELECT unnest([4, 5, 6, 7, 8, 9, 10]) AS z) WHERE s + z - 1 <= len(toks))
 SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY z, s) - 1 AS INT) AS w, words FROM w
-QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY z, s) <= 90
 """)
 def token_windows_large(t: Tables) -> DataFrame:
-    rows = t.conversations.select("conv_id", "turn", F.posexplode(windows_by_size(F.lower("text"), (4, 10), 90)).alias("w", "win"))
+    rows = t.conversations.select("conv_id", "turn", F.posexplode(windows_by_size(F.lower("text"), (4, 10))).alias("w", "win"))
     return rows.select("conv_id", "turn", "w", F.array_join("win.tokens", " ").alias("words"))
 
 
@@ -457,11 +455,9 @@ def result_sink_roundtrip(t: Tables) -> DataFrame:
     """Written by batch, one batch read back: the filter prunes folders."""
     import uuid
 
-    folder = t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
+    from reconlink.scale import checkpoint_folder
 
-        folder = tempfile.mkdtemp(prefix="reconlink-")
+    folder = checkpoint_folder(t.spark)
     path = f"{folder}/sink-{uuid.uuid4().hex}"
     rows = t.events.select(F.col("event_type").alias("batch_id"), "event_id", "value")
     K.write_results(rows.select("batch_id", "event_id"), rows, path)

@@ -63,8 +63,10 @@ e AS (SELECT event_id, ts AS event_ts, user_id AS unit_id,
 """
 
 
-def _stage_sql(span: str, by_unit: bool, limit: int, source: str = "m") -> str:
+def _stage_sql(span: str, by_unit: bool, limit: int | None = None, source: str = "m") -> str:
     unit = "AND m.unit_id = e.unit_id" if by_unit else ""
+    if limit is None:
+        return f"SELECT m.mention_id, e.event_id FROM {source} m JOIN e ON e.event_ts BETWEEN m.ts - INTERVAL {span} AND m.ts + INTERVAL {span} {unit}"
     return f"""
     SELECT m.mention_id, e.event_id,
            row_number() OVER (PARTITION BY m.mention_id ORDER BY e.event_ts DESC, e.event_id) AS rank_in_window
@@ -117,9 +119,9 @@ SCORED = """
 FLAGS = "CAST(date_ok AS INT) + CAST(unit_ok AS INT) + CAST(persons_ok AS INT)"
 
 STAGE1 = f"""
-h1 AS (SELECT mention_id, event_id, 'stage1_unit_time' AS stage FROM ({_stage_sql('30 MINUTE', True, 500)})
+h1 AS (SELECT mention_id, event_id, 'stage1_unit_time' AS stage FROM ({_stage_sql('30 MINUTE', True)})
        UNION ALL
-       SELECT mention_id, event_id, 'stage1_time' FROM ({_stage_sql('30 MINUTE', False, 500)})),
+       SELECT mention_id, event_id, 'stage1_time' FROM ({_stage_sql('30 MINUTE', False)})),
 c1 AS (SELECT DISTINCT mention_id, event_id FROM h1),
 s1 AS ({SCORED.format(pairs='c1')})
 """
@@ -133,8 +135,8 @@ FROM s1
 """)
 def ladder_stage1(t: Tables) -> DataFrame:
     m, e = mentions(t), registry(t)
-    hits = L.time_stage(m, e, "stage1_unit_time", 1800, 500, True).unionByName(
-        L.time_stage(m, e, "stage1_time", 1800, 500, False))
+    hits = L.time_stage(m, e, "stage1_unit_time", 1800, True).unionByName(
+        L.time_stage(m, e, "stage1_time", 1800, False))
     return L.ranked(L.score(hits.select("mention_id", "event_id").distinct(), m, e, same_key(t)))
 
 
@@ -142,21 +144,15 @@ LADDER = f"""
 {M}, {STAGE1},
 o1 AS (SELECT * FROM m WHERE mention_id NOT IN (SELECT mention_id FROM s1 WHERE {FLAGS} >= 2)),
 sure AS (SELECT * FROM o1 WHERE high_conf),
-h2 AS (SELECT mention_id, event_id, 'stage2_unit_time' AS stage FROM ({_stage_sql('1 DAY', True, 500, 'sure')})
-       UNION ALL SELECT mention_id, event_id, 'stage2_time' FROM ({_stage_sql('1 DAY', False, 500, 'o1')})
-       UNION ALL SELECT mention_id, event_id, 'stage3_unit_time' FROM ({_stage_sql('7 DAY', True, 500, 'sure')})
-       UNION ALL SELECT mention_id, event_id, 'stage3_time' FROM ({_stage_sql('7 DAY', False, 500, 'o1')})),
+h2 AS (SELECT mention_id, event_id, 'stage2_unit_time' AS stage FROM ({_stage_sql('1 DAY', True, None, 'sure')})
+       UNION ALL SELECT mention_id, event_id, 'stage2_time' FROM ({_stage_sql('1 DAY', False, None, 'o1')})
+       UNION ALL SELECT mention_id, event_id, 'stage3_unit_time' FROM ({_stage_sql('7 DAY', True, None, 'sure')})
+       UNION ALL SELECT mention_id, event_id, 'stage3_time' FROM ({_stage_sql('7 DAY', False, None, 'o1')})),
 c2 AS (SELECT DISTINCT mention_id, event_id FROM h2),
 s2 AS (SELECT * FROM s1 UNION ({SCORED.format(pairs='c2')})),
 o2 AS (SELECT * FROM o1 WHERE mention_id NOT IN (SELECT mention_id FROM s2 WHERE {FLAGS} >= 2)),
-ku AS (SELECT mention_id, event_id FROM (
-         SELECT o2.mention_id, e.event_id,
-                row_number() OVER (PARTITION BY o2.mention_id ORDER BY e.event_ts DESC, e.event_id) AS rn
-         FROM o2 JOIN e ON o2.k = e.k AND o2.unit_id = e.unit_id WHERE o2.high_conf) WHERE rn <= 75),
-ko AS (SELECT mention_id, event_id FROM (
-         SELECT o2.mention_id, e.event_id,
-                row_number() OVER (PARTITION BY o2.mention_id ORDER BY e.event_ts DESC, e.event_id) AS rn
-         FROM o2 JOIN e ON o2.k = e.k WHERE o2.mention_id NOT IN (SELECT mention_id FROM ku)) WHERE rn <= 75),
+ku AS (SELECT o2.mention_id, e.event_id FROM o2 JOIN e ON o2.k = e.k AND o2.unit_id = e.unit_id WHERE o2.high_conf),
+ko AS (SELECT o2.mention_id, e.event_id FROM o2 JOIN e ON o2.k = e.k WHERE o2.mention_id NOT IN (SELECT mention_id FROM ku)),
 c4 AS (SELECT * FROM ku UNION SELECT * FROM ko),
 s4 AS ({SCORED.format(pairs='c4')}),
 s AS (SELECT * FROM s2 WHERE mention_id NOT IN (SELECT mention_id FROM c4) UNION ALL SELECT * FROM s4),
@@ -198,7 +194,7 @@ SELECT mention_id, {", ".join(f"count(*) FILTER (stage = '{s}') AS {s}" for s in
 FROM hits GROUP BY mention_id
 """)
 def stage_counts_decisive(t: Tables) -> DataFrame:
-    """Rows per stage read off the positions, without fetching the rows."""
+    """Rows per stage read off positions, without making the pairs."""
     return L.stage_counts(L.resolve(mentions(t), registry(t), same_key(t), by_key(t)).stages)
 
 
@@ -213,11 +209,9 @@ def stage_count_pivot(t: Tables) -> DataFrame:
 
 @query("two_path_lookup", f"""
 WITH {M},
-u AS (SELECT m.mention_id, e.event_id FROM m JOIN e ON m.k = e.k AND m.unit_id = e.unit_id WHERE m.high_conf
-      QUALIFY row_number() OVER (PARTITION BY m.mention_id ORDER BY e.event_ts DESC, e.event_id) <= 75),
+u AS (SELECT m.mention_id, e.event_id FROM m JOIN e ON m.k = e.k AND m.unit_id = e.unit_id WHERE m.high_conf),
 o AS (SELECT m.mention_id, e.event_id, m.high_conf FROM m JOIN e ON m.k = e.k
-      WHERE m.mention_id NOT IN (SELECT mention_id FROM u)
-      QUALIFY row_number() OVER (PARTITION BY m.mention_id ORDER BY e.event_ts DESC, e.event_id) <= 75)
+      WHERE m.mention_id NOT IN (SELECT mention_id FROM u))
 SELECT mention_id, CAST(1 AS INT) AS seq, event_id, 'person_unit' AS path FROM u
 UNION ALL SELECT mention_id, 1, event_id, CASE WHEN high_conf THEN 'person_unit_then_only' ELSE 'person_only' END FROM o
 """)
@@ -227,11 +221,9 @@ def two_path_lookup(t: Tables) -> DataFrame:
 
 @query("path_summary", f"""
 WITH {M},
-u AS (SELECT m.mention_id, e.event_id FROM m JOIN e ON m.k = e.k AND m.unit_id = e.unit_id WHERE m.high_conf
-      QUALIFY row_number() OVER (PARTITION BY m.mention_id ORDER BY e.event_ts DESC, e.event_id) <= 75),
+u AS (SELECT m.mention_id, e.event_id FROM m JOIN e ON m.k = e.k AND m.unit_id = e.unit_id WHERE m.high_conf),
 o AS (SELECT m.mention_id, m.high_conf FROM m JOIN e ON m.k = e.k
-      WHERE m.mention_id NOT IN (SELECT mention_id FROM u)
-      QUALIFY row_number() OVER (PARTITION BY m.mention_id ORDER BY e.event_ts DESC, e.event_id) <= 75)
+      WHERE m.mention_id NOT IN (SELECT mention_id FROM u))
 SELECT mention_id, count(*) AS rows_unit, CAST(0 AS BIGINT) AS rows_only, 'person_unit' AS path FROM u GROUP BY mention_id
 UNION ALL
 SELECT mention_id, 0, count(*), max(CASE WHEN high_conf THEN 'person_unit_then_only' ELSE 'person_only' END) FROM o GROUP BY mention_id
@@ -250,7 +242,7 @@ def cond_replace(t: Tables) -> DataFrame:
     from reconlink.operators.relops import replace_when_found
 
     m, e = mentions(t), registry(t)
-    a = L.time_stage(m, e, "a", 1800, 1_000_000_000, False).select("mention_id", "event_id")
+    a = L.time_stage(m, e, "a", 1800, False).select("mention_id", "event_id")
     b = m.join(e, ["k", "unit_id"]).select("mention_id", "event_id")
     return replace_when_found(a, b, ["mention_id"])
 
@@ -261,8 +253,8 @@ SELECT m.mention_id, e.event_id, count(*) AS overlap
 FROM m JOIN e ON m.unit_id = e.unit_id AND m.k = e.k GROUP BY ALL
 """)
 def overlap_key_score(t: Tables) -> DataFrame:
-    pairs = mentions(t).drop("k").join(registry(t).drop("k"), "unit_id").select("mention_id", "event_id")
-    return same_key(t)(pairs).groupBy("mention_id", "event_id").agg(F.sum("overlap").alias("overlap"))
+    pairs = mentions(t).join(registry(t).select("event_id", "unit_id", "k"), ["unit_id", "k"])
+    return pairs.groupBy("mention_id", "event_id").agg(F.count(F.lit(1)).alias("overlap"))
 
 
 def people_of(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:

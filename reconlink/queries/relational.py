@@ -59,7 +59,7 @@ def events_in_window_newest_n(t: Tables) -> DataFrame:
 @query("folded_name_lookup", """
 SELECT o_orderkey AS event_id, o_orderstatus AS event_type FROM orders WHERE EXISTS (
   SELECT 1 FROM customer WHERE c_custkey = o_custkey AND replace(lower(c_name), 'ё', 'е') = replace(lower('CUSTOMER#000000007'), 'ё', 'е'))
-ORDER BY o_orderdate DESC, o_orderkey LIMIT 200
+
 """)
 def folded_name_lookup(t: Tables) -> DataFrame:
     return registry_of(t).events_by_person("CUSTOMER#000000007").select("event_id", "event_type")
@@ -68,7 +68,7 @@ def folded_name_lookup(t: Tables) -> DataFrame:
 @query("name_year_lookup", """
 SELECT o_orderkey AS event_id, o_orderstatus AS event_type FROM orders WHERE year(o_orderdate) = 1997 AND EXISTS (
   SELECT 1 FROM customer WHERE c_custkey = o_custkey AND lower(c_name) = 'customer#000000007')
-ORDER BY o_orderdate DESC, o_orderkey LIMIT 200
+
 """)
 def name_year_lookup(t: Tables) -> DataFrame:
     return registry_of(t).events_by_person("Customer#000000007", birth_year=1997).select("event_id", "event_type")
@@ -77,12 +77,11 @@ def name_year_lookup(t: Tables) -> DataFrame:
 @query("name_unit_lookup", """
 SELECT o_orderkey AS event_id, c_nationkey AS unit_id FROM orders JOIN customer ON c_custkey = o_custkey
 WHERE lower(c_name) = 'customer#000000007' AND c_nationkey = (SELECT c_nationkey FROM customer WHERE c_name = 'Customer#000000007')
-ORDER BY o_orderdate DESC, o_orderkey LIMIT 200
+
 """)
 def name_unit_lookup(t: Tables) -> DataFrame:
     unit = t.customer.filter("c_name = 'Customer#000000007'").select("c_nationkey").scalar()
-    rows = registry_of(t).events_by_person("Customer#000000007")
-    return rows.filter(F.col("unit_id") == unit).select("event_id", "unit_id")
+    return registry_of(t).events_by_person("Customer#000000007", unit_id=unit).select("event_id", "unit_id")
 
 
 @query("semi_key_list", """
@@ -363,7 +362,7 @@ def other_schema(t: Tables) -> DataFrame:
 
 
 @query("optional_window", """
-SELECT event_id FROM (SELECT event_id, ts, user_id FROM events WHERE ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 500) WHERE user_id = 7
+SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-20' AND user_id = 7
 """)
 def optional_window(t: Tables) -> DataFrame:
     import datetime as dt

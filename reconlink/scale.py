@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,12 +22,23 @@ REPLICATE_ROWS = 500_000
 REPLICATE_BYTES = 64 * 1024 * 1024
 
 
+def checkpoint_folder(spark) -> str:
+    """The session's shared folder ``spark.checkpoint.dir``.
+
+    Only in local mode, where every task sees the driver's disk, is a folder made when none is set.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or f"/tmp/reconlink-checkpoints-{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the session's checkpoint folder and drop its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="reconlink-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -200,12 +211,12 @@ BLOCK = 64
 
 
 def time_line(
-    left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str, tie: str, windows: dict[str, tuple[int, int, int]],
+    left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str, tie: str, windows: dict[str, tuple[int, int, int | None]],
     keys: list[str] | None = None, hot_rows: int = HOT_ROWS, cut_scan: bool = False,
 ) -> TimeLine:
     """Place all right rows and all window borders on one line, by one segmented scan.
 
-    ``windows``: name -> (seconds before, seconds after, limit). However many
+    ``windows``: name -> (seconds before, seconds after, limit or None). However many
     windows are asked for and however dense the line is, every row and border
     passes once and no pair of rows is made.
     """
@@ -216,7 +227,6 @@ def time_line(
     pts = left.filter(F.col(left_ts).isNotNull()).select(*keys, _micros(left_ts).alias("_lt")).distinct()
     packed = F.struct(*payload, "_rt").alias("_row")
     kind = ev.select(packed).schema[0].dataType
-    largest = max(limit for _, _, limit in windows.values())
     borders = F.array(*[
         F.struct((F.col("_lt") + F.lit(shift * micro)).alias("_t"), F.lit(side).alias("_kind"), F.lit(name).alias("window"))
         for name, (before, after, _) in windows.items() for side, shift in ((0, -before), (2, after))])
@@ -225,10 +235,6 @@ def time_line(
         F.lit(None).cast("long").alias("_lt"),
     ).unionByName(pts.select(*keys, "_lt", F.explode(borders).alias("_x")).select(
         *keys, "_x.*", F.lit(None).cast(ev.schema[tie].dataType).alias("_tie"), F.lit(None).cast(kind).alias("_row"), "_lt"))
-    if hot_rows < HOT_ROWS or line.count() > hot_rows:
-        # a row beyond the newest of its own instant is never wanted
-        same = W.partitionBy(*keys, "_t", "_kind", "window", "_lt").orderBy(F.col("_tie").asc())
-        line = line.withColumn("_k", F.row_number().over(same)).filter(F.col("_k") <= largest).drop("_k")
     # scanned from the future to the past: position 1 is the newest row. At one
     # instant a window's late border comes first, then the rows, then early borders.
     spot = segmented_scan(
@@ -236,11 +242,11 @@ def time_line(
         {"_pos": ("sum", F.when(F.col("_kind") == 1, 1).otherwise(0))}, hot_rows=hot_rows,
     ).select(*keys, "_kind", "window", "_lt", "_pos", "_row")
     spot = cut(spot) if cut_scan else spot
-    limit_of = F.create_map(*[F.lit(x) for name, (_, _, limit) in windows.items() for x in (name, limit)])
+    limit_of = F.create_map(*[x for name, (_, _, limit) in windows.items() for x in (F.lit(name), F.lit(limit).cast("long"))])
     ranges = (
         spot.filter("_kind <> 1").groupBy(*keys, "_lt", "window")
         .agg(F.max(F.when(F.col("_kind") == 2, F.col("_pos"))).alias("newer"), F.max(F.when(F.col("_kind") == 0, F.col("_pos"))).alias("to"))
-        .withColumn("to", F.least(F.col("to"), F.col("newer") + F.element_at(limit_of, F.col("window"))))
+        .withColumn("to", F.least(F.col("to"), F.coalesce(F.col("newer") + F.element_at(limit_of, F.col("window")), F.col("to"))))
         .filter("to > newer")
     )
     rows = spot.filter("_kind = 1").select(*keys, "_pos", "_row", F.floor((F.col("_pos") - 1) / BLOCK).alias("_b"))

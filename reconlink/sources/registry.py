@@ -53,6 +53,12 @@ class QueryBook:
 DEFAULT_BOOK = QueryBook(NAMED)
 
 
+def newest(events: DataFrame, limit: int | None) -> DataFrame:
+    """All events newest first, or the first ``limit`` of them."""
+    rows = events.orderBy(F.desc("event_ts"), "event_id")
+    return rows if limit is None else rows.limit(limit)
+
+
 @dataclass(frozen=True)
 class Registry:
     """The registry is any four DataFrames with the agreed columns."""
@@ -75,14 +81,14 @@ class Registry:
     def event_by_id(self, event_id: str) -> DataFrame:
         return self.event.filter(F.col("event_id") == event_id)
 
-    def events_by_time(self, low, high, limit: int = 500, unit_id: str | None = None) -> DataFrame:
+    def events_by_time(self, low, high, limit: int | None = None, unit_id: str | None = None) -> DataFrame:
         rows = equal_if_given(self.event, "unit_id", unit_id).filter(F.col("event_ts").between(F.lit(low), F.lit(high)))
-        return rows.orderBy(F.desc("event_ts"), "event_id").limit(limit)
+        return newest(rows, limit)
 
-    def events_by_person(self, last: str, birth=None, birth_year: int | None = None, unit_id: str | None = None, limit: int = 200) -> DataFrame:
+    def events_by_person(self, last: str, birth=None, birth_year: int | None = None, unit_id: str | None = None, limit: int | None = None) -> DataFrame:
         people = self.person.filter((yo_fold("last") == yo_fold(F.lit(last))) & birth_filter("birth", birth, birth_year))
         rows = equal_if_given(self.event, "unit_id", unit_id).join(people, "event_id", "left_semi")
-        return rows.orderBy(F.desc("event_ts"), "event_id").limit(limit)
+        return newest(rows, limit)
 
     def persons_of(self, events: DataFrame) -> DataFrame:
         return self.person.join(events.select("event_id").distinct(), "event_id", "left_semi").orderBy("event_id", "person_id")
@@ -91,13 +97,12 @@ class Registry:
         rows = self.event if events is None else events
         return children_list(rows, self.person, "event_id", ["person_id", "last", "first", "middle", "birth"], "persons")
 
-    def candidates(self, low=None, high=None, unit_id: str | None = None, limit: int = 500, days: int = 36_500) -> DataFrame:
-        """Newest events in the window (±36 500 days of now by default), then the unit filter."""
+    def candidates(self, low=None, high=None, unit_id: str | None = None, limit: int | None = None, days: int = 36_500) -> DataFrame:
+        """Events of the unit in the window (±36 500 days of now by default), with a limit the newest."""
         now = F.current_timestamp()
         start = now - F.expr(f"INTERVAL {days} DAYS") if low is None else F.lit(low)
         end = now + F.expr(f"INTERVAL {days} DAYS") if high is None else F.lit(high)
-        rows = self.event.filter(F.col("event_ts").between(start, end)).orderBy(F.desc("event_ts"), "event_id").limit(limit)
-        return equal_if_given(rows, "unit_id", unit_id)
+        return newest(equal_if_given(self.event, "unit_id", unit_id).filter(F.col("event_ts").between(start, end)), limit)
 
     def close_to(self, moment, hours: int = 24) -> DataFrame:
         gap = F.abs(F.unix_micros(F.col("event_ts").cast("timestamp")) - F.unix_micros(F.lit(moment).cast("timestamp")))
@@ -106,11 +111,3 @@ class Registry:
     def with_parents(self, units: DataFrame) -> DataFrame:
         names = self.org.select("org_id", F.col("short_name").alias("org_short_name"), F.col("full_name").alias("org_full_name"))
         return units.join(names, "org_id", "left")
-
-
-def newest_by_person(people: DataFrame, registry: Registry, by: Column, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Set-wise person lookup: the newest events per folded surname."""
-    rows = registry.event.join(registry.person.select("event_id", by.alias("_k")).distinct(), "event_id")
-    w = W.partitionBy("_k").orderBy(F.desc("event_ts"), "event_id")
-    top = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= t.person_stage_limit)
-    return people.join(top, F.col("surname") == F.col("_k")).drop("_k", "_rn")

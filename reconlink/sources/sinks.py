@@ -18,9 +18,9 @@ def read_results(spark, path: str, batch_id: str | None = None) -> tuple[DataFra
     return pair if batch_id is None else tuple(df.filter(F.col("batch_id") == batch_id) for df in pair)
 
 
-def event_documents(results: DataFrame, key: list[str], text_limit: int = 20_000) -> DataFrame:
-    """One JSON document per row with its key; the text is cut with a note."""
-    shown = results.withColumn("text", truncate_tail("text", text_limit)) if "text" in results.columns else results
+def event_documents(results: DataFrame, key: list[str], text_limit: int | None = None) -> DataFrame:
+    """One JSON document per row with its key; with a limit the text is cut with a note."""
+    shown = results.withColumn("text", truncate_tail("text", text_limit)) if text_limit and "text" in results.columns else results
     return shown.select(*key, F.to_json(F.struct(*[c for c in shown.columns]), {"ignoreNullFields": "false"}).alias("document"))
 
 

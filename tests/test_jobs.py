@@ -50,12 +50,12 @@ def test_merge_ranges_and_paging(spark):
     assert pages == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
 
 
-def test_children_are_split_not_gathered(spark):
+def test_children_are_one_ordered_list(spark):
     parents = spark.createDataFrame([("a",), ("b",), ("c",)], "p string")
-    children = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1)], "p string, i int")
-    rows = R.children_list(parents, children, "p", ["i"], "items", chunk=10).collect()
-    assert max(len(r["items"]) for r in rows) < 50 and sorted(i["i"] for r in rows if r["p"] == "a" for i in r["items"]) == list(range(50))
-    assert [r["items"] for r in rows if r["p"] == "c"] == [[]]
+    children = spark.range(10_001).select(F.lit("a").alias("p"), (10_000 - F.col("id")).cast("int").alias("i")).unionByName(
+        spark.createDataFrame([("b", 1)], "p string, i int"))
+    rows = {r["p"]: [i["i"] for i in r["items"]] for r in R.children_list(parents, children, "p", ["i"], "items").collect()}
+    assert rows == {"a": list(range(10_001)), "b": [1], "c": []}
 
 
 def elements(spark, texts, doc="d"):
@@ -310,15 +310,50 @@ def test_reconcile_end_to_end(spark):
     assert stages["by person"]["stage4_persons"] == 1 and stages["unit and time"]["stage1_unit_time"] == 1
 
 
-def test_decisions_equal_the_full_ladder(spark):
-    """Dense times and tight limits, so that windows overflow and the last minute of the tolerance matters."""
+def brute_decisions(mentions, events, persons):
+    """The ladder by loops over all pairs, without limits."""
+    out = {}
+    for m, ts, unit, _, k in mentions:
+        def scored(found):
+            rows = []
+            for e, et, eu, ek in found:
+                minutes = int(abs((et - ts).total_seconds() * 1_000_000) // 60_000_000)
+                flags = (minutes <= 30, unit is not None and eu == unit, ek == k)
+                rows.append((-sum(flags), not flags[1], not flags[2], minutes, -int(ek == k), e, flags))
+            return sorted(rows)
+
+        gap = lambda e: abs((e[1] - ts).total_seconds())
+        rows = scored([e for e in events if gap(e) <= 1800])
+        if not rows or rows[0][0] > -2:
+            rows = scored([e for e in events if gap(e) <= 7 * 86400])
+            if persons and (not rows or rows[0][0] > -2):
+                sure = [e for e in events if e[3] == k and e[2] == unit and unit is not None] if mentions_sure[m] else []
+                late = scored(sure or [e for e in events if e[3] == k])
+                rows = late or rows
+        best = rows[0] if rows else None
+        date, own, same = best[6] if best else (False, False, False)
+        label = None if not best or -best[0] < 2 else "unit+time" if date and own else "time+persons" if date and same else "unit+persons"
+        out[m] = (best[5] if best else None, label)
+    return out
+
+
+mentions_sure: dict = {}
+
+
+def test_decisions_without_limits(spark):
+    """Dense instants of mixed units: resolve and climb against loops over all pairs."""
     rnd = random.Random(13)
     base = dt.datetime(2024, 3, 1)
     when = lambda days: base + dt.timedelta(seconds=rnd.choice([rnd.randint(0, 86400 * days), rnd.randint(0, 7200)]))
-    mentions = spark.createDataFrame([(i, when(12), rnd.choice([1, 2, 3, None]), rnd.random() < 0.5, rnd.randint(0, 9)) for i in range(150)],
-                                     "mention_id int, ts timestamp, unit_id int, high_conf boolean, k int")
-    events = spark.createDataFrame([(i, when(12), rnd.randint(1, 3), rnd.randint(0, 9)) for i in range(400)],
-                                   "event_id int, event_ts timestamp, unit_id int, k int")
+    m_rows = [(i, when(12), rnd.choice([1, 2, 3, None]), rnd.random() < 0.5, rnd.randint(0, 9)) for i in range(80)]
+    e_rows = [(i, when(12), rnd.randint(1, 3), rnd.randint(0, 9)) for i in range(200)]
+    # date-only events at one midnight: 600 of other units, the last of the mention's own
+    midnight = dt.datetime(2024, 4, 1)
+    m_rows.append((900, midnight, 7, True, 77))
+    e_rows += [(1000 + i, midnight, 8 + i % 3, 50) for i in range(599)] + [(1599, midnight, 7, 50)]
+    mentions_sure.update({r[0]: r[3] for r in m_rows})
+    mentions = spark.createDataFrame(m_rows, "mention_id int, ts timestamp, unit_id int, high_conf boolean, k int")
+    events = spark.createDataFrame(e_rows, "event_id int, event_ts timestamp, unit_id int, k int")
 
     def overlap(pairs):
         return pairs.join(mentions.select("mention_id", "k"), "mention_id").join(events.select("event_id", "k"), ["event_id", "k"]).select(
@@ -328,15 +363,16 @@ def test_decisions_equal_the_full_ladder(spark):
         people = open_.select("mention_id").join(mentions.select("mention_id", F.col("k").cast("string").alias("surname")), "mention_id").withColumns(
             {"seq": F.lit(1), "mode": F.lit("none"), "birth": F.lit(None).cast("date"), "birth_year": F.lit(None).cast("int")})
         known = events.select("event_id", F.col("k").cast("string").alias("surname"), F.lit(None).cast("date").alias("birth"))
-        return L.by_persons(open_, people, known, events, t)
-
-    for limit, stages in ((3, (None, persons)), (40, (persons,))):
-        t = Thresholds(stage_unit_limit=limit, stage_time_limit=limit, stage_fallback_limit=limit, person_stage_limit_no_birth=4)
-        for stage in stages:
-            full = L.climb(mentions, events, overlap, stage, t)
-            fast = L.resolve(mentions, events, overlap, stage, t)
-            columns = ["mention_id", "event_id", "method", "delta_minutes", "overlap"]
-            want = [tuple(r) if r["method"] else (r["mention_id"], None, None, None, None) for r in full.decisions.select(columns).orderBy("mention_id").collect()]
-            assert [tuple(r) for r in fast.decisions.select(columns).orderBy("mention_id").collect()] == want
-            counts = lambda r: sorted(map(tuple, L.stage_counts(r.stages).collect()))
-            assert counts(fast) == counts(full)
+        return L.by_persons(open_, people, known, events)
+
+    for stage in (persons, None):
+        want = brute_decisions(m_rows, e_rows, stage is not None)
+        full = L.climb(mentions, events, overlap, stage)
+        fast = L.resolve(mentions, events, overlap, stage)
+        got = {r["mention_id"]: (r["event_id"], r["method"]) for r in fast.decisions.collect()}
+        assert got == {m: (e, label) if label else (None, None) for m, (e, label) in want.items()}
+        assert got[900] == (1599, "unit+time")
+        if stage is not None:
+            assert {r["mention_id"]: (r["event_id"], r["method"]) for r in full.decisions.collect()} == want
+        counts = lambda r: sorted(map(tuple, L.stage_counts(r.stages).collect()))
+        assert counts(fast) == counts(full)
