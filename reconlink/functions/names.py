@@ -109,7 +109,7 @@ def split_full_name(value) -> Column:
     return F.struct(
         F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")).alias("last"),
         F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")).alias("first"),
-        F.array_join(F.slice(words, 3, 100), " ").alias("middle"),
+        F.array_join(F.slice(words, F.lit(3), F.size(words)), " ").alias("middle"),
     )
 
 
@@ -317,7 +317,7 @@ def person_mentions(value, birth_window: int = 60) -> Column:
     def complex_name(m: Column) -> Column:
         words = F.filter(F.split(m["text"], r"(?U)\s+"), lambda w: w != "")
         last, first = F.element_at(words, 1), F.element_at(words, 2)
-        middle = F.array_join(F.slice(words, 3, 10), " ")
+        middle = F.array_join(F.slice(words, F.lit(3), F.size(words)), " ")
         return _mention(whole, m, last, first, middle, F.array_join(words, " "), "regex_complex", birth_window)
 
     def initials(m: Column) -> Column:

@@ -6,7 +6,7 @@ the user and the person key is the number in the properties.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from reconlink import scale
 from reconlink.operators import persons as P
@@ -89,12 +89,14 @@ def interval_join_dense(t: Tables) -> DataFrame:
         tie="event_id", before=7 * 86_400, after=7 * 86_400, limit=20).select("mention_id", "event_id", "rank_in_window")
 
 
-@query("unit_interval_join", f"WITH {M} {_stage_sql('7 DAY', True, 500)}")
+@query("unit_interval_join", f"""
+WITH {M} SELECT m.mention_id, e.event_id, CAST(row_number() OVER (PARTITION BY m.mention_id ORDER BY e.event_ts DESC, e.event_id) AS INT) AS rank_in_window
+FROM m JOIN e ON m.unit_id = e.unit_id AND e.event_ts BETWEEN m.ts - INTERVAL 7 DAY AND m.ts + INTERVAL 7 DAY
+""")
 def unit_interval_join(t: Tables) -> DataFrame:
-    return scale.newest_in_window(
-        mentions(t).select("mention_id", "ts", "unit_id"), registry(t).select("event_id", "event_ts", "unit_id"),
-        left_ts="ts", right_ts="event_ts", tie="event_id", before=7 * 86_400, after=7 * 86_400, limit=500,
-        keys=["unit_id"]).select("mention_id", "event_id", "rank_in_window")
+    found = L.around(mentions(t), registry(t), 7 * 86_400, by_unit=True)
+    order = W.partitionBy("mention_id").orderBy(F.desc("event_ts"), "event_id")
+    return found.select("mention_id", "event_id", F.row_number().over(order).alias("rank_in_window"))
 
 
 @query("nearest_event", f"""
