@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from reconlink.functions.text import let, text
@@ -133,8 +131,3 @@ def clip_to_cells(spans, cells, joiner: str = " ") -> Column:
         )
 
     return let(text(spans), lambda items: F.flatten(F.transform(ranges, lambda c, i: clipped(items, c, i))))
-
-
-def matches_as(value, pattern: str, build: Callable[[Column], Column]) -> Column:
-    """``build`` over every match span of ``pattern``."""
-    return F.transform(all_spans(value, pattern), build)

@@ -8,7 +8,7 @@ from reconlink import scale
 from reconlink.config import DEFAULTS, Thresholds
 from reconlink.functions.spans import all_spans
 from reconlink.functions.text import anchor_details, anchor_fold, folded_similarity, literal_pattern, squeeze, tokens, truncate_tail, without_markers
-from reconlink.operators.relops import merge_ranges, only_latest_active, top_per
+from reconlink.operators.relops import merge_ranges, top_per
 
 
 def marker_state(rows: DataFrame, keys: list[str], order: list[str], begins: Column, ends: Column) -> DataFrame:
@@ -80,11 +80,6 @@ def marker_blocks(lines: DataFrame, begin: str = "[BEGIN]", end: str = "[END]",
     return blocks, warnings
 
 
-def active_templates(templates: DataFrame) -> DataFrame:
-    """Saving one active template of a (scope, org) switches the others off."""
-    return only_latest_active(templates, ["scope", "org_id"], "updated_at", "template_id", "is_active")
-
-
 def template_for(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """doc_id, template_id: the newest active template of the document's org, the general one without an org."""
     live = templates.filter("is_active")

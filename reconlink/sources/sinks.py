@@ -24,10 +24,6 @@ def event_documents(results: DataFrame, key: list[str], text_limit: int | None =
     return shown.select(*key, F.to_json(F.struct(*[c for c in shown.columns]), {"ignoreNullFields": "false"}).alias("document"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    documents.write.mode("overwrite").text(path) if documents.columns == ["document"] else documents.write.mode("overwrite").json(path)
-
-
 def batch_payload(batch: DataFrame, items: DataFrame) -> DataFrame:
     """Per batch the first non-empty template note and the number of items."""
     w = W.partitionBy("batch_id").orderBy("idx")
