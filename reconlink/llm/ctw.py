@@ -46,7 +46,7 @@ COMMON, STATES = 256, 16
 #: a word is a candidate for a common one if it is so much of some task's tokens
 SHARE = 1 / 5000
 #: distinct words that a task counts before it hands them on
-HELD = 600_000
+HELD = 400_000
 #: words and (context, byte) pairs that are worked on together
 WORDS, PAIRS = 50_000, 200_000
 END = b"\n"
@@ -369,19 +369,29 @@ def pair_scores(pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
 def word_scores(words: DataFrame, pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """word (with its state), n, n_word (of all states), first (one row of each word), logp: buckets of words meet the predictions that spell them."""
     many = max(1, -(-words.count() // WORDS))
-    dealt = words.withColumn("bucket", F.pmod(F.xxhash64(F.expr("substring(word, 2)")), F.lit(many)).cast("int"))
+    # words that begin alike share most of their contexts, so they lie in one bucket
+    bucket = F.pmod(F.xxhash64(F.expr("substring(word, 2, 5)")), F.lit(many)).cast("int")
+    dealt = words.select("word", "n", bucket.alias("bucket")).repartition("bucket")
 
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = [], None
+
+        def out() -> pa.RecordBatch:
+            keys = np.unique(spelled(held, depth)[0])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), own, dtype=np.int32)), pa.array(keys)], names=["bucket", "pair"])
+
         for batch in batches:
-            keys, owner = spelled(batch.column("word").to_pylist(), depth)
-            buckets = np.asarray(batch.column("bucket")).astype(np.int64)[owner]
-            order = np.lexsort((keys, buckets))
-            keys, buckets = keys[order], buckets[order]
-            new = np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(buckets) != 0)]) if len(keys) else np.zeros(0, dtype=bool)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets[new].astype(np.int32)), pa.array(keys[new])], names=["bucket", "pair"])
-
-    wanted = dealt.repartition("bucket").sortWithinPartitions("bucket").select("word", "bucket").mapInArrow(needs, "bucket int, pair long")
-    fetched = wanted.distinct().join(pairs, "pair").select("bucket", "pair", "logp")
+            for word, where in zip(batch.column("word").to_pylist(), batch.column("bucket").to_pylist()):
+                if where != own and held:
+                    yield out()
+                    held = []
+                own = where
+                held.append(word)
+        if held:
+            yield out()
+
+    wanted = dealt.sortWithinPartitions("bucket").select("word", "bucket").mapInArrow(needs, "bucket int, pair long")
+    fetched = wanted.join(pairs, "pair").select("bucket", "pair", "logp")
 
     def work(own: pa.Table, found: pa.Table) -> pa.Table:
         keyed, n = own.column("word").to_pylist(), own.column("n").to_pylist()
