@@ -411,6 +411,19 @@ def word_scores(words: DataFrame, pairs: DataFrame, depth: int = DEPTH) -> DataF
     return dealt.groupBy("bucket").cogroup(fetched.groupBy("bucket")).applyInArrow(work, "word binary, n long, n_word long, first boolean, logp double")
 
 
+def most_frequent(words: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The words above a count that at most ``most`` words reach; counts are looked at in steps of an eighth of a doubling."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, taken = None, 0
+    for r in sorted(sizes, reverse=True):
+        taken += r["words"]
+        if taken > most:
+            break
+        least = r["step"]
+    return words.where(step >= least) if least is not None else words.limit(0)
+
+
 def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Score (doc_id, text, trains): doc_id, trains, n_tokens, n_known, train_tokens, base_score, score."""
     states = word_states(docs)
@@ -419,7 +432,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     scored = cut(word_scores(words, pair_scores(pairs, depth), depth))
     total, kinds = scored.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("n_word") > 0), 1))).first()
     base = lambda n: np.log10((n + 0.5) / (total + 0.5 * (kinds + 1)))
-    top = scored.where((F.length("word") <= SHORT) & (F.col("n") > 0)).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    top = most_frequent(scored.where((F.length("word") <= SHORT) & (F.col("n") > 0))).collect()
     common = {bytes(r["word"]): (float(base(r["n_word"])), r["logp"]) for r in top}
     signs = {w: bytes([s]) for w, s in states.items()}
 
