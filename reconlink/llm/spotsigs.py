@@ -41,21 +41,39 @@ ROWS = 4000
 BUCKETS = 1024
 
 
-def signatures(text: Column) -> Column:
-    """Sorted array of the hashes of a text's signatures."""
-    whole = F.coalesce(text, F.lit(""))
-    words = F.trim(F.regexp_replace(F.lower(whole), r"[^\p{L}\p{N}]+", " "))
-    marked = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), f" (?:{'|'.join(ANCHORS)})(?= )", "\n")
-    content = F.regexp_replace(marked, f" (?:\\S{{1,2}}|{'|'.join(STOP)})(?=[ \\n])", "")
-    chains = F.regexp_extract_all(content, F.lit(rf"(\S+(?: \S+){{1,{CHAIN - 1}}})(?: \S+){{0,{STRETCH - CHAIN}}}"), F.lit(1))
-    single = F.regexp_extract_all(content, F.lit(r"\S+"), F.lit(0))
+def any_of(words: list[str]) -> str:
+    """A pattern for any of the words that looks at their first letter once."""
+    firsts = sorted({w[0] for w in words})
+    return "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in words if w[0] == c), key=len, reverse=True))})" for c in firsts)
+
+
+def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the sorted array of the hashes of a text's signatures.
+
+    Each step is a column of its own, so that none is computed again where the next one names it twice.
+    """
+    whole, words, content, chains, single = (F.col(f"_{out}_{name}") for name in ("whole", "words", "content", "chains", "single"))
+    marked = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), f" (?:{any_of(ANCHORS)})(?= )", "\n")
+    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(words) - 2)), lambda i: F.substring(words, i, F.lit(3)))
     size, none = F.length(words), F.array().cast("array<string>")
-    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - 2)), lambda i: F.substring(words, i, F.lit(3)))
     every = F.concat(
         F.when((size > 0) & (size < TINY), letters).otherwise(none), F.when((size < SHORT) | (F.size(chains) == 0), single).otherwise(none), F.when(size >= LONG, chains).otherwise(none)
     )
-    found = F.when(F.size(every) > 0, every).otherwise(F.array(whole))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.hash(s).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    found = F.col(f"_{out}_every")
+    steps = {
+        "whole": F.coalesce(F.col(text), F.lit("")),
+        "words": F.trim(F.regexp_replace(F.lower(whole), r"[^\p{L}\p{N}]+", " ")),
+        "content": F.regexp_replace(marked, f" (?:\\S{{1,2}}|{any_of(STOP)})(?=[ \\n])", ""),
+        "chains": F.regexp_extract_all(content, F.lit(rf"(\S+(?: \S+){{1,{CHAIN - 1}}})(?: \S+){{0,{STRETCH - CHAIN}}}"), F.lit(1)),
+        "single": F.when((F.length(words) < SHORT) | (F.size(chains) == 0), F.regexp_extract_all(content, F.lit(r"\S+"), F.lit(0))),
+        "every": every,
+        "found": F.when(F.size(found) > 0, found).otherwise(F.array(whole)),
+    }
+    rows = df
+    for name, step in steps.items():
+        rows = rows.withColumn(f"_{out}_{name}", step)
+    hashes = F.sort_array(F.array_distinct(F.transform(f"_{out}_found", lambda s: F.hash(s).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    return rows.withColumn(out, hashes).drop(*[f"_{out}_{name}" for name in steps])
 
 
 def hex_digits(hashes: Column) -> Column:
@@ -102,11 +120,11 @@ def followed(df: DataFrame, order: str, carried: list[str]) -> DataFrame:
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint next to those of its edited text and of the next document."""
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sigs", signatures(F.col("text")))
-    row = followed(plain, "doc_id", ["text", "sigs"]).withColumn("n_chars", F.length("text").cast("long"))
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    row = followed(with_signatures(plain, "text", "sigs"), "doc_id", ["text", "sigs"]).withColumn("n_chars", F.length("text").cast("long"))
     changed = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cast(floor(n_chars / 3) as int))"), F.substring(F.col("next.text"), F.lit(1), changed))
-    row = row.withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited")))
+    row = with_signatures(row.withColumn("edited", edited), "edited", "edited_sigs")
     return row.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hex_digits(F.col("sigs")).alias("fingerprint"), hex_digits(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next.sigs")).alias("near_next"),
