@@ -65,7 +65,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 found = [seeds_of(word_ids(words_of(t or "")), k, window) for t in part.column("text").to_pylist()]
                 rows = np.repeat(np.arange(len(part)), [len(h) for h, _ in found])
                 yield pa.RecordBatch.from_arrays(
@@ -211,7 +211,7 @@ def fragments(chain: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[str, np.ndarray] = ("", np.zeros(0, dtype=np.uint32))
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 starts, pieces = [], []
                 for t, b, n in zip(*(part.column(c).to_pylist() for c in ("text", "b", "n"))):
                     if held[0] != t:
@@ -292,22 +292,22 @@ def passages_of(text: str, chain: list[dict]) -> list[tuple]:
     return out
 
 
-def with_chains(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_chains``: for each row the chains of its doc_id (null if none)."""
+def with_chains(docs: DataFrame, how: str = "left") -> DataFrame:
+    """``docs`` with ``_chains``: for each row the chains of its doc_id (left: null if none)."""
     plain = docs.select("doc_id", "text")
     pieces = fragments(chained(matches(seeds(plain))), plain)
     each = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("first_id", "a", "b", "n", "at", "words")).alias("_chains"))
-    return docs.join(each, "doc_id", "left")
+    return docs.join(each, "doc_id", how)
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """One row per passage: doc_id, start, stop (words), agreeing words, and where it was first: first_id, first_start, first_stop."""
-    rows = with_chains(docs.select("doc_id", "text")).where("_chains is not null").select("doc_id", "text", "_chains")
+    rows = with_chains(docs.select("doc_id", "text"), "inner").select("doc_id", "text", "_chains")
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 found = [(i, *p) for i, (t, c) in enumerate(zip(part.column("text").to_pylist(), part.column("_chains").to_pylist())) for p in passages_of(t or "", c)]
                 ids = part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
                 kinds = (pa.int32(), pa.int32(), pa.int32(), ids.type, pa.int32(), pa.int32())
@@ -340,7 +340,7 @@ def cut_passages(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 texts, keep = part.column("text").to_pylist(), []
                 changed = [False] * len(texts)
                 for i, c in enumerate(part.column("_chains").to_pylist()):
