@@ -18,7 +18,6 @@ null or have a null doc_id are not used; repeated rows are scored each.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right as bisect
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -33,7 +32,7 @@ from .common import cut, with_arrow_columns
 
 SAMPLE, LEXICON, THRESHOLD = 40_000, 20_000, 0.7
 #: distinct words that a task counts before it hands them on
-HELD = 300_000
+HELD = 150_000
 #: words between a lexicon hit and a second-person word that count as near
 NEAR = 5
 
@@ -55,32 +54,84 @@ WORD = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!*]+[^\W\d_]+)+")
 SPACED = re.compile(r"\b(?:[^\W\d_][ .\-*]){3,}[^\W\d_]\b")
 DRAWN = re.compile(r"([^\W\d_])\1\1")
-MARKS = re.compile(r"[!?]")
 OTHER = re.compile(r"[^\w\s]")
-UPPER = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{2,}\b")
-CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+#: different tokens that a task remembers
+REMEMBERED = 100_000
 
 
-def words(text: str) -> tuple[list[str], list[str]]:
-    """Lower-case words of a text, and the words read out of masked or spaced spellings."""
-    low = text.lower()
-    masked = [m.translate(FOLD) for m in MASKED.findall(low)]
-    spaced = [re.sub(r"[ .\-*]", "", m) for m in SPACED.findall(low)]
-    return WORD.findall(low), [*masked, *spaced]
+class Token:
+    """What a white-space-separated token of a text tells by itself."""
 
+    __slots__ = ("words", "hidden", "capitals", "shouted", "marks", "signs", "drawn", "fixed", "person", "single")
 
-def terms(text: str) -> set[str]:
-    """What the learned lexicons count: whole words, and beginnings of longer ones marked by their length."""
-    plain, hidden = words(text)
-    own = {*plain, *hidden}
-    return {w for w in own if len(w) < 40} | {f"4{w[:4]}" for w in own if len(w) > 5} | {f"5{w[:5]}" for w in own if len(w) > 6}
+    def __init__(self, raw: str):
+        low = raw.lower()
+        if low.isalpha():
+            self.words, self.hidden, self.signs = [low], (), 0
+        else:
+            self.words, self.hidden, self.signs = WORD.findall(low), [m.translate(FOLD) for m in MASKED.findall(low)], len(OTHER.findall(raw))
+        self.capitals = 0 if raw == low else sum(map(str.isupper, raw))
+        self.shouted = int(self.capitals > 1 and raw.isupper())
+        self.marks = raw.count("!") + raw.count("?") if self.signs else 0
+        self.drawn = int(DRAWN.search(low) is not None)
+        self.fixed = sum(w in INSULTS for w in (*self.words, *self.hidden))
+        self.person = any(w in SECOND_PERSON for w in self.words)
+        self.single = int(len(self.words) == 1 and len(self.words[0]) == 1)
+
+    def special(self) -> bool:
+        return bool(self.hidden or self.shouted or self.marks or self.drawn or self.fixed or self.person or self.single)
+
+    def terms(self) -> list[str]:
+        return [t for w in (*self.words, *self.hidden) for t in terms_of(w)]
+
+
+class Remembered(dict):
+    """What ``make`` says of a token, remembered up to a bound."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, raw: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[raw] = made = self.make(raw)
+        return made
+
+
+def terms_of(word: str) -> list[str]:
+    """What the learned lexicons count: the word, and beginnings of longer ones marked by their length."""
+    out = [word] if len(word) < 40 else []
+    if len(word) > 4:
+        out.append(f"4{word[:4]}")
+    if len(word) > 5:
+        out.append(f"5{word[:5]}")
+    return out
+
+
+def spaced(text: str) -> list[str]:
+    """Words that are spelled letter by letter."""
+    return [re.sub(r"[ .\-*]", "", m) for m in SPACED.findall(text.lower())]
+
+
+def counted(raw: str) -> tuple[int, list[str]]:
+    token = Token(raw)
+    return token.single, token.terms()
+
+
+def terms(text: str, tokens: Remembered) -> set[str]:
+    """The terms of a text; ``tokens`` remembers what was ``counted``."""
+    own = [tokens[t] for t in set(text.split())]
+    out = {x for _, found in own for x in found}
+    if sum(single for single, _ in own) > 2:
+        out.update(x for w in spaced(text) for x in terms_of(w))
+    return out
 
 
 def class_counts(train: DataFrame) -> DataFrame:
     """One row per term: in how many toxic and other texts of ``train`` (text, toxic) it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+        counts, tokens = (Counter(), Counter()), Remembered(counted)
 
         def out() -> pa.RecordBatch:
             every = [*counts[1].keys() | counts[0].keys()]
@@ -91,7 +142,7 @@ def class_counts(train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[toxic].update(terms(text or ""))
+                counts[toxic].update(terms(text or "", tokens))
                 if len(counts[0]) + len(counts[1]) > HELD:
                     yield out()
         yield out()
@@ -123,27 +174,64 @@ def featurizer(lexicon: dict[str, tuple[int, int]], n_toxic: int, n_other: int)
         for label in (0, 1)
     } if lexicon else {0: {}, 1: {}}
 
+
+    def seen(raw: str) -> tuple:
+        # most tokens are a plain word, perhaps with one mark after it, and need no closer look
+        body, signs = (raw, 0) if raw.isalpha() else (raw[:-1], 1)
+        low = body.lower()
+        if not (body.isalpha() and (not signs or raw[-1] in ".,;:")) or len(low) == 1 or low in INSULTS or low in SECOND_PERSON or DRAWN.search(low):
+            token = Token(raw)
+            return len(token.words), token.capitals, token.signs, token if token.special() else None, [x for x in token.terms() if x in plain]
+        capitals = 0 if low == body else 1 if body[1:] == low[1:] else sum(map(str.isupper, body))
+        if capitals > 1 and body.isupper():
+            token = Token(raw)
+            return 1, token.capitals, token.signs, token, [x for x in token.terms() if x in plain]
+        known = [low] if low in plain else []
+        if len(low) > 4:
+            known += [x for x in ("4" + low[:4], "5" + low[:5] if len(low) > 5 else "") if x in plain]
+        return 1, capitals, signs, None, known
+
+    tokens = Remembered(seen)
+
     def features(text: str, label: int | None = None) -> list[float]:
         lean = plain if label is None else without[label]
-        own, hidden = words(text)
-        tokens = own + hidden
-        n, chars = max(1, len(tokens)), max(1, len(text))
-        hits = [i for i, w in enumerate(tokens) if w in INSULTS or lean.get(w, 0) > 1]
-        fixed = sum(w in INSULTS for w in tokens)
-        out = [float(np.log1p(len(tokens))), fixed / n, min(fixed, 5.0)]
-        for scores in (
-            sorted((lean[w] for w in tokens if w in lean), reverse=True),
-            sorted((lean[p] for w in tokens if len(w) > 5 and (p := f"4{w[:4]}") in lean), reverse=True),
-            sorted((lean[p] for w in tokens if len(w) > 6 and (p := f"5{w[:5]}") in lean), reverse=True),
-        ):
-            strong = [x for x in scores if x > 1]
-            out += [scores[0] if scores else 0.0, sum(scores[:3]) / 3, float(min(len(strong), 20)), sum(x for x in scores if x > 0) / n]
-        person = [i for i, w in enumerate(own) if w in SECOND_PERSON]
-        close = sum(bisect(person, i + NEAR) > bisect(person, i - NEAR - 1) for i in hits)
-        out += [close / n, close / max(1, len(hits)), len(person) / n]
-        out += [len(CAPITAL.findall(text)) / chars, len(UPPER.findall(text)) / n]
-        out += [len(MARKS.findall(text)) / chars, len(OTHER.findall(text)) / chars]
-        out += [len(hidden) / n, float(sum(w in INSULTS for w in hidden)), len(DRAWN.findall(text)) / n]
+        order = text.split()
+        counts = Counter(order)
+        words = capitals = signs = 0
+        special, found, hits = [], [], set()
+        for raw, k in counts.items():
+            size, upper, other, token, known = tokens[raw]
+            words += size * k
+            capitals += upper * k
+            signs += other * k
+            if token:
+                special.append((token, k))
+                if token.fixed:
+                    hits.add(raw)
+            for x in known:
+                found.append((lean[x], x[0], k))
+                if lean[x] > 1:
+                    hits.add(raw)
+        hidden = [w for t, k in special if t.hidden for w in t.hidden * k]
+        if sum(k for t, k in special if t.single) > 3:
+            apart = spaced(text)
+            hidden += apart
+            found += [(lean[x], x[0], 1) for w in apart for x in terms_of(w) if x in lean]
+        n, chars = max(1, words + len(hidden)), max(1, len(text))
+        fixed = sum(t.fixed * k for t, k in special)
+        out = [float(np.log1p(words)), fixed / n, min(fixed, 5.0)]
+        for mark in ("", "4", "5"):
+            scores = sorted(((x, k) for x, m, k in found if (m == mark if mark else m not in "45")), reverse=True)
+            top = [x for x, k in scores[:3] for _ in range(min(k, 3))][:3]
+            out += [top[0] if top else 0.0, sum(top) / 3, float(min(sum(k for x, k in scores if x > 1), 20)), sum(x * k for x, k in scores if x > 0) / n]
+        close = met = 0
+        if hits:
+            persons = {raw for raw in counts if (t := tokens[raw][3]) and t.person}
+            places = [i for i, t in enumerate(order) if t in hits]
+            met, close = len(places), sum(any(t in persons for t in order[max(0, i - NEAR) : i + NEAR + 1]) for i in places)
+        out += [close / n, close / max(1, met), sum(t.person * k for t, k in special) / n]
+        out += [capitals / chars, sum(t.shouted * k for t, k in special) / n, sum(t.marks * k for t, k in special) / chars, signs / chars]
+        out += [len(hidden) / n, float(sum(w in INSULTS for w in hidden)), sum(t.drawn * k for t, k in special) / n]
         return out
 
     return features
@@ -203,11 +291,12 @@ class Classifier:
         """``df`` with ``score``: the calibrated probability of the toxic class."""
         if self.trees is None:
             return df.withColumn("score", F.lit((self.n_toxic + 0.5) / (self.n_toxic + self.n_other + 1)))
-        kept = [F.col(f"`{c}`") for c in df.columns if c != "score"]
-        packed = df.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-        made = with_features(packed, self.lexicon, self.n_toxic, self.n_other, "_text").select("row", array_to_vector("features").alias("vector"))
+        # the columns travel under names that no made column can have
+        kept = [c for c in df.columns if c != "score"]
+        coded = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)])
+        made = with_features(coded, self.lexicon, self.n_toxic, self.n_other, f"_c{kept.index(text)}").withColumn("vector", array_to_vector("features"))
         steps = self.steps.transform(self.raw(made))
-        return steps.select("row.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated")).alias("score"))
+        return steps.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)], F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated")).alias("score"))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 3) -> F.Column:
@@ -228,5 +317,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
-    scored = fit(docs, labels).score(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"))
-    return scored.where(F.col("score") < THRESHOLD).select("doc.*")
+    inner = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"_d{i}") for i, c in enumerate(docs.columns)])
+    scored = fit(docs, labels).score(inner).where(F.col("score") < THRESHOLD)
+    return scored.select(*[F.col("text" if c == "text" else f"_d{i}").alias(c) for i, c in enumerate(docs.columns)])
