@@ -30,7 +30,7 @@ from .common import binary_array, ragged, with_arrow_columns
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 512
 #: distinct pieces that a task remembers; beyond that it starts anew
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 NONE = np.int32(2**31 - 1)
 WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32, 48, 64, 128, 256, LONG)
 WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(LONG + 1)]

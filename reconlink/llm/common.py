@@ -49,7 +49,7 @@ def chunks(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
 
 
 def with_arrow_columns(
-    df: DataFrame, text: str, made: T.StructType, make: Callable[[], Callable[[list[str]], list]], size: int = 4 << 20
+    df: DataFrame, text: str, made: T.StructType, make: Callable[[], Callable[[list[str]], list]], size: int = 1 << 20
 ) -> DataFrame:
     """``df`` with the columns ``made``, computed from the texts in slices of about ``size`` bytes.
 

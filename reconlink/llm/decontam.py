@@ -195,7 +195,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", q: int = Q,
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             block = Block(items, q, rate)
             for batch in batches:
-                for part in chunks(batch, text, 8 << 20):
+                for part in chunks(batch, text, 1 << 20):
                     yield part.filter(pa.array([not (t and block.search(normal(t))) for t in part.column(text).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
