@@ -3,7 +3,9 @@
 Seeds are word k-mers thinned to window minima (of every ``WINDOW`` neighbouring k-mers the
 one of the smallest hash), so two texts that share WINDOW + K - 1 words in a row share
 a seed. Each seed links its occurrences to its first one (smallest doc_id), a star and
-never all pairs. The links of a document to one other are merged to anchors along
+never all pairs. Stars alone lose a passage whose seeds were first met, in shorter pieces, in
+different documents; so each run of ``MIN_WORDS`` words whose seeds all are shared links to the first
+document that holds the whole run, and no exact run of that length is lost. The seeds' links of a document to one other are merged to anchors along
 diagonals and chained in order, with a cost for gaps, by a Fenwick tree over the other
 document's positions. A chain is aligned word by word, between its anchors and
 beyond its ends, and is a passage if it covers ``MIN_WORDS`` words of which
@@ -24,7 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import chunks, words_of
 
@@ -43,22 +45,46 @@ def word_ids(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
 
 
-def seeds_of(ids: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the window minima of a text's k-mers."""
-    n = len(ids) - k + 1
-    if n < window:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+def run_hashes(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` words from the given places."""
     mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    own = np.zeros(n, dtype=np.uint64)
+    own = np.zeros(len(starts), dtype=np.uint64)
     for i in range(k):
-        own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + mixed[i : i + n]
+        own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + mixed[starts + i]
     own ^= own >> np.uint64(32)
-    own *= np.uint64(0x94D049BB133111EB)
+    return own * np.uint64(0x94D049BB133111EB)
+
+
+def minima(ids: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's k-mers, and for every window of them the place of its smallest."""
+    n = len(ids) - k + 1
+    if n < window:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    own = run_hashes(ids, np.arange(n), k)
     least = np.lib.stride_tricks.sliding_window_view(own, window).argmin(axis=1)
-    places = np.unique(least + np.arange(len(least)))
+    return own, least + np.arange(len(least))
+
+
+def seeds_of(ids: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the window minima of a text's k-mers."""
+    own, least = minima(ids, k, window)
+    places = np.unique(least)
     return own[places].view(np.int64), places.astype(np.int32)
 
 
+def runs_of(ids: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the runs of ``MIN_WORDS`` words in which every window's seed is among the ``shared`` places.
+
+    The windows within a run depend on its words only, so a run that two documents hold has
+    the same seeds in both and none is left out.
+    """
+    _, least = minima(ids)
+    need = MIN_WORDS - K - WINDOW + 2
+    ok = np.concatenate([[0], np.cumsum(np.isin(least, shared))])
+    starts = np.flatnonzero(ok[need:] - ok[:-need] == need) if len(ok) > need else np.zeros(0, dtype=np.int64)
+    return run_hashes(ids, starts, MIN_WORDS).view(np.int64), starts.astype(np.int32)
+
+
 def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """One row per seed of (doc_id, text): h, doc_id, pos."""
     kind = docs.schema["doc_id"]
@@ -77,17 +103,46 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """Each occurrence of a shared seed next to the seed's first occurrence: doc_id, pos, first_id, first_pos.
+def shared(found: DataFrame) -> DataFrame:
+    """Each occurrence of a seed that two documents hold next to the seed's first occurrence: doc_id, pos, first.
 
     The first occurrence is an aggregate, partly taken before its shuffle; the join back is an
     equi join of which AQE may split a hot seed.
     """
-    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (
-        found.join(first.select("h", "first"), "h").where("doc_id != first.doc_id")
-        .select("doc_id", "pos", F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos"))
-    )
+    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last_id")).where("last_id != first.doc_id")
+    return found.join(first.select("h", "first"), "h").select("doc_id", "pos", "first")
+
+
+def matches(occurrences: DataFrame) -> DataFrame:
+    """The ``shared`` occurrences outside the first document: doc_id, pos, first_id, first_pos."""
+    return occurrences.where("doc_id != first.doc_id").select("doc_id", "pos", F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos"))
+
+
+def runs(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """One row per run of ``MIN_WORDS`` words that may stand in two documents, going by its seeds: h, doc_id, pos."""
+    kind = docs.schema["doc_id"]
+    places = occurrences.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text", 1 << 18):
+                found = [runs_of(word_ids(words_of(t or "")), np.array(p)) for t, p in zip(part.column("text").to_pylist(), part.column("places").to_pylist())]
+                rows = np.repeat(np.arange(len(part)), [len(h) for h, _ in found])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([h for h, _ in found])), part.column("doc_id").take(pa.array(rows)), pa.array(np.concatenate([p for _, p in found]))],
+                    names=["h", "doc_id", "pos"],
+                )
+
+    schema = T.StructType([T.StructField("h", T.LongType()), kind, T.StructField("pos", T.IntegerType())])
+    return docs.select("doc_id", "text").join(places, "doc_id").mapInArrow(run, schema)
+
+
+def run_chains(found: DataFrame) -> DataFrame:
+    """The links of runs put together along diagonals, each a chain of one anchor."""
+    line = Window.partitionBy("doc_id", "first_id", "d").orderBy("pos")
+    each = found.withColumn("d", F.col("pos") - F.col("first_pos")).withColumn("island", F.col("pos") - F.dense_rank().over(line))
+    whole = each.groupBy("doc_id", "first_id", "d", "island").agg(F.min("pos").alias("a"), (F.max("pos") - F.min("pos") + MIN_WORDS).alias("n"))
+    return whole.select("doc_id", "first_id", F.array("a").alias("a"), F.array(F.col("a") - F.col("d")).alias("b"), F.array("n").alias("n"), F.lit(True).alias("exact"))
 
 
 class Fenwick:
@@ -206,7 +261,8 @@ def chained(found: DataFrame) -> DataFrame:
 def fragments(chain: DataFrame, docs: DataFrame) -> DataFrame:
     """The chains with the word numbers of the first document around them (``words`` packed, from word ``at``)."""
     kind = dict(chain.dtypes)["doc_id"]
-    joined = chain.join(docs.select(F.col("doc_id").alias("first_id"), "text"), "first_id").select("doc_id", "first_id", "a", "b", "n", "text")
+    names = ["doc_id", "first_id", "a", "b", "n", "exact"]
+    joined = chain.join(docs.select(F.col("doc_id").alias("first_id"), "text"), "first_id").select(*names, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[str, np.ndarray] = ("", np.zeros(0, dtype=np.uint32))
@@ -220,11 +276,11 @@ def fragments(chain: DataFrame, docs: DataFrame) -> DataFrame:
                     starts.append(start)
                     pieces.append(held[1][start : b[-1] + n[-1] + BEYOND].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", "first_id", "a", "b", "n")), pa.array(starts, pa.int32()), pa.array(pieces, pa.binary())],
-                    names=["doc_id", "first_id", "a", "b", "n", "at", "words"],
+                    [*(part.column(c) for c in names), pa.array(starts, pa.int32()), pa.array(pieces, pa.binary())],
+                    names=[*names, "at", "words"],
                 )
 
-    return joined.mapInArrow(run, CHAIN.format(kind) + ", at int, words binary")
+    return joined.mapInArrow(run, CHAIN.format(kind) + ", exact boolean, at int, words binary")
 
 
 def gap_matches(x: np.ndarray, y: np.ndarray) -> int:
@@ -283,20 +339,30 @@ def joined_spans(found: list[tuple[int, int, int, object, int, int]]) -> list[tu
 
 
 def passages_of(text: str, chain: list[dict]) -> list[tuple]:
-    """The passages of one text: (start word, stop word, agreeing words, first_id, first's start, first's stop)."""
-    own, out = word_ids(words_of(text)), []
-    for c in chain:
+    """The passages of one text: (start word, stop word, agreeing words, first_id, first's start, first's stop).
+
+    Chains of runs add what the others leave over: those within passages found so far are no news.
+    """
+    own, out, spans = word_ids(words_of(text)), [], None
+    for c in sorted(chain, key=lambda c: (c["exact"], -sum(c["n"]))):
+        if c["exact"]:
+            spans = joined_spans(out) if spans is None else spans
+            if any(x <= c["a"][0] and c["a"][0] + c["n"][0] <= y for x, y in spans):
+                continue
         got = aligned(own, np.frombuffer(c["words"], dtype="<u4").astype(np.uint64), c["at"], c["a"], c["b"], c["n"])
         if got and got[1] - got[0] >= MIN_WORDS and got[4] >= IDENTITY * max(got[1] - got[0], got[3] - got[2]):
             out.append((got[0], got[1], got[4], c["first_id"], got[2], got[3]))
+            spans = None
     return out
 
 
 def with_chains(docs: DataFrame, how: str = "left") -> DataFrame:
     """``docs`` with ``_chains``: for each row the chains of its doc_id (left: null if none)."""
     plain = docs.select("doc_id", "text")
-    pieces = fragments(chained(matches(seeds(plain))), plain)
-    each = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("first_id", "a", "b", "n", "at", "words")).alias("_chains"))
+    occurrences = shared(seeds(plain))
+    stars = chained(matches(occurrences)).withColumn("exact", F.lit(False))
+    pieces = fragments(stars.unionByName(run_chains(matches(shared(runs(plain, occurrences))))), plain)
+    each = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("first_id", "a", "b", "n", "exact", "at", "words")).alias("_chains"))
     return docs.join(each, "doc_id", how)
 
 

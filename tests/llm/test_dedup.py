@@ -118,6 +118,34 @@ def test_passages(spark):
     assert C.passages(spark.createDataFrame([], DOCS)).collect() == [] and C.cut_passages(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_passages_whose_seeds_are_first_met_in_different_documents(spark):
+    rnd = random.Random(14)
+    rows = []
+    for _ in range(12):
+        # four documents: 30 words first met in a, 30 in b, both after one another in c and d
+        plain, halves = [words(rnd, 150) for _ in range(4)], [words(rnd, 30) for _ in range(2)]
+        inner = [halves[0], halves[1], halves[0] + halves[1], halves[0] + halves[1]]
+        rows += [(len(rows) + k, " ".join(w[:70] + x + w[70:])) for k, (w, x) in enumerate(zip(plain, inner))]
+    # a run of just the least length, and one whose places before it were met in many documents
+    short = words(rnd, C.MIN_WORDS)
+    pieces = [words(rnd, 25) for _ in range(4)]
+    rows += [(len(rows) + k, " ".join(words(rnd, 80) + p + words(rnd, 80))) for k, p in enumerate([short[:25], short[15:], *pieces, short, short, sum(pieces, []), sum(pieces[:2], []), sum(pieces, [])])]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS).repartition(3)
+    cut = {i: set() for i, _ in rows}
+    for r in C.passages(df).collect():
+        assert r["first_id"] < r["doc_id"]
+        cut[r["doc_id"]].update(range(r["start"], r["stop"]))
+    seen, lost, many = set(), [], 0
+    for i, t in rows:
+        own = t.lower().split()
+        here = [tuple(own[k : k + C.MIN_WORDS]) for k in range(len(own) - C.MIN_WORDS + 1)]
+        held = {k + j for k, x in enumerate(here) if x in seen for j in range(C.MIN_WORDS)}
+        many += bool(held)
+        lost += [i] if held - cut[i] else []
+        seen.update(here)
+    assert many == 15 and not lost
+
+
 def brute_chain(a, b, size, cost):
     """Best chain score over all ordered subsets, quadratic."""
     best = []
