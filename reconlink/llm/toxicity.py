@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,9 @@ FOLD = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 WORD = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!*]+[^\W\d_]+)+")
 SPACED = re.compile(r"\b(?:[^\W\d_][ .\-*]){3,}[^\W\d_]\b")
+LONE = re.compile(r"\b[^\W\d_]\b")
+#: what stands beside a letter of ``SPACED`` in its token
+APART = frozenset(("", ".", "-", "*"))
 DRAWN = re.compile(r"([^\W\d_])\1\1")
 OTHER = re.compile(r"[^\w\s]")
 #: different tokens that a task remembers
@@ -62,21 +65,23 @@ REMEMBERED = 100_000
 class Token:
     """What a white-space-separated token of a text tells by itself."""
 
-    __slots__ = ("words", "hidden", "capitals", "shouted", "marks", "signs", "drawn", "fixed", "person", "single")
+    __slots__ = ("words", "hidden", "capitals", "shouted", "marks", "signs", "drawn", "fixed", "person", "single", "inner")
 
     def __init__(self, raw: str):
         low = raw.lower()
         if low.isalpha():
             self.words, self.hidden, self.signs = [low], (), 0
         else:
-            self.words, self.hidden, self.signs = WORD.findall(low), [m.translate(FOLD) for m in MASKED.findall(low)], len(OTHER.findall(raw))
+            self.words, self.hidden, self.signs = WORD.findall(low), [m.translate(FOLD) for m in MASKED.findall(low) if not SPACED.fullmatch(m)], len(OTHER.findall(raw))
         self.capitals = 0 if raw == low else sum(map(str.isupper, raw))
         self.shouted = int(self.capitals > 1 and raw.isupper())
         self.marks = raw.count("!") + raw.count("?") if self.signs else 0
         self.drawn = int(DRAWN.search(low) is not None)
         self.fixed = sum(w in INSULTS for w in (*self.words, *self.hidden))
         self.person = any(w in SECOND_PERSON for w in self.words)
-        self.single = int(len(self.words) == 1 and len(self.words[0]) == 1)
+        # letters that may be part of a word spelled letter by letter, and those that may be within it
+        lone = [] if low.isalpha() and len(low) > 1 else [(low[i - 1 : i] in APART, low[i + 1 : i + 2] in APART) for m in LONE.finditer(low) for i in (m.start(),)]
+        self.single, self.inner = sum(a or b for a, b in lone), sum(a and b for a, b in lone)
 
     def special(self) -> bool:
         return bool(self.hidden or self.shouted or self.marks or self.drawn or self.fixed or self.person or self.single)
@@ -113,16 +118,25 @@ def spaced(text: str) -> list[str]:
     return [re.sub(r"[ .\-*]", "", m) for m in SPACED.findall(text.lower())]
 
 
-def counted(raw: str) -> tuple[int, list[str]]:
+def may_be_spaced(letters: Iterable[tuple[int, int, int]]) -> bool:
+    """Whether tokens (single, inner, how often) hold letters enough for ``SPACED``: four, of which two within."""
+    single = inner = 0
+    for a, b, k in letters:
+        single += a * k
+        inner += b * k
+    return single > 3 and inner > 1
+
+
+def counted(raw: str) -> tuple[int, int, list[str]]:
     token = Token(raw)
-    return token.single, token.terms()
+    return token.single, token.inner, token.terms()
 
 
 def terms(text: str, tokens: Remembered) -> set[str]:
     """The terms of a text; ``tokens`` remembers what was ``counted``."""
-    own = [tokens[t] for t in set(text.split())]
-    out = {x for _, found in own for x in found}
-    if sum(single for single, _ in own) > 2:
+    own = [(tokens[t], k) for t, k in Counter(text.split()).items()]
+    out = {x for (*_, found), _ in own for x in found}
+    if may_be_spaced((single, inner, k) for (single, inner, _), k in own):
         out.update(x for w in spaced(text) for x in terms_of(w))
     return out
 
@@ -213,7 +227,7 @@ def featurizer(lexicon: dict[str, tuple[int, int]], n_toxic: int, n_other: int)
                 if lean[x] > 1:
                     hits.add(raw)
         hidden = [w for t, k in special if t.hidden for w in t.hidden * k]
-        if sum(k for t, k in special if t.single) > 3:
+        if may_be_spaced((t.single, t.inner, k) for t, k in special):
             apart = spaced(text)
             hidden += apart
             found += [(lean[x], x[0], 1) for w in apart for x in terms_of(w) if x in lean]

@@ -55,6 +55,16 @@ def test_features():
     assert features("blorgs", 1)[3] < features("blorgs")[3]
 
 
+def test_words_spelled_letter_by_letter():
+    features = T.featurizer({"blorgs": (9, 0)}, 20, 100)
+    for text in ("i d i o t", "I-d-i-o-t", "i.d.i.o.t!", "i*d*i*o*t", "i-d-i o.t", "(i-d-i-o-t)"):
+        assert features(f"oh {text} there")[-3:-1][1] == 1.0 and features(f"oh {text} there")[-3] > 0, text
+    assert features("so b-l-o-r-g-s and b.l.o.r.g.s")[3] > 0
+    assert features("it's a day, isn't it? I'd say e.g. a U.S. one")[-3:-1] == [0, 0]
+    for text, word in (("b-l-o-r-g-s", "blorgs"), ("b.l.o.r.g.s", "blorgs"), ("a n n a", "anna"), ("l-o l-o", "lolo")):
+        assert word in T.terms(f"so {text} there", T.Remembered(T.counted)), text
+
+
 CASES = {
     "Released under the MIT License.": "MIT",
     "x y.\nLicensed under the Apache License, Version 2.0 (the \"License\");\nrest": "Apache-2.0",
