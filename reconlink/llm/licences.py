@@ -10,13 +10,17 @@ are not reported.
 The sentence and rule tables are fixed small lists and are broadcast. Only found sentences are
 shuffled; documents are never joined by text.
 
-Cases: null and empty texts have no licence; a sentence that a line break or list mark cuts is two;
+Cases: null and empty texts have no licence; a sentence may be wrapped over lines and stand in a comment
+block, but a blank line ends it;
 repeated sentences count once in a row; repeated rows are scanned each (rows without a doc_id or
 with the same one are told apart by their text).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Licence sentences in normal form and their identifiers.
@@ -87,6 +91,9 @@ RULES = (
 )
 #: a rule that matched hides the later rules that its licence covers
 COVERS = {"BSD-3-Clause": ("BSD-2-Clause",), "MIT": ("Proprietary",), "Apache-2.0": ("Proprietary",), "BSD-2-Clause": ("Proprietary",)}
+#: comment and list marks at the beginning of a line
+MARKS = r"(^|[\n\r])[ \t]*(?:(?:[#*>!;%|]+|//+\*?|/\*+|--+|<!--|\(?[0-9A-Za-z]\))(?=\s|$)[ \t]*)+"
+BLANK = r"(?:\r\n|\n|\r(?!\n))[ \t]*(?:\r\n|\n|\r(?!\n))\s*"
 BREAK = r"[.!?;:]+(?:\s+|$)|[\n\r]+"
 
 
@@ -95,12 +102,40 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"(?:^|\s)\.+", " "))
 
 
+def whole(text: Column) -> Column:
+    """Normal form with single spaces, also where ``normal`` took a dot between two."""
+    return F.trim(F.regexp_replace(normal(text), " +", " "))
+
+
 def found_sentences(docs: DataFrame, sentences: tuple = SENTENCES) -> DataFrame:
-    """One row per known sentence in a text: doc_id, text key, place, identifier."""
-    known = docs.sparkSession.createDataFrame([*dict.fromkeys(sentences)], "sentence_id string, sentence string")
-    cut = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", BREAK)).alias("place", "raw"))
-    # the shortest known sentence has over ten letters
-    return cut.where(F.length("raw") > 8).withColumn("sentence", normal(F.col("raw"))).join(F.broadcast(known), "sentence").select("doc_id", "text_key", "place", "sentence_id")
+    """One row per known sentence in a text: doc_id, text key, place, identifier.
+
+    A sentence begins and ends at a BREAK, and may go over others that its known form agrees with (line
+    breaks of wrapped text, semicolons), but over no blank line. Texts that hold no known
+    sentence as words one after another, wherever it ends, are left out before that is looked at.
+    """
+    wanted = sorted({s for _, s in sentences})
+    known = F.broadcast(docs.sparkSession.createDataFrame([*dict.fromkeys(sentences)], "sentence_id string, sentence string"))
+    least = [s for s in wanted if not any(o != s and o in s for o in wanted)]
+    text = F.translate(F.regexp_replace("text", MARKS, "$1"), "\x01", " ")
+    some = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text.alias("raw"))
+    # as a lambda's argument the normal form is made once for all comparisons
+    some = some.where(F.exists(F.array(whole(F.col("raw"))), lambda flat: reduce(or_, [flat.contains(s) for s in least])))
+    paragraphs = some.select("doc_id", "text_key", F.posexplode(F.split("raw", BLANK)).alias("paragraph", "raw"))
+    # each piece with the marks after it, which matter within a sentence
+    pieces = F.split(F.regexp_replace("raw", f"(?:{BREAK})", "$0\x01"), "\x01")
+    own = paragraphs.select("doc_id", "text_key", "paragraph", F.filter(F.transform(pieces, whole), lambda x: F.rtrim(x, F.lit(".")) != "").alias("own"))
+    words = max(s.count(" ") + 1 for s in wanted)
+
+    def begins(piece: Column) -> Column:
+        bare = F.rtrim(piece, F.lit("."))
+        return F.exists(F.array(*[F.lit(f"{s} ") for s in wanted]), lambda s: s.startswith(F.concat(bare, F.lit(" "))) | s.startswith(F.concat(piece, F.lit(" "))))
+
+    starts = F.filter(F.transform("own", lambda x, i: F.when(begins(x), F.struct(i.alias("at"), F.slice("own", i + 1, F.lit(words)).alias("run")))), lambda x: x.isNotNull())
+    runs = own.select("doc_id", "text_key", "paragraph", F.explode(starts).alias("start")).select("doc_id", "text_key", "paragraph", "start.at", "start.run")
+    each = runs.select("doc_id", "text_key", "paragraph", "at", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("size"))
+    told = each.withColumn("sentence", F.rtrim(F.array_join(F.slice("run", F.lit(1), F.col("size")), " "), F.lit(".")))
+    return told.join(known, "sentence").select("doc_id", "text_key", F.struct("paragraph", "at", (-F.col("size")).alias("size")).alias("place"), "sentence_id")
 
 
 def matched(sequence: Column, rule: tuple[str, ...]) -> Column:

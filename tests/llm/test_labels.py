@@ -84,6 +84,72 @@ def test_licences(spark):
     assert L.licences(spark.createDataFrame([], DOCS)).collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language."""
+BSD = """Copyright (c) 2015, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
+
+
+def test_wrapped_licences(spark):
+    texts = [(MIT, "MIT", 4), (APACHE, "Apache-2.0", 4), (BSD, "BSD-3-Clause", 5), (GPL, "GPL-3.0-or-later", 2), (MPL, "MPL-2.0", 1)]
+    rows, want = [], {}
+    for text, name, many in texts:
+        for mark in ("", "# ", " * ", "// ", "; ", "! "):
+            for end in ("\n", "\r\n"):
+                want[len(rows)] = (name, many)
+                rows.append((len(rows), end.join(f"{mark}{x}".rstrip() for x in text.split("\n")), "en", "c"))
+    rows += [(900, "mit\n\nlicense and the software", "en", "c"), (901, "the mit. license mit", "en", "c"), (902, "All rights reserved\nby the owner", "en", "c"), (903, "no mit license here", "en", "c")]
+    got = {r["doc_id"]: (r["licences"], r["sentence_ids"].count(",") - 1) for r in L.licences(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {**want, 902: ("Proprietary", 1)}
+
+
 def test_rules_follow_their_order(spark):
     sentences = (("a", "first sentence"), ("b", "second sentence"), ("c", "third sentence"))
     rules = (("AB", ("a", "b")), ("BA", ("b", "a")), ("C", ("c",)))
