@@ -12,8 +12,11 @@ by alignment within the band.
 The benchmark is a query set: it is taken in blocks of bounded size (``BLOCK`` characters of items),
 each block is one pass over all documents, and no text is shuffled.
 
-Cases: null or empty texts hold no leak; items without a q-gram to count (shorter than
-``q``, or so short that the bound falls to zero) are searched as exact substrings; null or blank
+Items so short that the bound falls to zero are counted by shorter q-grams, of which an
+item of m characters keeps one unedited as long as q <= m / (e + 1).
+
+Cases: null or empty texts hold no leak; items of which no edit is allowed and that are shorter than
+``q`` are searched as exact substrings, at every place; null or blank
 items are no items; repeated items and documents are reported each.
 """
 
@@ -29,6 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import chunks
 
 Q, RATE = 8, 0.1
+#: longest q-grams of items that are too short for ``Q``
+BRIEF = 4
 #: characters of items that are searched in one pass
 BLOCK = 2_000_000
 FOUND = "item_id long, edits int, start int, stop int"
@@ -81,6 +86,14 @@ def aligned(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int, i
     return int(row[at] // big), n - int(row[at] % big), at
 
 
+def places(text: str, item: str) -> Iterator[int]:
+    """Where an item begins in the text, one place after the other."""
+    at = text.find(item)
+    while at >= 0:
+        yield at
+        at = text.find(item, at + len(item))
+
+
 class Block:
     """The items of one pass, indexed by their q-grams."""
 
@@ -102,12 +115,18 @@ class Block:
         self.bits = max(12, int(np.ceil(np.log2(16 * max(1, len(self.keys))))))
         self.map = np.zeros(1 << self.bits, dtype=bool)
         self.map[self.keys >> np.uint64(64 - self.bits)] = True
-        self.short = [k for k in range(len(self.items)) if not self.counted[k]]
+        self.short = [k for k in range(len(self.items)) if not self.counted[k] and not self.edits[k]]
+        # what is left has a positive bound with q-grams of its own length
+        fits = {k: min(BRIEF, q - 1, len(self.codes[k]) // (int(self.edits[k]) + 1)) for k in range(len(self.items)) if not self.counted[k] and self.edits[k]}
+        self.brief = [([k for k in fits if fits[k] == n], n) for n in sorted({n for n in fits.values() if n > 0})]
+        self.brief = [(own, Block([self.items[k] for k in own], n, rate)) for own, n in self.brief]
         self.width = 2 * self.edits + 1
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item number, edits, start, stop) in the normal form: for each item its best place in each region."""
-        found = [(k, 0, at, at + len(self.items[k][1])) for k in self.short if (at := text.find(self.items[k][1])) >= 0]
+        found = [(k, 0, at, at + len(self.items[k][1])) for k in self.short for at in places(text, self.items[k][1])]
+        for owner, block in self.brief:
+            found += [(owner[k], *more) for k, *more in block.search(text)]
         own = grams(text, self.q)
         at = np.flatnonzero(self.map[own >> np.uint64(64 - self.bits)])
         if len(at):

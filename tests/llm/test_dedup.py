@@ -207,6 +207,26 @@ def test_leaks(spark):
     assert D.clean(df, bench.where("item_id > 50")).count() == len(docs)
 
 
+def test_leaks_of_short_items():
+    rnd = random.Random(15)
+    for size in range(3, 41):
+        item = "".join(rnd.choice("abcdefgh") for _ in range(size))
+        block, budget = D.Block([(1, item)], D.Q, D.RATE), size // 10
+        for edits in range(budget + 2):
+            for _ in range(4):
+                own = list(item)
+                for at in rnd.sample(range(size), min(edits, size)):
+                    way = rnd.random()
+                    own[at] = rnd.choice("xyz") if way < 0.4 else "" if way < 0.7 else own[at] + "q"
+                text = "m" * rnd.randint(0, 30) + "".join(own) + "n" * rnd.randint(0, 30)
+                want = edit_distance(item, text)
+                assert [f[:2] for f in block.search(text)] == ([(0, want)] if want <= budget else []), (size, edits, text)
+        # every exact place
+        assert [f[1:] for f in block.search(f"{item} {'m' * 60} {item}")] == [(0, 0, size), (0, size + 62, 2 * size + 62)]
+    block = D.Block([(1, "tiny"), (2, "abcdefghij" * 3), (3, "klmnopqrstuvwxyz" * 6)], D.Q, D.RATE)
+    assert {f[:2] for f in block.search("tiny " + "abcdefghix" * 3 + " " + "klmnopqrstuvwxyz" * 6)} == {(0, 0), (1, 3), (2, 0)}
+
+
 def test_spotsigs(spark, monkeypatch):
     monkeypatch.setattr(P, "ROWS", 7)
     rnd = random.Random(13)
