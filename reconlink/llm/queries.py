@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chaining, ctw, decontam, html_extract, lengths, licences, simhash, spotsigs, toxicity
+from . import bpe, chaining, ctw, decontam, divergence, html_extract, lengths, licences, simhash, spotsigs, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,12 @@ ORACLES["op10_licences"] = licences.licence_sql()
 def op4_ctw(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document under a unigram base and the context-tree model."""
     return ctw.scores(table(spark, folder, "documents"))
+
+
+@query
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document and whether its histograms are those of its language."""
+    return divergence.judged(table(spark, folder, "documents"))
+
+
+ORACLES["op11_divergence"] = divergence.judged_sql()
