@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chaining, ctw, decontam, divergence, html_extract, lengths, licences, simhash, spotsigs, toxicity
+from . import bpe, chaining, ctw, decontam, divergence, html_extract, lengths, licences, merkle, simhash, spotsigs, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,12 @@ def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op11_divergence"] = divergence.judged_sql()
+
+
+@query
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The Merkle proof of every document, and whether the root still holds after some are tampered with."""
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
+ORACLES["op12_manifest"] = merkle.manifest_sql()
