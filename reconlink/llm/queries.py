@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chaining, ctw, decontam, divergence, html_extract, lengths, licences, merkle, simhash, spotsigs, toxicity
+from . import bpe, chaining, ctw, decontam, divergence, html_extract, lengths, licences, merkle, simhash, spotsigs, toxicity, trie
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,12 @@ def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_manifest"] = merkle.manifest_sql()
+
+
+@query
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op13_trie"] = trie.trie_sql()
