@@ -169,9 +169,11 @@ def sum_up(levels: list[Depth], words: np.ndarray) -> None:
         if below is not None:
             groups = np.flatnonzero(np.diff(below.parent, prepend=-1))
             under = below.parent[groups]
-            level.children[under] = np.add.reduceat((~below.edges()).astype(np.int64), groups)
-            level.leaves[under] = np.add.reduceat(below.leaves, groups)
-            level.saved[under] = np.add.reduceat(below.saved, groups)
+            # what a boundary node has is added to its parent when it is closed
+            finished = (~below.edges()).astype(np.int64)
+            level.children[under] = np.add.reduceat(finished, groups)
+            level.leaves[under] = np.add.reduceat(finished * below.leaves, groups)
+            level.saved[under] = np.add.reduceat(finished * below.saved, groups)
         inside = ~level.edges()
         level.saved += np.where(inside, (level.n - 1) * words[level.code], 0)
         level.leaves += inside & (level.children == 0)
