@@ -177,8 +177,14 @@ def test_contained_names_against_loop(spark):
     t, n = spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame(names, "n int, name string")
     args = dict(text_key="t", text="text", name_key="n", name="name")
     assert {tuple(r) for r in D.contained_names(t, n, **args).collect()} == want
-    # the dictionary is cut into blocks when it may not be replicated
-    assert {tuple(r) for r in D.contained_names(t, n, **args, max_rows=7, block_rows=15).collect()} == want
+    # words spread over more keys, names of whole words only, repeated texts and names, nulls
+    assert {tuple(r) for r in D.contained_names(t, n, **args, salts=3).collect()} == want
+    texts = [(1, "на реке у моста"), (1, "на реке у моста"), (2, "у  моста"), (None, "река у моста"), (3, None), (4, "")]
+    names = [(1, "реке у мо"), (2, " у "), (3, "ке у моста"), (4, "  "), (5, " "), (6, " у "), (7, ""), (8, None), (9, "а у мо")]
+    want = sorted((i, j, x.find(n)) for i, x in texts if x and i for j, n in names if n and n in x)
+    t, n = spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame(names, "n int, name string")
+    found = D.contained_names(t, n, **args).collect()
+    assert sorted(tuple(r) for r in found if r["t"] is not None) == want and {r["n"] for r in found if r["t"] is None} == {2, 5, 6, 9}
 
 
 def test_vectors_against_numpy(spark):
