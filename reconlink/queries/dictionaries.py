@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reconlink.functions import text as X
 from reconlink.operators import classify as C, dictmatch as D, vectors as V
@@ -213,3 +213,88 @@ SELECT p_type AS category, p_name AS pattern, regexp_matches(p_name, '[.^$*+?{}\
 def active_rules(t: Tables) -> DataFrame:
     return C.active(part_rules(t)).select("category", "pattern", "is_regex")
 
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letters(text: Column) -> Column:
+    """A stand-in for a sentence encoder: how often each letter stands in the text, letters weighed so that no score is a round number."""
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) * F.lit(1 + i / 77) for i, c in enumerate(LETTERS)])
+
+
+def part_units(t: Tables) -> DataFrame:
+    """Units out of the parts' types and names, and a mention per part that spells, quotes, misspells or shortens its unit."""
+    units = t.part.select(
+        F.concat_ws("/", "p_type", "p_name").alias("unit_id"), F.col("p_type").alias("org_id"), F.col("p_name").alias("name"),
+        F.concat_ws(" ", F.lower("p_type"), F.split("p_name", " ")[1]).alias("norm_short"), F.col("p_name").alias("norm_name")).distinct()
+    return units.withColumn("embedding", letters(F.col("name")))
+
+
+def part_mentions(t: Tables) -> DataFrame:
+    second, kind, scope = F.split("p_name", " ")[1], F.col("p_partkey") % 4, F.col("p_partkey") % 5
+    body = (
+        F.when(kind == 0, F.concat(F.lit("seen "), "p_name", F.lit(" at the gate")))
+        .when(kind == 1, F.concat(F.lit("near кпп «"), second, F.lit("» at night")))
+        .when(kind == 2, F.concat(F.lower("p_type"), F.lit(" lot of "), F.expr("left(p_name, length(p_name) - 1)"), F.lit("x here")))
+        .otherwise(F.concat(F.lit("by "), F.lower("p_type"), F.lit(" "), second, F.lit(" yard"))))
+    return t.part.select(F.col("p_partkey").cast("string").alias("mention_id"), body.alias("text"),
+                         F.when(scope == 0, F.lit(None)).when(scope == 1, "ELSEWHERE").otherwise(F.col("p_type")).alias("org_id"))
+
+
+def letters_sql(of: str) -> str:
+    return "[" + ", ".join(f"(length({of}) - length(replace({of}, '{c}', ''))) * CAST({1 + i / 77} AS DOUBLE)" for i, c in enumerate(LETTERS)) + "]"
+
+
+MATCH_UNITS = f"""
+WITH u AS (SELECT DISTINCT p_type || '/' || p_name AS unit_id, p_type AS org, p_name AS name, lower(p_type) || ' ' || split_part(p_name, ' ', 2) AS short FROM part),
+m AS (SELECT CAST(p_partkey AS VARCHAR) AS mention_id, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE p_type END AS scope,
+      CASE WHEN p_partkey % 4 = 1 THEN split_part(p_name, ' ', 2) END AS quoted,
+      CASE p_partkey % 4 WHEN 0 THEN 'seen ' || p_name || ' at the gate' WHEN 1 THEN 'near кпп ' || split_part(p_name, ' ', 2) || ' at night'
+        WHEN 2 THEN lower(p_type) || ' lot of ' || left(p_name, length(p_name) - 1) || 'x here' ELSE 'by ' || lower(p_type) || ' ' || split_part(p_name, ' ', 2) || ' yard' END AS folded FROM part),
+p AS MATERIALIZED (SELECT m.*, u.*, CASE WHEN contains(folded, short) THEN short WHEN contains(folded, name) THEN name END AS token,
+      string_split(folded, ' ') AS words, list_concat([x FOR x IN string_split(short, ' ') IF length(x) >= 4], [x FOR x IN string_split(name, ' ') IF length(x) >= 6]) AS evidence,
+      [x FOR x IN string_split(short, ' ') IF length(x) > 4] AS keys FROM m JOIN u ON scope IS NULL OR scope = org),
+s1 AS (SELECT *, CASE WHEN len([x FOR x IN evidence IF contains(folded, x)]) > 0 OR contains(folded, short) THEN 'strong'
+      WHEN len(list_intersect(words, list_concat(string_split(short, ' '), string_split(name, ' ')))) > 0 THEN 'medium' ELSE 'none' END AS strength FROM p WHERE token IS NOT NULL),
+one AS (SELECT *, bool_or(strength = 'strong') OVER (PARTITION BY mention_id) AS best FROM s1 WHERE strength <> 'none'),
+first AS (SELECT mention_id, unit_id, name, 1.0 AS score, 'substring' AS method, strength, coalesce(contains(' ' || name || ' ', ' ' || quoted || ' '), false) AS lexical_hit,
+      row_number() OVER (PARTITION BY mention_id ORDER BY length(token) DESC, instr(folded, token), unit_id) AS rank, instr(folded, token) - 1 AS span_start, instr(folded, token) - 1 + length(token) AS span_end
+      FROM one WHERE NOT best OR strength = 'strong'),
+second AS (SELECT mention_id, unit_id, name, 0.9 AS score, 'quoted_name' AS method, 'strong' AS strength, true AS lexical_hit,
+      row_number() OVER (PARTITION BY mention_id ORDER BY name, unit_id) AS rank, instr(folded, quoted) AS span_start, instr(folded, quoted) + length(quoted) AS span_end
+      FROM p WHERE quoted IS NOT NULL AND (list_contains(string_split(short, ' '), quoted) OR list_contains(string_split(name, ' '), quoted)) AND mention_id NOT IN (SELECT mention_id FROM first)),
+w AS MATERIALIZED (SELECT mention_id, array_to_string(string_split(folded, ' ')[a + 1: a + z], ' ') AS win FROM m, range(0, 12) s(a), range(1, 7) t(z)
+      WHERE a + z <= len(string_split(folded, ' ')) AND mention_id NOT IN (SELECT mention_id FROM first) AND mention_id NOT IN (SELECT mention_id FROM second)),
+near AS (SELECT p.mention_id, unit_id, name, list_cosine_similarity({letters_sql('win')}, {letters_sql('name')}) * CASE WHEN len([x FOR x IN keys IF contains(folded, x)]) > 0 THEN 1.0 ELSE 0.1 END AS conf,
+      len(list_intersect(keys, words)) AS overlap FROM p JOIN w ON w.mention_id = p.mention_id),
+third AS (SELECT mention_id, unit_id, name, max(conf) AS score, 'semantic_window' AS method, CASE WHEN any_value(overlap) > 0 THEN 'medium' ELSE 'none' END AS strength, false AS lexical_hit,
+      CAST(NULL AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS span_start, CAST(NULL AS BIGINT) AS span_end FROM near GROUP BY mention_id, unit_id, name HAVING max(conf) >= 0.6)
+SELECT mention_id, unit_id, name, round(score, 6) AS score, method, strength, lexical_hit, rank, span_start, span_end FROM (SELECT * FROM first UNION ALL SELECT * FROM second UNION ALL SELECT * FROM third)
+"""
+
+
+@query("match_units", MATCH_UNITS)
+def match_units(t: Tables) -> DataFrame:
+    """All three ways to a unit; among near vectors of equal score neither the rank nor the window is compared."""
+    found = D.match_units(part_mentions(t), part_units(t), encoder=letters)
+    exact = lambda c: F.when(F.col("method") != "semantic_window", F.col(c))
+    return found.select("mention_id", "unit_id", "name", F.round("score", 6).alias("score"), "method", "strength", "lexical_hit",
+                        exact("rank").alias("rank"), exact("span.start").alias("span_start"), exact("span.end").alias("span_end"))
+
+
+@query("accept_unit", f"""
+WITH r AS ({MATCH_UNITS}), b AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY rank) AS n FROM r WHERE method <> 'semantic_window')
+SELECT mention_id, CASE WHEN score >= 0.75 OR lexical_hit THEN unit_id END AS unit_id, round(score, 6) AS unit_score,
+       CASE WHEN score >= 0.75 THEN 'semantic_threshold' WHEN lexical_hit THEN 'lexical_quoted_hit' END AS unit_reason FROM b WHERE n = 1
+UNION ALL SELECT mention_id, CASE WHEN max(score) >= 0.75 THEN '' END, max(score), CASE WHEN max(score) >= 0.75 THEN 'semantic_threshold' END
+FROM r WHERE method = 'semantic_window' GROUP BY mention_id
+""")
+def accept_unit(t: Tables) -> DataFrame:
+    """The first candidate where it is good enough; of near vectors only that there is one."""
+    mentions = part_mentions(t)
+    found = D.match_units(mentions, part_units(t), encoder=letters)
+    near = found.filter("rank = 1 and method = 'semantic_window'").select(F.col("mention_id").alias("_m")).withColumn("_near", F.lit(True))
+    taken = D.accept_unit(found, mentions).join(near, F.col("mention_id") == F.col("_m"), "left")
+    return taken.select("mention_id", F.when(F.col("_near") & F.col("unit_id").isNotNull(), "").otherwise(F.col("unit_id")).alias("unit_id"),
+                        F.round("unit_score", 6).alias("unit_score"), "unit_reason")
