@@ -115,9 +115,9 @@ def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str) -> DataFr
     """Overlapping and adjacent inclusive ranges joined: keys, start, end, parts."""
     rows = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).groupBy(*keys, "_s").agg(
         F.max("_e").alias("_e"), F.count(F.lit(1)).alias("_n"))
-    reach = scale.segmented_scan(rows, keys, ["_s"], {"_reach": ("max", F.col("_e"))}, exclusive=("_reach",))
-    fresh = reach.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") + 1), 1).otherwise(0))
-    island = scale.segmented_scan(fresh, keys, ["_s"], {"_island": ("sum", F.col("_new"))})
+    reach = scale.Ordered.of(rows, keys, ["_s"]).scan({"_reach": ("max", F.col("_e"))}, exclusive=("_reach",))
+    fresh = reach.map(lambda r: r.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") + 1), 1).otherwise(0)))
+    island = fresh.scan({"_island": ("sum", F.col("_new"))}).result
     return island.groupBy(*keys, "_island").agg(
         F.min("_s").alias(start), F.max("_e").alias(end), F.sum("_n").alias("parts")).drop("_island")
 

@@ -18,10 +18,10 @@ def marker_state(rows: DataFrame, keys: list[str], order: list[str], begins: Col
     closes the segment after that row. A begin inside a segment opens no new one.
     """
     after = F.when(ends, 0).when(begins, 1)
-    before = scale.segmented_scan(rows, keys, order, {"_open": ("last", after)}, exclusive=("_open",))
     opened = F.coalesce(F.col("_open"), F.lit(0)) == 1
-    marked = before.withColumns({"inside": opened | begins, "_first": F.when(begins & ~opened, 1).otherwise(0)})
-    return scale.segmented_scan(marked, keys, order, {"segment": ("sum", F.col("_first"))}).drop("_open", "_first")
+    marked = scale.Ordered.of(rows, keys, order).scan({"_open": ("last", after)}, exclusive=("_open",)).map(
+        lambda r: r.withColumns({"inside": opened | begins, "_first": F.when(begins & ~opened, 1).otherwise(0)}))
+    return marked.scan({"segment": ("sum", F.col("_first"))}).result.drop("_open", "_first")
 
 
 def slice_by_markers(elements: DataFrame, begin: str = "[BEGIN]", end: str = "[END]") -> DataFrame:
@@ -41,11 +41,14 @@ def marker_summary(elements: DataFrame, begin: str = "[BEGIN]", end: str = "[END
         F.count_if(F.col("inside") & (without_markers("text", begin, end) != "")).alias("kept_elements"))
 
 
+def _around(lines: scale.Ordered, text_col: str = "text") -> scale.Ordered:
+    value = F.nullif(squeeze(text_col), F.lit(""))
+    return lines.scan({"before": ("last", value)}, exclusive=("before",)).scan({"after": ("last", value)}, exclusive=("after",), descending=True)
+
+
 def nearest_lines(lines: DataFrame, keys: list[str], order: list[str], text_col: str = "text") -> DataFrame:
     """Adds before and after: the nearest non-blank line strictly above and strictly below."""
-    value = F.nullif(squeeze(text_col), F.lit(""))
-    up = scale.segmented_scan(lines, keys, order, {"before": ("last", value)}, exclusive=("before",))
-    return scale.segmented_scan(up, keys, order, {"after": ("last", value)}, exclusive=("after",), descending=True)
+    return _around(scale.Ordered.of(lines, keys, order), text_col).result
 
 
 def marker_blocks(lines: DataFrame, begin: str = "[BEGIN]", end: str = "[END]", t: Thresholds = DEFAULTS) -> tuple[DataFrame, DataFrame]:
@@ -55,18 +58,20 @@ def marker_blocks(lines: DataFrame, begin: str = "[BEGIN]", end: str = "[END]",
     or by nothing is open-ended, an end without a begin is ignored. Blocks
     carry the anchors: the lines around the markers.
     """
-    around = nearest_lines(lines, ["doc_id"], ["idx"])
+    around = _around(scale.Ordered.of(lines.select("doc_id", "idx", "text"), ["doc_id"], ["idx"]))
     pattern = "(?iu)" + literal_pattern(begin) + "|" + literal_pattern(end)
-    spots = around.withColumn("_m", F.explode(all_spans("text", pattern))).select(
-        "doc_id", "idx", F.col("_m.start").alias("at"), (F.lower("_m.text") == begin.lower()).alias("is_begin"), "before", "after",
-        (F.col("idx").cast("long") * F.lit(1 << 31) + F.col("_m.start")).alias("_pos"))
+    # markers of a line keep its place, so the same ranges serve all scans
+    spots = around.map(lambda r: r.withColumn("_m", F.explode(all_spans("text", pattern))).select(
+        "_p", "doc_id", "idx", F.col("_m.start").alias("at"), (F.lower("_m.text") == begin.lower()).alias("is_begin"), "before", "after",
+        (F.col("idx").cast("long") * F.lit(1 << 31) + F.col("_m.start")).alias("_pos")), order=["_pos"])
     spot = F.struct(F.col("is_begin").alias("is_begin"), F.col("idx").alias("idx"), F.col("after").alias("after"))
-    seen = scale.segmented_scan(spots, ["doc_id"], ["_pos"], {"_prev": ("last", F.col("is_begin"))}, exclusive=("_prev",))
-    seen = scale.segmented_scan(seen, ["doc_id"], ["_pos"], {"_next": ("last", spot)}, exclusive=("_next",), descending=True)
+    begun = F.when(F.col("is_begin"), 1).otherwise(0)
+    seen = spots.scan({"_prev": ("last", F.col("is_begin")), "_n": ("sum", begun)}, exclusive=("_prev",)).scan(
+        {"_next": ("last", spot)}, exclusive=("_next",), descending=True).result
     pre = anchor_details("before", begin, end, t.anchor_min_chars)
     post = anchor_details("_next.after", begin, end, t.anchor_min_chars)
     closed = F.coalesce(~F.col("_next.is_begin"), F.lit(False))
-    blocks = scale.segmented_scan(seen.filter("is_begin"), ["doc_id"], ["_pos"], {"_n": ("count", F.lit(1))}).select(
+    blocks = seen.filter("is_begin").select(
         "doc_id", (F.col("_n") - 1).cast("int").alias("seg"), F.col("idx").alias("begin_line"),
         F.when(closed, F.col("_next.idx")).alias("end_line"), (~closed).alias("open_ended"),
         pre["text"].alias("start_text"), pre["weak"].alias("weak_start"),

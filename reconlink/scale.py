@@ -1,7 +1,8 @@
 """Building blocks that keep plans balanced when the data grows.
 
 * ``measured`` / ``fits`` put a number on a side before anything is replicated;
-* ``segmented_scan`` is a running window that splits hot keys into segments;
+* ``Ordered`` and ``segmented_scan`` are running windows over ranges of a total order, so that
+  hot keys, and tables without a key, are spread over all tasks;
 * ``newest_in_window`` is an interval join with a per-row limit that never
   emits more than the limit per row, however dense the time line is;
 * ``cut`` ends a lineage on shared storage.
@@ -10,13 +11,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# Rows of one key that one task may hold before the key is split.
-HOT_ROWS = 2_000_000
 # What may be replicated to every executor.
 REPLICATE_ROWS = 500_000
 REPLICATE_BYTES = 64 * 1024 * 1024
@@ -61,123 +61,77 @@ def fits(df: DataFrame, rows: int = REPLICATE_ROWS, bytes_: int = REPLICATE_BYTE
     return size.rows <= rows and size.bytes <= bytes_
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
-def hot_segments(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Cut points per hot key, or None when no key is hot.
+@dataclass(frozen=True)
+class Ordered:
+    """Rows in the ranges of one total order (keys, then ``order``), ready for running aggregates.
 
-    At most about a thousand keys and cut points come back, whatever the input
-    size: the limit for "hot" rises with the total.
+    ``rows`` carry ``_p``, the number of their range. The rows are range-partitioned once and kept in
+    that state, because where ranges lie may differ when a part is computed again. A range holds its share of all rows
+    whatever the keys are, so a hot key, or no key at all, is cut into as many ranges as its size asks for.
     """
-    total = df.count()
-    if total <= hot_rows:
-        return None
-    limit = max(hot_rows, total // 1000)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).collect()
-    if not sizes:
-        return None
-    hot = df.sparkSession.createDataFrame(sizes, df.select(*keys, F.lit(0).cast("long").alias("_n")).schema)
-    wanted = df.select(*keys, order)
-    if keys:
-        wanted = wanted.alias("a").join(
-            F.broadcast(hot.drop("_n").alias("b")),
-            reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]),
-            "left_semi",
-        )
-    parts = max(-(-int(r["_n"]) // limit) for r in sizes) + 1
-    marks = [i / parts for i in range(1, parts)]
-    bounds = wanted.groupBy(*keys).agg(F.percentile_approx(order, marks, 20 * parts).alias("_bounds")).collect()
-    schema = df.select(*keys, F.array(F.col(order)).alias("_bounds")).schema
-    return df.sparkSession.createDataFrame(bounds, schema)
+
+    rows: DataFrame
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+
+    @staticmethod
+    def of(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> "Ordered":
+        ranged = df.repartitionByRange(*([] if parts is None else [parts]), *keys, *order)
+        return Ordered(cut(ranged.withColumn("_p", F.spark_partition_id())), tuple(keys), tuple(order))
+
+    def map(self, change: Callable[[DataFrame], DataFrame], order: list[str] | None = None) -> "Ordered":
+        """Rows changed, left out or multiplied; ``order`` must refine the order they are in."""
+        return Ordered(change(self.rows), self.keys, self.order if order is None else tuple(order))
+
+    def scan(self, outputs: dict[str, tuple[str, Column]], *, exclusive: tuple[str, ...] = (), descending: bool = False) -> "Ordered":
+        """Running aggregates per key: op in sum, max, min, count, last (the last non-null value).
+
+        Two passes: a local window per range and key, and what the ranges before give a key. Only the first
+        key of a range (the last one when descending) can have begun before it, so there is at most one such carry per range,
+        joined by ``_p``; the local windows use the same exchange. Names in ``exclusive`` stop before the current row.
+        """
+        ops = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+        ranked = [F.col(c).desc() if descending else F.col(c).asc() for c in self.order]
+        base = W.partitionBy("_p", *self.keys).orderBy(*ranked)
+        local, totals, carries, merged = {}, [], [], {}
+        past = W.partitionBy(*self.keys).orderBy(F.desc("_p") if descending else F.asc("_p"))
+        before = past.rowsBetween(W.unboundedPreceding, -1)
+        for name, (op, value) in outputs.items():
+            frame = base.rowsBetween(W.unboundedPreceding, -1 if name in exclusive else 0)
+            local[name] = (F.last(value, ignorenulls=True) if op == "last" else ops[op](value)).over(frame)
+            if op == "last":
+                pick = (F.min if descending else F.max)(F.when(value.isNotNull(), F.struct(*self.order, value.alias("_v"))))
+                totals.append(pick.getField("_v").alias(f"_t_{name}"))
+            else:
+                totals.append(ops[op](value).alias(f"_t_{name}"))
+            total, here, carry = F.col(f"_t_{name}"), F.col(name), F.col(f"_c_{name}")
+            if op == "last":
+                carries.append(F.last(total, ignorenulls=True).over(before).alias(f"_c_{name}"))
+                merged[name] = F.coalesce(here, carry)
+            else:
+                carries.append((F.sum if op == "count" else ops[op])(total).over(before).alias(f"_c_{name}"))
+                # sums and counts add up; greatest and least leave nulls out
+                merged[name] = {"max": F.greatest, "min": F.least}[op](here, carry) if op in ("max", "min") else (
+                    F.when(carry.isNull(), here).otherwise(F.coalesce(here, F.lit(0)) + carry))
+        sums = self.rows.groupBy("_p", *self.keys).agg(*totals)
+        carry = sums.select(
+            F.col("_p").alias("_c_p"), *[F.col(k).alias(f"_c_{k}") for k in self.keys], F.row_number().over(past).alias("_c_no"), *carries).filter("_c_no > 1")
+        # joined by the range alone, the rows then lie right for the windows; the key is a mere condition
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in self.keys], F.lit(True))
+        joined = self.rows.join(carry, (F.col("_p") == F.col("_c_p")) & F.when(same, True), "left").withColumns(local)
+        return Ordered(joined.withColumns(merged).select(*[c for c in self.rows.columns if c not in outputs], *outputs), self.keys, self.order)
+
+    @property
+    def result(self) -> DataFrame:
+        return self.rows.drop("_p")
 
 
 def segmented_scan(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    outputs: dict[str, tuple[str, Column]],
-    *,
-    descending: bool = False,
-    exclusive: tuple[str, ...] = (),
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: list[str], order: list[str], outputs: dict[str, tuple[str, Column]], *,
+    descending: bool = False, exclusive: tuple[str, ...] = (), parts: int | None = None,
 ) -> DataFrame:
-    """Running aggregates per key in ``order``: op in sum, max, min, count, last.
-
-    ``last`` keeps the last non-null value. Names in ``exclusive`` stop before
-    the current row. A key over the limit is cut into segments by its first
-    order column; each segment is scanned on its own and gets the carry of the
-    segments before it, so no task holds a whole hot key. The order columns
-    must make rows unique and the first one must be a number, date or timestamp.
-    """
-    ops = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
-    ranked = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-
-    def local(part: list[str]) -> dict[str, Column]:
-        base = W.partitionBy(*part).orderBy(*ranked)
-        made = {}
-        for name, (op, value) in outputs.items():
-            frame = base.rowsBetween(W.unboundedPreceding, -1 if name in exclusive else 0)
-            made[name] = (F.last(value, ignorenulls=True) if op == "last" else ops[op](value)).over(frame)
-        return made
-
-    bounds = hot_segments(df, keys, order[0], hot_rows)
-    if bounds is None:
-        if keys:
-            return df.withColumns(local(keys))
-        return df.withColumn("_all", F.lit(0)).withColumns(local(["_all"])).drop("_all")
-
-    whole = df if keys else df.withColumn("_all", F.lit(0))
-    bounds = bounds if keys else bounds.withColumn("_all", F.lit(0))
-    part = keys or ["_all"]
-    named = bounds.select(*[F.col(k).alias(f"_b_{k}") for k in part], "_bounds")
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in part])
-    segmented = (
-        whole.join(F.broadcast(named), cond, "left")
-        .withColumn("_hot", F.col("_bounds").isNotNull())
-        .withColumn("_seg", F.when(F.col("_hot"), F.size(F.filter("_bounds", lambda b: b < F.col(order[0])))).otherwise(0))
-        .drop("_bounds", *[f"_b_{k}" for k in part])
-    )
-    totals = []
-    for name, (op, value) in outputs.items():
-        if op == "last":
-            key = F.struct(*order, value.alias("_v"))
-            pick = (F.min if descending else F.max)(F.when(value.isNotNull(), key))
-            totals.append(pick.getField("_v").alias(f"_t_{name}"))
-        else:
-            totals.append(ops[op](value).alias(f"_t_{name}"))
-    per_segment = segmented.filter("_hot").groupBy(*part, "_seg").agg(*totals)
-    before = (
-        W.partitionBy(*part)
-        .orderBy(F.col("_seg").desc() if descending else F.col("_seg").asc())
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    carries = []
-    for name, (op, _) in outputs.items():
-        total = F.col(f"_t_{name}")
-        merge = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
-        carries.append(
-            (F.last(total, ignorenulls=True) if op == "last" else merge[op](total)).over(before).alias(f"_c_{name}")
-        )
-    # one row per segment of a hot key: bounded by the limits above
-    carry = per_segment.select(*[F.col(k).alias(f"_c_{k}") for k in part], F.col("_seg").alias("_c_seg"), *carries)
-    joined = segmented.withColumns(local([*part, "_seg"])).join(
-        F.broadcast(carry),
-        reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in part])
-        & (F.col("_seg") == F.col("_c_seg")),
-        "left",
-    )
-    merged = {}
-    for name, (op, _) in outputs.items():
-        here, past = F.col(name), F.col(f"_c_{name}")
-        if op == "last":
-            merged[name] = F.coalesce(here, past)
-        elif op in ("sum", "count"):
-            merged[name] = F.when(past.isNull(), here).otherwise(F.coalesce(here, F.lit(0)) + past)
-        else:
-            merged[name] = F.greatest(here, past) if op == "max" else F.least(here, past)
-    return joined.withColumns(merged).select(*df.columns, *outputs)
+    """One ``Ordered.scan`` over ``df``; the order columns must make rows unique."""
+    return Ordered.of(df, keys, order, parts).scan(outputs, exclusive=exclusive, descending=descending).result
 
 
 def _micros(column: str) -> Column:
@@ -212,7 +166,7 @@ BLOCK = 64
 
 def time_line(
     left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str, tie: str, windows: dict[str, tuple[int, int, int | None]],
-    keys: list[str] | None = None, hot_rows: int = HOT_ROWS, cut_scan: bool = False,
+    keys: list[str] | None = None, parts: int | None = None, cut_scan: bool = False,
 ) -> TimeLine:
     """Place all right rows and all window borders on one line, by one segmented scan.
 
@@ -239,7 +193,7 @@ def time_line(
     # instant a window's late border comes first, then the rows, then early borders.
     spot = segmented_scan(
         line.withColumns({"_d": -F.col("_t"), "_neg": -F.col("_kind")}), keys, ["_d", "_neg", "_tie"],
-        {"_pos": ("sum", F.when(F.col("_kind") == 1, 1).otherwise(0))}, hot_rows=hot_rows,
+        {"_pos": ("sum", F.when(F.col("_kind") == 1, 1).otherwise(0))}, parts=parts,
     ).select(*keys, "_kind", "window", "_lt", "_pos", "_row")
     spot = cut(spot) if cut_scan else spot
     limit_of = F.create_map(*[x for name, (_, _, limit) in windows.items() for x in (F.lit(name), F.lit(limit).cast("long"))])
@@ -264,7 +218,7 @@ def newest_in_window(
     after: int,
     limit: int,
     keys: list[str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    parts: int | None = None,
     bucket_limit: int | None = None,
 ) -> DataFrame:
     """For each left row the newest ``limit`` right rows in [ts-before, ts+after] seconds.
@@ -295,7 +249,7 @@ def newest_in_window(
         newest = W.partitionBy(*keys, "_lt").orderBy(F.col("_rt").desc(), F.col(tie).asc())
         found = found.withColumn("rank_in_window", F.row_number().over(newest)).filter(F.col("rank_in_window") <= limit)
     else:
-        line = time_line(left, right, left_ts=left_ts, right_ts=right_ts, tie=tie, windows={"w": (before, after, limit)}, keys=keys, hot_rows=hot_rows)
+        line = time_line(left, right, left_ts=left_ts, right_ts=right_ts, tie=tie, windows={"w": (before, after, limit)}, keys=keys, parts=parts)
         wanted = line.ranges.select(*keys, "_lt", "newer", F.array(F.struct("newer", "to")).alias("_r"))
         found = line.fetch(wanted).select(*keys, "_lt", "_row.*", (F.col("_pos") - F.col("newer")).cast("int").alias("rank_in_window"))
     return left.withColumn("_lt", _micros(left_ts)).join(found.drop("_rt"), [*keys, "_lt"]).drop("_lt")

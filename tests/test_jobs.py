@@ -5,7 +5,7 @@ import random
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from reconlink import Thresholds, scale
 from reconlink.operators import classify as C, dictmatch as D, relops as R, slicing as SL, vectors as V
@@ -21,13 +21,13 @@ def test_newest_in_window_all_plans(spark):
     right = [(i, rnd.randint(0, 5), rnd.randint(0, 3000) // 30 * 30) for i in range(1500)]
     l = spark.createDataFrame(left, "m int, k int, lt long").withColumn("lt", F.timestamp_seconds("lt"))
     r = spark.createDataFrame(right, "e int, k int, rt long").withColumn("rt", F.timestamp_seconds("rt"))
-    for keys, (hot, bucket) in itertools.product(([], ["k"]), ((scale.HOT_ROWS, None), (scale.HOT_ROWS, 0), (60, 0))):
+    for keys, (parts, bucket) in itertools.product(([], ["k"]), ((None, None), (None, 0), (9, 0))):
         want = set()
         for m, k, t in left:
             near = sorted((-rt, e) for e, rk, rt in right if abs(rt - t) <= 100 and (not keys or rk == k))[:20]
             want |= {(m, e, n + 1) for n, (_, e) in enumerate(near)}
         got = scale.newest_in_window(l, r if keys else r.drop("k"), left_ts="lt", right_ts="rt", tie="e", before=100, after=100,
-                                     limit=20, keys=keys, hot_rows=hot, bucket_limit=bucket)
+                                     limit=20, keys=keys, parts=parts, bucket_limit=bucket)
         assert {tuple(x) for x in got.select("m", "e", "rank_in_window").collect()} == want
 
 
@@ -38,8 +38,24 @@ def test_segmented_scan_equals_plain_window(spark):
     outs = {"s": ("sum", F.col("v")), "x": ("max", F.col("v")), "n": ("min", F.col("v")), "c": ("count", F.col("v")), "l": ("last", F.col("v"))}
     for keys, descending, exclusive in itertools.product((["k"], []), (False, True), ((), tuple(outs))):
         args = dict(keys=keys, order=["i"], outputs=outs, descending=descending, exclusive=exclusive)
-        plain = scale.segmented_scan(df, **args).orderBy("i").collect()
-        assert scale.segmented_scan(df, **args, hot_rows=50).orderBy("i").collect() == plain
+        window = W.partitionBy(*keys).orderBy(F.desc("i") if descending else F.asc("i")).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+        calls = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "last": lambda v: F.last(v, ignorenulls=True)}
+        plain = df.select("*", *[calls[op](v).over(window).alias(n) for n, (op, v) in outs.items()]).orderBy("i").collect()
+        for parts in (1, 5, 40):
+            assert scale.segmented_scan(df, **args, parts=parts).orderBy("i").collect() == plain, (keys, descending, exclusive, parts)
+
+
+def test_ordered_scans_share_their_ranges(spark):
+    df = spark.createDataFrame([(None if i % 3 else "a", i, i % 7) for i in range(300)], "k string, i int, v int")
+    both = scale.Ordered.of(df, ["k"], ["i"], 12).scan({"up": ("sum", F.col("v"))}).map(
+        lambda r: r.withColumn("x", F.col("up") + 1)).scan({"down": ("last", F.col("x"))}, exclusive=("down",), descending=True)
+    sums, want = {}, {}
+    for i in range(300):
+        sums[i % 3 == 0] = want[i] = sums.get(i % 3 == 0, 0) + i % 7
+    rows = {r["i"]: (r["up"], r["down"]) for r in both.result.collect()}
+    after = {i: next((want[j] + 1 for j in range(i + 1, 300) if (j % 3 == 0) == (i % 3 == 0)), None) for i in range(300)}
+    assert rows == {i: (want[i], after[i]) for i in range(300)}
+    assert "_p" not in both.result.columns and scale.Ordered.of(df.filter("false"), ["k"], ["i"]).scan({"up": ("sum", F.col("v"))}).result.collect() == []
 
 
 def test_merge_ranges_and_paging(spark):
