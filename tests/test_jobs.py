@@ -226,16 +226,61 @@ def test_rank_categories(spark):
         ("r1", "кража", r"краж[аи]", "158", True, True), ("r2", "кража", "тайное хищение", None, True, True), ("r3", "побег", "побег", None, False, True),
         ("r4", "драка", "драка во дворе", "116", True, True), ("r5", "драка", "драка во дворе", None, True, False), ("r6", "плохое", "(драка", None, True, True)], RULES)
     texts = spark.createDataFrame([("a", "Кража"), ("b", "драка во  ДВОРЕ!"), ("c", "ничего похожего на эти слова здесь нет совсем")], "mention_id string, text string")
-    for limits in ({}, {"max_rows": 2, "block_rows": 1}):
-        got = {}
-        for r in C.rank_categories(texts, rules, **limits).orderBy("mention_id", "rank").collect():
-            got.setdefault(r["mention_id"], []).append((r["category"], r["rule_id"], r["method"], round(r["score"], 4)))
-        assert got["a"][0] == ("кража", "r1", "regex_hit", round(SequenceMatcher(None, "краж[аи]", "кража").ratio(), 4))
-        assert got["b"][0] == ("драка", "r4", "fuzzy", round(SequenceMatcher(None, "драка во дворе", "драка во дворе!").ratio(), 4))
-        assert "c" not in got
+    got = {}
+    for r in C.rank_categories(texts, rules).orderBy("mention_id", "rank").collect():
+        got.setdefault(r["mention_id"], []).append((r["category"], r["rule_id"], r["method"], round(r["score"], 4)))
+    assert got["a"][0] == ("кража", "r1", "regex_hit", round(SequenceMatcher(None, "краж[аи]", "кража").ratio(), 4))
+    assert got["b"][0] == ("драка", "r4", "fuzzy", round(SequenceMatcher(None, "драка во дворе", "драка во дворе!").ratio(), 4))
+    assert "c" not in got
     assert [r["category"] for r in C.classify(texts, rules).orderBy("mention_id").collect()] == ["кража", "драка"]
 
 
+def test_rule_scores_against_a_loop(spark):
+    """Every text by every rule, as the join may leave out no pair that the loop finds."""
+    import re
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("абвсік") for _ in range(rnd.randint(1, 4)))
+    texts = [(f"t{i}", " ".join(word() for _ in range(rnd.randint(1, 7)))) for i in range(60)] + [("none", None), ("blank", " "), ("long", "аб ваб " * 50), ("odd", "ſıа ваᲂ")]
+    patterns = ["аб.в", "а+", r"\w{3} \w", "(аб|ва)c?", "[ав]{2}", "(?:ва){1,2}б?", "s.а", "ва(о|x)?", "(плохо", "x*", "ва б.*а$", "(?i)А.?Б", r"\bаб\b"]
+    patterns += [" ".join(word() for _ in range(rnd.randint(1, 4))) for _ in range(25)]
+    rules = [(f"r{i}", "c", p, None, True, True) for i, p in enumerate(patterns)]
+    want = set()
+    for key, raw in texts:
+        body = " ".join((raw or "").split())
+        for i, p in enumerate(patterns):
+            folded = " ".join(re.sub(r"[\t\r\n|/\\,;]+", " ", p.lower()).split())
+            try:
+                hit = re.search(p, body, re.I) if re.search(r"[.^$*+?{}\[\]\\|()]", p) else None
+            except re.error:
+                hit = None
+            if not body:
+                continue
+            plain = " ".join(hit.group(0).split()) if hit else body
+            score = SequenceMatcher(None, folded, plain).ratio()
+            if score >= 0.5:
+                want.add((key, f"r{i}", round(score, 6), "regex_hit" if hit else "fuzzy"))
+    got = C.rule_scores(spark.createDataFrame(texts, "mention_id string, text string"), spark.createDataFrame(rules, RULES)).collect()
+    assert len(got) == len(want) and {(r["mention_id"], r["rule_id"], round(r["score"], 6), r["method"]) for r in got} == want
+
+
+def test_pairs_within_lose_nothing(spark):
+    from difflib import SequenceMatcher
+
+    from reconlink.operators.ratiojoin import pairs_within
+
+    rnd = random.Random(9)
+    some = sorted({"".join(rnd.choice("аабв ") for _ in range(rnd.randint(1, 14))) for _ in range(90)})
+    a, b = spark.createDataFrame([(x,) for x in some[::2]], "_a string"), spark.createDataFrame([(x,) for x in [*some[1::2], "а" * 60]], "_b string")
+    for least in (0.3, 0.5, 0.9, 1.0):
+        got = [tuple(r) for r in pairs_within(a, b, least).collect()]
+        want = {(x, y) for x in some[::2] for y in [*some[1::2], "а" * 60] if SequenceMatcher(None, x, y).ratio() >= least}
+        assert want <= set(got) and len(set(got)) == len(got)
+        bound = lambda x, y: 2 * sum(min(x.count(c), y.count(c)) for c in set(x)) / (len(x) + len(y))
+        assert all(bound(x, y) >= least - 1e-6 for x, y in got)
+
+
 def test_same_pattern_and_similar(spark):
     rules = spark.createDataFrame([("r1", "A", "Драка", "1", True, True), ("r2", "B", "драка ", "2", True, True), ("r3", "C", "драка у дома", None, True, True),
                                    ("r4", "D", "побег", None, True, True)], RULES)
