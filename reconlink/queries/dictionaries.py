@@ -141,9 +141,46 @@ def regex_rules(t: Tables) -> DataFrame:
     return C.rule_scores(docs, word_rules(t), text_key="doc_id", patterns_only=True).select("doc_id", "rule_id", "fragment")
 
 
-@query("rank_categories")
+def ratio_sql(pairs: str) -> str:
+    """CTEs that end in ``ratios`` (a, b, score): the gestalt ratio of the texts in ``pairs`` (a, b), block by longest block."""
+    return f"""
+    pair AS MATERIALIZED (SELECT DISTINCT a, b, md5(a || chr(31) || b) AS id FROM {pairs}),
+    spot AS (SELECT id, a, b, i, unnest(range(0, length(b))) AS j FROM (SELECT *, unnest(range(0, length(a))) AS i FROM pair)),
+    cell AS MATERIALIZED (SELECT id, i, j, i - j AS diagonal FROM spot WHERE a[i + 1] = b[j + 1]),
+    runs AS (SELECT *, i - row_number() OVER (PARTITION BY id, diagonal ORDER BY i) AS run FROM cell),
+    block AS MATERIALIZED (SELECT id, i, j, 1 + max(i) OVER (PARTITION BY id, diagonal, run) - i AS k FROM runs),
+    piece AS (
+        SELECT id, 0 AS alo, CAST(length(a) AS INT) AS ahi, 0 AS blo, CAST(length(b) AS INT) AS bhi, 0 AS m FROM pair
+        UNION ALL
+        SELECT id, CAST(CASE side WHEN 0 THEN alo ELSE -best.i + best.k END AS INT), CAST(CASE side WHEN 0 THEN -best.i ELSE ahi END AS INT),
+               CAST(CASE side WHEN 0 THEN blo ELSE -best.j + best.k END AS INT), CAST(CASE side WHEN 0 THEN -best.j ELSE bhi END AS INT), CASE side WHEN 0 THEN CAST(best.k AS INT) ELSE 0 END
+        FROM (SELECT id, alo, ahi, blo, bhi, unnest([0, 1]) AS side, best FROM (
+                SELECT p.id, alo, ahi, blo, bhi, max(struct_pack(k := least(k, ahi - i, bhi - j), i := -i, j := -j)) AS best
+                FROM piece p JOIN block ON block.id = p.id AND i >= alo AND i < ahi AND j >= blo AND j < bhi GROUP BY ALL))),
+    ratios AS (SELECT any_value(a) AS a, any_value(b) AS b, 2.0 * sum(m) / (length(any_value(a)) + length(any_value(b))) AS score FROM piece JOIN pair USING (id) GROUP BY id)"""
+
+
+RANK_RULES = """known AS (SELECT item_id AS rule_id, 'c' || (item_id % 7) AS category, words[1] || '.{0,20}' || words[2] AS pattern, words[1] || '.{0 20}' || words[2] AS folded
+          FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS words FROM benchmark))"""
+
+
+@query("rank_categories", f"""
+WITH RECURSIVE {RANK_RULES},
+d AS MATERIALIZED (SELECT doc_id, {FOLD.format(c='text')} AS body FROM documents),
+hit AS MATERIALIZED (SELECT doc_id, rule_id, folded, regexp_extract(body, '(?i)' || pattern) AS fragment FROM d JOIN known ON regexp_matches(body, '(?i)' || pattern)),
+near AS MATERIALIZED (SELECT doc_id, rule_id, folded, body FROM d JOIN known ON body <> '' AND 2.0 * least(length(body), length(folded)) / (length(body) + length(folded)) >= 0.5
+         WHERE (doc_id, rule_id) NOT IN (SELECT (doc_id, rule_id) FROM hit)),
+asked AS (SELECT folded AS a, {FOLD.format(c='fragment')} AS b FROM hit UNION SELECT folded, body FROM near),
+{ratio_sql('asked')},
+scored AS (SELECT doc_id, rule_id, score, 'regex_hit' AS method FROM hit JOIN ratios ON a = folded AND b = {FOLD.format(c='fragment')}
+           UNION ALL SELECT doc_id, rule_id, score, 'fuzzy' FROM near JOIN ratios ON a = folded AND b = body),
+best AS (SELECT doc_id, category, rule_id, score, method FROM scored JOIN known USING (rule_id) WHERE score >= 0.5
+         QUALIFY row_number() OVER (PARTITION BY doc_id, category ORDER BY score DESC, rule_id) = 1)
+SELECT doc_id, category, rule_id, round(score, 6) AS score, method, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rank FROM best
+""")
 def rank_categories(t: Tables) -> DataFrame:
-    return C.rank_categories(t.documents.select("doc_id", "text"), word_rules(t), text_key="doc_id")
+    ranked = C.rank_categories(t.documents.select("doc_id", "text"), word_rules(t), text_key="doc_id")
+    return ranked.select("doc_id", "category", "rule_id", F.round("score", 6).alias("score"), "method", "rank")
 
 
 def part_rules(t: Tables) -> DataFrame:
@@ -177,16 +214,33 @@ def pattern_category_map(t: Tables) -> DataFrame:
     return C.pattern_categories(used, part_rules(t)).withColumn("categories", F.array_join("categories", ","))
 
 
-@query("fuzzy_rules_ratio")
+NAMED_RULES = """names AS (SELECT DISTINCT p_name AS name FROM part),
+known AS (SELECT p_type || '/' || p_name AS rule_id, p_type AS category, p_name AS pattern FROM part GROUP BY p_type, p_name HAVING max(p_size) > 10),
+asked AS (SELECT DISTINCT {a} AS a, {b} AS b FROM names, (SELECT DISTINCT pattern FROM known))"""
+
+
+@query("fuzzy_rules_ratio", f"""
+WITH RECURSIVE {NAMED_RULES.format(a='pattern', b='name')}, {ratio_sql('asked')},
+ranked AS (SELECT b AS name, category, rule_id, score FROM ratios JOIN known ON pattern = a WHERE score >= 0.5
+           QUALIFY row_number() OVER (PARTITION BY b, category ORDER BY score DESC, rule_id) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, category) AS rank FROM ranked)
+SELECT p_partkey, category, rule_id, round(score, 6) AS score, 'fuzzy' AS method, rank FROM part JOIN top ON name = p_name
+""")
 def fuzzy_rules_ratio(t: Tables) -> DataFrame:
     """Distinct names are ranked once and joined back to their parts."""
     names = t.part.select(F.col("p_name").alias("mention_id")).distinct().withColumn("text", F.col("mention_id"))
     ranked = C.rank_categories(names, part_rules(t))
     return t.part.select("p_partkey", F.col("p_name").alias("mention_id")).join(ranked, "mention_id").select(
-        "p_partkey", "category", "rule_id", F.round("score", 6).alias("score"), "method", "fragment", "rank")
+        "p_partkey", "category", "rule_id", F.round("score", 6).alias("score"), "method", "rank")
 
 
-@query("similar_rules")
+@query("similar_rules", f"""
+WITH RECURSIVE {NAMED_RULES.format(a='name', b='pattern')}, {ratio_sql('asked')},
+scored AS (SELECT a, b, CASE WHEN contains(a, b) OR contains(b, a) THEN 1.0 ELSE score END AS score FROM ratios)
+SELECT a AS base_id, rule_id, round(score, 6) AS score, category, pattern, CAST(NULL AS VARCHAR) AS article,
+       row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, category, pattern, rule_id) AS rank
+FROM scored JOIN known ON pattern = b WHERE score >= 0.5
+""")
 def similar_rules(t: Tables) -> DataFrame:
     bases = t.part.select(F.col("p_name").alias("base_id")).distinct().withColumn("pattern", F.col("base_id"))
     return C.similar_rules(bases, part_rules(t))
