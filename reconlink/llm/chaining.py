@@ -4,8 +4,9 @@ Seeds are word k-mers thinned to window minima (of every ``WINDOW`` neighbouring
 one of the smallest hash), so two texts that share WINDOW + K - 1 words in a row share
 a seed. Each seed links its occurrences to its first one (smallest doc_id), a star and
 never all pairs. Stars alone lose a passage whose seeds were first met, in shorter pieces, in
-different documents; so each run of ``MIN_WORDS`` words whose seeds all are shared links to the first
-document that holds the whole run, and no exact run of that length is lost. The seeds' links of a document to one other are merged to anchors along
+different documents; so each run of ``MIN_WORDS`` words whose seeds all were met in earlier documents, and
+that no star passage covers, links to the first document that holds the whole run: no exact run of that
+length is lost. Only runs made of such *open* seeds are shuffled. The seeds' links of a document to one other are merged to anchors along
 diagonals and chained in order, with a cost for gaps, by a Fenwick tree over the other
 document's positions. A chain is aligned word by word, between its anchors and
 beyond its ends, and is a passage if it covers ``MIN_WORDS`` words of which
@@ -21,7 +22,7 @@ row's own text; a document that repeats a passage only within itself has none.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -45,24 +46,33 @@ def word_ids(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
 
 
-def run_hashes(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the runs of ``k`` words from the given places."""
+def run_hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words."""
     mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    own = np.zeros(len(starts), dtype=np.uint64)
-    for i in range(k):
-        own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + mixed[starts + i]
+    n = max(0, len(ids) - k + 1)
+    own = np.zeros(n, dtype=np.uint64)
+    for i in range(k if n else 0):
+        own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + mixed[i : i + n]
     own ^= own >> np.uint64(32)
     return own * np.uint64(0x94D049BB133111EB)
 
 
+def leftmost_least(own: np.ndarray, window: int) -> np.ndarray:
+    """For every window of ``own`` the place of its smallest value, the first one of equals; windows grow by doubling."""
+    at, value, size = np.arange(len(own)), own, 1
+    while size < window:
+        step = min(size, window - size)
+        left = value[:-step] <= value[step:]
+        at, value, size = np.where(left, at[:-step], at[step:]), np.where(left, value[:-step], value[step:]), size + step
+    return at
+
+
 def minima(ids: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's k-mers, and for every window of them the place of its smallest."""
-    n = len(ids) - k + 1
-    if n < window:
+    if len(ids) - k + 1 < window:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    own = run_hashes(ids, np.arange(n), k)
-    least = np.lib.stride_tricks.sliding_window_view(own, window).argmin(axis=1)
-    return own, least + np.arange(len(least))
+    own = run_hashes(ids, k)
+    return own, leftmost_least(own, window)
 
 
 def seeds_of(ids: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +82,49 @@ def seeds_of(ids: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndar
     return own[places].view(np.int64), places.astype(np.int32)
 
 
-def runs_of(ids: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the runs of ``MIN_WORDS`` words in which every window's seed is among the ``shared`` places.
+def seeds_of_all(texts: list[np.ndarray], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The seeds of several texts at once: hash, number of the text, place in it. Windows over a border don't count."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    own, least = minima(np.concatenate([np.zeros(0, dtype=np.uint64), *texts]), k, window)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    ends = np.cumsum(sizes)
+    here = np.arange(len(least))
+    places = np.unique(least[ends[text[here]] - here >= k + window - 1]) if len(least) else least
+    row = text[places]
+    return own[places].view(np.int64), row, (places - (ends - sizes)[row]).astype(np.int32)
+
+
+def run_starts(least: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Where runs of ``MIN_WORDS`` words begin in which every window's seed (at ``least``) is among the ``places``.
 
     The windows within a run depend on its words only, so a run that two documents hold has
     the same seeds in both and none is left out.
     """
-    _, least = minima(ids)
     need = MIN_WORDS - K - WINDOW + 2
-    ok = np.concatenate([[0], np.cumsum(np.isin(least, shared))])
-    starts = np.flatnonzero(ok[need:] - ok[:-need] == need) if len(ok) > need else np.zeros(0, dtype=np.int64)
-    return run_hashes(ids, starts, MIN_WORDS).view(np.int64), starts.astype(np.int32)
+    ok = np.concatenate([[0], np.cumsum(np.isin(least, places))])
+    return np.flatnonzero(ok[need:] - ok[:-need] == need) if len(ok) > need else np.zeros(0, dtype=np.int64)
+
+
+def runs_of(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the runs of ``MIN_WORDS`` words whose seeds are all among the ``places``."""
+    starts = run_starts(minima(ids)[1], places)
+    return run_hashes(ids, MIN_WORDS)[starts].view(np.int64), starts.astype(np.int32)
+
+
+def open_seeds_of(ids: np.ndarray, places: np.ndarray, spans: Callable[[], list[tuple[int, int]]]) -> np.ndarray:
+    """Hashes of the seeds, among the ``places``, of the runs that none of the ``spans`` covers; those are asked for only if there is a run."""
+    own, least = minima(ids)
+    starts = run_starts(least, places)
+    if len(starts) and (covered := spans()):
+        begins, ends = np.array(covered).T
+        at = np.searchsorted(begins, starts, side="right") - 1
+        starts = starts[(at < 0) | (starts + MIN_WORDS > ends[at])]
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    steps = np.zeros(len(least) + 1, dtype=np.int64)
+    steps[starts] += 1
+    steps[starts + MIN_WORDS - K - WINDOW + 2] -= 1
+    return np.unique(own[least[np.cumsum(steps[:-1]) > 0]]).view(np.int64)
 
 
 def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -92,49 +134,58 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
-                found = [seeds_of(word_ids(words_of(t or "")), k, window) for t in part.column("text").to_pylist()]
-                rows = np.repeat(np.arange(len(part)), [len(h) for h, _ in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([h for h, _ in found])), part.column("doc_id").take(pa.array(rows)), pa.array(np.concatenate([p for _, p in found]))],
-                    names=["h", "doc_id", "pos"],
-                )
+                h, row, pos = seeds_of_all([word_ids(words_of(t or "")) for t in part.column("text").to_pylist()], k, window)
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column("doc_id").take(pa.array(row)), pa.array(pos)], names=["h", "doc_id", "pos"])
 
     schema = T.StructType([T.StructField("h", T.LongType()), kind, T.StructField("pos", T.IntegerType())])
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
 
 
-def shared(found: DataFrame) -> DataFrame:
-    """Each occurrence of a seed that two documents hold next to the seed's first occurrence: doc_id, pos, first.
+def matches(found: DataFrame) -> DataFrame:
+    """Each occurrence of a seed (or run) outside its first document next to the first one: doc_id, pos, first_id, first_pos.
 
     The first occurrence is an aggregate, partly taken before its shuffle; the join back is an
     equi join of which AQE may split a hot seed.
     """
     first = found.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last_id")).where("last_id != first.doc_id")
-    return found.join(first.select("h", "first"), "h").select("doc_id", "pos", "first")
+    narrow = first.select("h", F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos"))
+    return found.join(narrow, "h").where("doc_id != first_id").select("doc_id", "pos", "first_id", "first_pos")
 
 
-def matches(occurrences: DataFrame) -> DataFrame:
-    """The ``shared`` occurrences outside the first document: doc_id, pos, first_id, first_pos."""
-    return occurrences.where("doc_id != first.doc_id").select("doc_id", "pos", F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos"))
+def open_seeds(plain: DataFrame, links: DataFrame, stars: DataFrame) -> DataFrame:
+    """The distinct seeds (h) of runs whose seeds all have ``links`` and that no passage of the ``stars`` covers."""
+    places = links.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    rows = plain.join(places, "doc_id").join(stars, "doc_id", "left").select("text", "places", "chains")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text", 1 << 18):
+                out = [np.zeros(0, dtype=np.int64)]
+                for t, p, c in zip(*(part.column(i) for i in ("text", "places", "chains"))):
+                    ids = word_ids(words_of(t.as_py() or ""))
+                    out.append(open_seeds_of(ids, p.values.to_numpy(), lambda: joined_spans(passages_of(ids, c.as_py() or []))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["h"])
+
+    return rows.mapInArrow(run, "h long").distinct()
 
-def runs(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """One row per run of ``MIN_WORDS`` words that may stand in two documents, going by its seeds: h, doc_id, pos."""
-    kind = docs.schema["doc_id"]
-    places = occurrences.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+
+def runs(plain: DataFrame, found: DataFrame, open_ones: DataFrame) -> DataFrame:
+    """One row per run of ``MIN_WORDS`` words whose seeds are all open: h, doc_id, pos."""
+    kind = plain.schema["doc_id"]
+    places = found.join(open_ones, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 1 << 18):
-                found = [runs_of(word_ids(words_of(t or "")), np.array(p)) for t, p in zip(part.column("text").to_pylist(), part.column("places").to_pylist())]
-                rows = np.repeat(np.arange(len(part)), [len(h) for h, _ in found])
+                each = [runs_of(word_ids(words_of(t.as_py() or "")), p.values.to_numpy()) for t, p in zip(part.column("text"), part.column("places"))]
+                rows = np.repeat(np.arange(len(part)), [len(h) for h, _ in each])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([h for h, _ in found])), part.column("doc_id").take(pa.array(rows)), pa.array(np.concatenate([p for _, p in found]))],
+                    [pa.array(np.concatenate([h for h, _ in each])), part.column("doc_id").take(pa.array(rows)), pa.array(np.concatenate([p for _, p in each]))],
                     names=["h", "doc_id", "pos"],
                 )
 
     schema = T.StructType([T.StructField("h", T.LongType()), kind, T.StructField("pos", T.IntegerType())])
-    return docs.select("doc_id", "text").join(places, "doc_id").mapInArrow(run, schema)
+    return plain.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, schema)
 
 
 def run_chains(found: DataFrame) -> DataFrame:
@@ -216,17 +267,17 @@ CHAIN = "doc_id {0}, first_id {0}, a array<int>, b array<int>, n array<int>"
 def chained(found: DataFrame) -> DataFrame:
     """The chains of two seeds or more: doc_id, first_id, and the anchors as arrays.
 
-    Rows are dealt by document, so a task holds the links of one document at a time, which its
+    ``found`` is dealt by document, so a task holds the links of one document at a time, which its
     length bounds.
     """
     kind = dict(found.dtypes)["doc_id"]
-    dealt = found.repartition("doc_id").sortWithinPartitions("doc_id", "first_id", "pos")
+    dealt = found.sortWithinPartitions("doc_id", "first_id", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def closed(rows: pa.Table) -> pa.RecordBatch:
-            doc, first = (rows.column(c).to_pandas().to_numpy() for c in ("doc_id", "first_id"))
+            doc, first = (rows.column(c).to_numpy() for c in ("doc_id", "first_id"))
             a, b = (rows.column(c).to_numpy().astype(np.int64) for c in ("pos", "first_pos"))
             bounds = np.flatnonzero((doc[1:] != doc[:-1]) | (first[1:] != first[:-1])) + 1
             starts, stops = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(a)]])
@@ -245,7 +296,7 @@ def chained(found: DataFrame) -> DataFrame:
         for batch in batches:
             here = pa.Table.from_batches([batch])
             rest = here if rest is None else pa.concat_tables([rest, here])
-            doc = rest.column("doc_id").to_pandas().to_numpy()
+            doc = rest.column("doc_id").to_numpy()
             if not len(doc):
                 continue
             last = int(np.flatnonzero(doc != doc[-1]).max(initial=-1)) + 1
@@ -262,7 +313,9 @@ def fragments(chain: DataFrame, docs: DataFrame) -> DataFrame:
     """The chains with the word numbers of the first document around them (``words`` packed, from word ``at``)."""
     kind = dict(chain.dtypes)["doc_id"]
     names = ["doc_id", "first_id", "a", "b", "n", "exact"]
-    joined = chain.join(docs.select(F.col("doc_id").alias("first_id"), "text"), "first_id").select(*names, "text")
+    # the texts keep their names, so that their shuffle is the one of the other joins
+    own = chain.withColumnRenamed("doc_id", "own_id")
+    joined = own.join(docs, F.col("first_id") == F.col("doc_id")).select(F.col("own_id").alias("doc_id"), *names[1:], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[str, np.ndarray] = ("", np.zeros(0, dtype=np.uint32))
@@ -338,12 +391,12 @@ def joined_spans(found: list[tuple[int, int, int, object, int, int]]) -> list[tu
     return out
 
 
-def passages_of(text: str, chain: list[dict]) -> list[tuple]:
-    """The passages of one text: (start word, stop word, agreeing words, first_id, first's start, first's stop).
+def passages_of(own: np.ndarray, chain: list[dict]) -> list[tuple]:
+    """The passages of the text of these words: (start word, stop word, agreeing words, first_id, first's start, first's stop).
 
     Chains of runs add what the others leave over: those within passages found so far are no news.
     """
-    own, out, spans = word_ids(words_of(text)), [], None
+    out, spans = [], None
     for c in sorted(chain, key=lambda c: (c["exact"], -sum(c["n"]))):
         if c["exact"]:
             spans = joined_spans(out) if spans is None else spans
@@ -356,25 +409,39 @@ def passages_of(text: str, chain: list[dict]) -> list[tuple]:
     return out
 
 
+def gathered(chain: DataFrame, plain: DataFrame) -> DataFrame:
+    """The chains of each document with their fragments, as one array."""
+    return fragments(chain, plain).groupBy("doc_id").agg(F.collect_list(F.struct("first_id", "a", "b", "n", "exact", "at", "words")).alias("chains"))
+
+
+def chains_of(plain: DataFrame) -> DataFrame:
+    """All chains of each doc_id of ``plain`` (doc_id not null, text): doc_id, chains."""
+    found = seeds(plain)
+    links = matches(found).repartition("doc_id")
+    stars = gathered(chained(links).withColumn("exact", F.lit(False)), plain)
+    open_runs = runs(plain, found, open_seeds(plain, links, stars))
+    whole = gathered(run_chains(matches(open_runs)), plain)
+    both = stars.join(whole.withColumnRenamed("chains", "more"), "doc_id", "full")
+    return both.select("doc_id", F.flatten(F.array_compact(F.array("chains", "more"))).alias("chains"))
+
+
 def with_chains(docs: DataFrame, how: str = "left") -> DataFrame:
-    """``docs`` with ``_chains``: for each row the chains of its doc_id (left: null if none)."""
-    plain = docs.select("doc_id", "text")
-    occurrences = shared(seeds(plain))
-    stars = chained(matches(occurrences)).withColumn("exact", F.lit(False))
-    pieces = fragments(stars.unionByName(run_chains(matches(shared(runs(plain, occurrences))))), plain)
-    each = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("first_id", "a", "b", "n", "exact", "at", "words")).alias("_chains"))
-    return docs.join(each, "doc_id", how)
+    """``docs`` with ``chains``: for each row the chains of its doc_id (left: null if none)."""
+    plain = docs.where("doc_id is not null").select("doc_id", "text")
+    return (plain if how == "inner" else docs).join(chains_of(plain), "doc_id", how)
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """One row per passage: doc_id, start, stop (words), agreeing words, and where it was first: first_id, first_start, first_stop."""
-    rows = with_chains(docs.select("doc_id", "text"), "inner").select("doc_id", "text", "_chains")
+    rows = with_chains(docs.select("doc_id", "text"), "inner").select("doc_id", "text", "chains")
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
-                found = [(i, *p) for i, (t, c) in enumerate(zip(part.column("text").to_pylist(), part.column("_chains").to_pylist())) for p in passages_of(t or "", c)]
+            for part in chunks(batch, "text", 1 << 18):
+                # chains become Python values one row at a time
+                rows = enumerate(zip(part.column("text"), part.column("chains")))
+                found = [(i, *p) for i, (t, c) in rows for p in passages_of(word_ids(words_of(t.as_py() or "")), c.as_py())]
                 ids = part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
                 kinds = (pa.int32(), pa.int32(), pa.int32(), ids.type, pa.int32(), pa.int32())
                 columns = [pa.array([f[j + 1] for f in found], k) for j, k in enumerate(kinds)]
@@ -401,20 +468,22 @@ def cut_passages(docs: DataFrame) -> DataFrame:
     without a repeated passage stay as they are.
     """
     names = docs.columns
-    rows = with_chains(docs).select(*names, "_chains")
-    at = names.index("text")
+    # other columns travel under names that none of the operator's own can have
+    coded = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"_d{i}") for i, c in enumerate(names)])
+    rows = with_chains(coded).select(*coded.columns, "chains")
+    at, coded_names = names.index("text"), coded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text", 1 << 18):
                 texts, keep = part.column("text").to_pylist(), []
                 changed = [False] * len(texts)
-                for i, c in enumerate(part.column("_chains").to_pylist()):
-                    spans = joined_spans(passages_of(texts[i] or "", c)) if c else []
+                for i, c in enumerate(part.column("chains")):
+                    spans = joined_spans(passages_of(word_ids(words_of(texts[i] or "")), c.as_py())) if c.is_valid else []
                     if spans:
                         texts[i], changed[i] = without(texts[i], spans), True
                     keep.append(not spans or bool(texts[i].strip()))
-                columns = [part.column(c) for c in names]
+                columns = [part.column(c) for c in coded_names]
                 columns[at] = pa.array(texts, columns[at].type)
                 if "n_chars" in names:
                     k = names.index("n_chars")
