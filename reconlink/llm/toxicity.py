@@ -58,6 +58,8 @@ LONE = re.compile(r"\b[^\W\d_]\b")
 APART = frozenset(("", ".", "-", "*"))
 DRAWN = re.compile(r"([^\W\d_])\1\1")
 OTHER = re.compile(r"[^\w\s]")
+#: kinds of terms by their first sign; words begin with neither
+KINDS = {"4": 1, "5": 2}
 #: different tokens that a task remembers
 REMEMBERED = 100_000
 
@@ -187,7 +189,8 @@ def featurizer(lexicon: dict[str, tuple[int, int]], n_toxic: int, n_other: int)
         label: dict(zip(lexicon, weight(np.maximum(table[:, 0] - label, 0), np.maximum(table[:, 1] - 1 + label, 0), n_toxic - label, n_other - 1 + label).tolist()))
         for label in (0, 1)
     } if lexicon else {0: {}, 1: {}}
-
+    # a term with its weight and the place of its kind: word, four or five first letters
+    kept = {x: (x, w, KINDS.get(x[0], 0)) for x, w in plain.items()}
 
     def seen(raw: str) -> tuple:
         # most tokens are a plain word, perhaps with one mark after it, and need no closer look
@@ -195,24 +198,24 @@ def featurizer(lexicon: dict[str, tuple[int, int]], n_toxic: int, n_other: int)
         low = body.lower()
         if not (body.isalpha() and (not signs or raw[-1] in ".,;:")) or len(low) == 1 or low in INSULTS or low in SECOND_PERSON or DRAWN.search(low):
             token = Token(raw)
-            return len(token.words), token.capitals, token.signs, token if token.special() else None, [x for x in token.terms() if x in plain]
+            return len(token.words), token.capitals, token.signs, token if token.special() else None, [kept[x] for x in token.terms() if x in kept]
         capitals = 0 if low == body else 1 if body[1:] == low[1:] else sum(map(str.isupper, body))
         if capitals > 1 and body.isupper():
             token = Token(raw)
-            return 1, token.capitals, token.signs, token, [x for x in token.terms() if x in plain]
-        known = [low] if low in plain else []
+            return 1, token.capitals, token.signs, token, [kept[x] for x in token.terms() if x in kept]
+        known = [kept[low]] if low in kept else []
         if len(low) > 4:
-            known += [x for x in ("4" + low[:4], "5" + low[:5] if len(low) > 5 else "") if x in plain]
+            known += [kept[x] for x in ("4" + low[:4], "5" + low[:5] if len(low) > 5 else "") if x in kept]
         return 1, capitals, signs, None, known
 
     tokens = Remembered(seen)
 
     def features(text: str, label: int | None = None) -> list[float]:
-        lean = plain if label is None else without[label]
+        lean = None if label is None else without[label]
         order = text.split()
         counts = Counter(order)
         words = capitals = signs = 0
-        special, found, hits = [], [], set()
+        special, found, hits = [], ([], [], []), set()
         for raw, k in counts.items():
             size, upper, other, token, known = tokens[raw]
             words += size * k
@@ -222,20 +225,23 @@ def featurizer(lexicon: dict[str, tuple[int, int]], n_toxic: int, n_other: int)
                 special.append((token, k))
                 if token.fixed:
                     hits.add(raw)
-            for x in known:
-                found.append((lean[x], x[0], k))
-                if lean[x] > 1:
+            for x, w, kind in known:
+                if lean is not None:
+                    w = lean[x]
+                found[kind].append((w, k))
+                if w > 1:
                     hits.add(raw)
         hidden = [w for t, k in special if t.hidden for w in t.hidden * k]
         if may_be_spaced((t.single, t.inner, k) for t, k in special):
             apart = spaced(text)
             hidden += apart
-            found += [(lean[x], x[0], 1) for w in apart for x in terms_of(w) if x in lean]
+            for x, w, kind in (kept[x] for word in apart for x in terms_of(word) if x in kept):
+                found[kind].append((w if lean is None else lean[x], 1))
         n, chars = max(1, words + len(hidden)), max(1, len(text))
         fixed = sum(t.fixed * k for t, k in special)
         out = [float(np.log1p(words)), fixed / n, min(fixed, 5.0)]
-        for mark in ("", "4", "5"):
-            scores = sorted(((x, k) for x, m, k in found if (m == mark if mark else m not in "45")), reverse=True)
+        for scores in found:
+            scores.sort(reverse=True)
             top = [x for x, k in scores[:3] for _ in range(min(k, 3))][:3]
             out += [top[0] if top else 0.0, sum(top) / 3, float(min(sum(k for x, k in scores if x > 1), 20)), sum(x * k for x, k in scores if x > 0) / n]
         close = met = 0
@@ -270,8 +276,8 @@ class Classifier:
             labels.where("doc_id is not null and toxic is not null").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
             .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
         )
-        # at most ``sample`` rows of two numbers
-        train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        # at most ``sample`` rows of two numbers; the labelled texts are read once
+        train = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
         counts = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         self.n_toxic, self.n_other = counts.get(1, 0), counts.get(0, 0)
         self.lexicon: dict[str, tuple[int, int]] = {}
