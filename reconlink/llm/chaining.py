@@ -397,7 +397,7 @@ def passages_of(own: np.ndarray, chain: list[dict]) -> list[tuple]:
     Chains of runs add what the others leave over: those within passages found so far are no news.
     """
     out, spans = [], None
-    for c in sorted(chain, key=lambda c: (c["exact"], -sum(c["n"]))):
+    for c in sorted(chain, key=lambda c: (c["exact"], -sum(c["n"]), c["a"], c["first_id"], c["b"])):
         if c["exact"]:
             spans = joined_spans(out) if spans is None else spans
             if any(x <= c["a"][0] and c["a"][0] + c["n"][0] <= y for x, y in spans):
@@ -419,7 +419,8 @@ def chains_of(plain: DataFrame) -> DataFrame:
     found = seeds(plain)
     links = matches(found).repartition("doc_id")
     stars = gathered(chained(links).withColumn("exact", F.lit(False)), plain)
-    open_runs = runs(plain, found, open_seeds(plain, links, stars))
+    # dealt once, so that the texts are not read for the first holders and again for the links
+    open_runs = runs(plain, found, open_seeds(plain, links, stars)).repartition("doc_id")
     whole = gathered(run_chains(matches(open_runs)), plain)
     both = stars.join(whole.withColumnRenamed("chains", "more"), "doc_id", "full")
     return both.select("doc_id", F.flatten(F.array_compact(F.array("chains", "more"))).alias("chains"))
