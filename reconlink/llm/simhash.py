@@ -185,5 +185,6 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
     found = simhash_components(df, doc_id, text, radius)
     keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text), F.xxhash64(*df.columns))
-    named = df.join(keepers, doc_id, "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*df.columns)
+    number = "_row" + "_" * max(map(len, df.columns))
+    named = df.join(keepers, doc_id, "left_semi").withColumn(number, F.row_number().over(order)).where(f"{number} = 1").select(*df.columns)
     return named.unionByName(df.where(F.col(doc_id).isNull()))

@@ -84,3 +84,12 @@ def test_stages_take_odd_rows(spark, stage):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (None, "some words", "en", "s", 10), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "x " * 40_000, "en", "s", 80_000)]
     assert stage(spark, spark.createDataFrame(rows, schema), FOLDER).count() >= 1
+
+
+def test_columns_that_clash_stay(spark):
+    schema = "doc_id long, text string, _row long, _chains string, first_id long, words string, n_chars long"
+    text = " ".join(f"word{i}" for i in range(120))
+    rows = [(1, text, 7, "a", 5, "w", 9), (1, text, 7, "a", 5, "w", 9), (2, "other " * 60, 8, "b", 6, None, 3)]
+    df = spark.createDataFrame(rows, schema)
+    assert sorted(map(tuple, S.keep_one(df).collect())) == [rows[0], rows[2]]
+    assert sorted(map(tuple, C.cut_passages(df).select(*df.columns).collect())) == rows
