@@ -102,21 +102,26 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(prints: np.ndarray, mask: int, radius: int) -> list[tuple[int, int]]:
-    """Links within one bucket, whose members agree on ``mask``."""
+def bucket_links(prints: np.ndarray, mask: int, radius: int, reach: int | None = None) -> list[tuple[int, int]]:
+    """Links of up to ``reach`` bits (by default the radius) within one bucket, whose members agree on ``mask``."""
+    reach = radius if reach is None else reach
     if len(prints) <= SPLIT:
-        return forest(prints, radius)
+        return forest(prints, reach)
     links = []
     for sub in covering_masks(radius, [b for b in range(64) if not mask >> b & 1]):
         keys = prints & np.uint64(sub)
         order = np.argsort(keys, kind="stable")
         for run in np.split(prints[order], np.flatnonzero(np.diff(keys[order])) + 1):
-            links += forest(run, radius)
+            links += forest(run, reach)
     return links
 
 
-def links(prints: DataFrame, column: str = "fingerprint", radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within the radius of each other; ``prints`` are distinct."""
+def links(prints: DataFrame, column: str = "fingerprint", radius: int = RADIUS, reach: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within the radius of each other; ``prints`` are distinct.
+
+    With a ``reach`` beyond the radius, what the tables bring together at up to so many bits is linked too.
+    """
+    reach = radius if reach is None else reach
     masks = covering_masks(radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = prints.select(F.col(column).alias("p"), F.posexplode(F.array(*[F.col(column).bitwiseAND(F.lit(m)) for m in signed])).alias("t", "k"))
@@ -135,11 +140,11 @@ def links(prints: DataFrame, column: str = "fingerprint", radius: int = RADIUS)
             for apart in range(1, SMALL):
                 here = np.flatnonzero((size_of[:-apart] <= SMALL) & (bucket[apart:] == bucket[:-apart])) if len(p) > apart else []
                 if len(here):
-                    hit = here[near(p[here], p[here + apart], radius)]
+                    hit = here[near(p[here], p[here + apart], reach)]
                     a.append(p[hit])
                     b.append(p[hit + apart])
             for i in np.flatnonzero(sizes > SMALL):
-                found = bucket_links(p[starts[i] : starts[i] + sizes[i]], masks[t[starts[i]]], radius)
+                found = bucket_links(p[starts[i] : starts[i] + sizes[i]], masks[t[starts[i]]], radius, reach)
                 if found:
                     x, y = np.array(found, dtype=np.uint64).T
                     a.append(x)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from reconlink.llm import bpe, chaining as C, decontam as D, simhash as S, toxicity as T
+from reconlink.llm import bpe, chaining as C, decontam as D, neardup as N, simhash as S, toxicity as T
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -44,7 +44,7 @@ def test_pipeline_by_loops(spark):
     docs, labels = read("documents"), read("labels")
     rejected = {r["doc_id"] for r in T.scores(docs, labels).collect() if r["predicted"]}
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] not in rejected)
-    prints = [int(S.majority(np.array(h, dtype=np.uint64), np.array([len(h)]))[0]) if (h := S.shingle_hashes(t or "")) else 0 for _, t in rows]
+    own = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := N.words_of(t or "")) else set() for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -54,7 +54,7 @@ def test_pipeline_by_loops(spark):
 
     for i in range(len(rows)):
         for j in range(i):
-            if bin(prints[i] ^ prints[j]).count("1") <= 4:
+            if own[i] == own[j] or 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     rows = [r for i, r in enumerate(rows) if find(i) == i]
@@ -91,5 +91,6 @@ def test_columns_that_clash_stay(spark):
     text = " ".join(f"word{i}" for i in range(120))
     rows = [(1, text, 7, "a", 5, "w", 9), (1, text, 7, "a", 5, "w", 9), (2, "other " * 60, 8, "b", 6, None, 3)]
     df = spark.createDataFrame(rows, schema)
-    assert sorted(map(tuple, S.keep_one(df).collect())) == [rows[0], rows[2]]
+    for module in (S, N):
+        assert sorted(map(tuple, module.keep_one(df).collect())) == [rows[0], rows[2]]
     assert sorted(map(tuple, C.cut_passages(df).select(*df.columns).collect())) == rows
