@@ -43,28 +43,30 @@ DEPTH, NEAR = 6, 3
 FREQUENT, SHORT = 150_000, 64
 #: words that make states, and states (0: none of those words yet)
 COMMON, STATES = 256, 16
-#: a word is a candidate for a common one if it is so much of some task's tokens
+#: a word may be a common one if it is so much of all tokens
 SHARE = 1 / 5000
-#: distinct words that a task counts before it hands them on
-HELD = 400_000
-#: words and (context, byte) pairs that are worked on together
-WORDS, PAIRS = 50_000, 200_000
+#: distinct words, and bytes of texts, that a task counts before it hands them on
+HELD, HELD_BYTES = 200_000, 1 << 25
+#: words, their bytes, and (context, byte) pairs that are worked on together; a byte takes about 200 bytes of arrays, a pair 3,500
+WORDS, WORD_BYTES, PAIRS = 50_000, 1 << 19, 50_000
 END = b"\n"
 SPACE = 0x20
+SPACED = b" "
 
 
 def common_words(docs: DataFrame) -> list[bytes]:
-    """The most common words of the training texts.
+    """The most common words of the training texts, of those that are ``SHARE`` of all tokens; by exact counts, so the layout of the table has no part in it.
 
-    A word that is ``SHARE`` of all tokens is so of some task's, so every such word is found; a task hands
-    on at most 1 / SHARE words.
+    A task hands on words that are half of ``SHARE`` of its tokens. The rest of a word of ``SHARE`` is less than half of
+    it, so the sum of what is handed on names every such word, and at most 2 / SHARE words in all, which are then counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = Counter(), 0
+        counts, seen, used = Counter(), 0, 0
 
         def out() -> pa.RecordBatch:
-            some = [(w, n) for w, n in counts.items() if n >= SHARE * seen and len(w) <= SHORT]
+            # a space is no word: it carries the number of tokens
+            some = [(SPACED, seen), *((w, n) for w, n in counts.items() if 2 * n >= SHARE * seen and len(w) <= SHORT)]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], names=["word", "n"])
 
         for batch in batches:
@@ -72,13 +74,29 @@ def common_words(docs: DataFrame) -> list[bytes]:
                 words = words_of(text or "")
                 counts.update(words)
                 seen += len(words)
-                if len(counts) > HELD:
+                used += len(text or "")
+                if len(counts) > HELD or used > HELD_BYTES:
                     yield out()
-                    counts, seen = Counter(), 0
+                    counts, seen, used = Counter(), 0, 0
         yield out()
 
-    found = docs.where("trains").select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in found.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+    texts = docs.where("trains").select("text")
+    part = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).cache()
+    total = part.where(F.col("word") == F.lit(SPACED)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    likely = {bytes(r["word"]) for r in part.where((F.col("n") >= SHARE / 2 * total) & (F.col("word") != F.lit(SPACED))).select("word").collect()}
+    part.unpersist()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = Counter(words_of(text or ""))
+                for w in own.keys() & likely:
+                    counts[w] += own[w]
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    exact = texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARE * total)
+    return [bytes(r["word"]) for r in exact.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
 
 
 def word_states(docs: DataFrame) -> dict[bytes, int]:
@@ -134,6 +152,7 @@ def word_counts(docs: DataFrame, states: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+        used = 0
 
         def out() -> pa.RecordBatch:
             trained, other = counts[1], [w for w in counts[0] if w not in counts[1]]
@@ -145,8 +164,10 @@ def word_counts(docs: DataFrame, states: dict[bytes, int]) -> DataFrame:
         for batch in batches:
             for trains, text in zip(batch.column("trains").to_pylist(), batch.column("text").to_pylist()):
                 counts[bool(trains)].update(after_states(words_of(text or ""), signs))
-                if len(counts[0]) + len(counts[1]) > HELD:
+                used += len(text or "")
+                if len(counts[0]) + len(counts[1]) > HELD or used > HELD_BYTES:
                     yield out()
+                    used = 0
         yield out()
 
     return docs.select("trains", "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -184,11 +205,15 @@ def pair_counts(words: DataFrame, depth: int) -> DataFrame:
             weights.clear()
             return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
+        size = 0
         for batch in batches:
-            held += batch.column("word").to_pylist()
-            weights += batch.column("n").to_pylist()
-            if len(held) >= 4 * WORDS:
-                yield out()
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                held.append(word)
+                weights.append(n)
+                size += len(word)
+                if size >= 2 * WORD_BYTES:
+                    yield out()
+                    size = 0
         if held:
             yield out()
 
@@ -368,9 +393,10 @@ def pair_scores(pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def word_scores(words: DataFrame, pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """word (with its state), n, n_word (of all states), first (one row of each word), logp: buckets of words meet the predictions that spell them."""
-    many = max(1, -(-words.count() // WORDS))
-    # words that begin alike share most of their contexts, so they lie in one bucket
-    bucket = F.pmod(F.xxhash64(F.expr("substring(word, 2, 5)")), F.lit(many)).cast("int")
+    kinds, size = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    many = max(1, -(-kinds // WORDS), -(-size // WORD_BYTES))
+    # words that begin alike share most of their contexts, so they lie in one bucket; long ones by their first half
+    bucket = F.pmod(F.xxhash64(F.expr("substring(word, 2, greatest(5, length(word) div 2))")), F.lit(many)).cast("int")
     dealt = words.select("word", "n", bucket.alias("bucket")).repartition("bucket")
 
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

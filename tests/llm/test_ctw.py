@@ -108,3 +108,9 @@ def test_without_training_text(spark):
     rows = ctw.scores(spark.createDataFrame([(i, "ab", "e") for i in ids], SCHEMA)).collect()
     assert all(r["held_out"] and r["train_tokens"] == 0 and math.isclose(r["score"], -4 * 8 * math.log10(2)) for r in rows)
     assert ctw.scores(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_the_layout_has_no_part_in_scores(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id is not null")
+    one, many = ({r["doc_id"]: r["score"] for r in ctw.scores(df.repartition(k, "doc_id")).collect()} for k in (1, 16))
+    assert one.keys() == many.keys() and all(math.isclose(one[i], many[i], rel_tol=1e-9) for i in one)
