@@ -185,6 +185,22 @@ def test_match_units(spark):
     assert texts[0][1][span["start"] : span["end"]] == 'КПП-2 "Ухтомское'
 
 
+def test_near_vectors_are_reduced_before_a_join(spark):
+    """Spark takes the pairs a Python stage gives for as few as its input and would replicate them all, so an aggregate comes before any join."""
+    mentions = spark.createDataFrame([(f"m{i}", "очаково " * 5, None) for i in range(3)], "mention_id string, text string, org_id string")
+    encoder = lambda c: F.array(F.length(c).cast("double"), F.lit(1.0))
+    found = D.match_units(mentions, unit_table(spark), encoder=encoder)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    indent = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(lines) if "MapInPandas" in line)
+    above, depth = [], indent(lines[at])
+    for line in reversed(lines[:at]):
+        if indent(line) < depth:
+            above, depth = [*above, line], indent(line)
+    first = next(line for line in above if "Join" in line or "Aggregate" in line)
+    assert "Aggregate" in first
+
+
 def test_contained_names_against_loop(spark):
     rnd = random.Random(3)
     texts = [(i, "".join(rnd.choice("аб ") for _ in range(60))) for i in range(40)]
