@@ -250,6 +250,9 @@ def newest_in_window(
         found = found.withColumn("rank_in_window", F.row_number().over(newest)).filter(F.col("rank_in_window") <= limit)
     else:
         line = time_line(left, right, left_ts=left_ts, right_ts=right_ts, tie=tie, windows={"w": (before, after, limit)}, keys=keys, parts=parts)
-        wanted = line.ranges.select(*keys, "_lt", "newer", F.array(F.struct("newer", "to")).alias("_r"))
-        found = line.fetch(wanted).select(*keys, "_lt", "_row.*", (F.col("_pos") - F.col("newer")).cast("int").alias("rank_in_window"))
+        # the left rows meet their range before its rows are fetched: what is fetched, up to ``limit`` a row, is shuffled no more
+        own = left.withColumn("_lt", _micros(left_ts)).join(line.ranges.select(*keys, "_lt", "newer", "to"), [*keys, "_lt"])
+        found = line.fetch(own.withColumn("_r", F.array(F.struct("newer", "to")))).select(
+            *left.columns, F.col("_row").dropFields("_rt").alias("_row"), (F.col("_pos") - F.col("newer")).cast("int").alias("rank_in_window"))
+        return found.select(*keys, *[c for c in left.columns if c not in keys], "_row.*", "rank_in_window")
     return left.withColumn("_lt", _micros(left_ts)).join(found.drop("_rt"), [*keys, "_lt"]).drop("_lt")
