@@ -459,3 +459,59 @@ def test_decisions_without_limits(spark):
             assert {r["mention_id"]: (r["event_id"], r["method"]) for r in full.decisions.collect()} == want
         counts = lambda r: sorted(map(tuple, L.stage_counts(r.stages).collect()))
         assert counts(fast) == counts(full)
+
+
+def test_ladder_makes_no_pairs_that_cannot_decide(spark, monkeypatch):
+    """120 mentions and 120 events at one hour: what is kept stays far below their 14,400 pairs, and the results are those of all pairs."""
+    rnd = random.Random(5)
+    base = dt.datetime(2024, 3, 1)
+    at = lambda: base + dt.timedelta(seconds=rnd.randint(0, 1500)) + dt.timedelta(days=rnd.choice([0, 0, 0, 0, 9]))
+    m = spark.createDataFrame([(i, at(), rnd.choice([*range(40), None]), rnd.random() < 0.5, rnd.choice([*range(60), None])) for i in range(120)],
+                              "mention_id int, ts timestamp, unit_id int, high_conf boolean, k int")
+    e = spark.createDataFrame([(i, at(), rnd.choice([*range(40), None]), rnd.choice([*range(60), None])) for i in range(120)],
+                              "event_id int, event_ts timestamp, unit_id int, k int")
+    shared, kept, cut = L.SharedKey(m, e, "k"), [], scale.cut
+    people = m.select("mention_id", F.lit(1).alias("seq"), F.col("k").cast("string").alias("surname"), F.lit("none").alias("mode"),
+                      F.lit(None).cast("date").alias("birth"), F.lit(None).cast("int").alias("birth_year"))
+    known = e.select("event_id", F.col("k").cast("string").alias("surname"), F.lit(None).cast("date").alias("birth"))
+    persons = lambda open_: L.by_persons(open_, people, known, e)
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=repr)
+
+    def counted(df):
+        df = cut(df)
+        kept.append(df.count())
+        return df
+
+    monkeypatch.setattr(scale, "cut", counted)
+    found = [L.resolve(m, e, shared, persons), L.climb(m, e, shared, persons)]
+    assert max(kept) < 2500
+    monkeypatch.setattr(scale, "cut", cut)
+    for narrow, wide in zip(found, [f(m, e, lambda pairs: shared(pairs), persons) for f in (L.resolve, L.climb)]):
+        assert rows(narrow.decisions) == rows(wide.decisions)
+        assert rows(L.stage_counts(narrow.stages)) == rows(L.stage_counts(wide.stages))
+        assert rows(narrow.candidates) == rows(wide.candidates)
+
+
+def test_path_counts_equal_the_rows(spark):
+    rnd = random.Random(6)
+    pick = lambda n: rnd.choice([*range(n), None])
+    m = spark.createDataFrame([(i, pick(3), rnd.random() < 0.5) for i in range(60)], "mention_id int, unit_id int, high_conf boolean")
+    people = spark.createDataFrame([(rnd.randint(0, 59), i % 3, rnd.choice(["a", "b", "c", "", None]), "none", None, None) for i in range(90)],
+                                   "mention_id int, seq int, surname string, mode string, birth date, birth_year int").dropDuplicates(["mention_id", "seq"])
+    registry = spark.createDataFrame([(rnd.randint(0, 40), rnd.choice(["a", "b", "d"]), None) for _ in range(60)], "event_id int, surname string, birth date")
+    events = spark.createDataFrame([(i, dt.datetime(2024, 1, 1), pick(3)) for i in range(40)], "event_id int, event_ts timestamp, unit_id int")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    counted = L.path_counts(m, people, registry, events)
+    single = L.by_persons(m, people, registry, events)
+    assert rows(L.path_summary(counted)) == rows(L.path_summary(single))
+    assert rows(counted) == rows(single.groupBy("mention_id", "seq", "path").count())
+
+
+def test_fetched_rows_are_shuffled_no_more(spark):
+    """The left rows meet their range first, so the join by blocks is the last one."""
+    l = spark.createDataFrame([(1, 50)], "m int, lt long").withColumn("lt", F.timestamp_seconds("lt"))
+    r = spark.createDataFrame([(i, i) for i in range(100)], "e int, rt long").withColumn("rt", F.timestamp_seconds("rt"))
+    got = scale.newest_in_window(l, r, left_ts="lt", right_ts="rt", tie="e", before=50, after=50, limit=3, bucket_limit=0)
+    last = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line)
+    assert "_b#" in last and got.columns == ["m", "lt", "e", "rt", "rank_in_window"]
+    assert [tuple(x) for x in got.select("m", "e", "rank_in_window").orderBy("rank_in_window").collect()] == [(1, 99, 1), (1, 98, 2), (1, 97, 3)]
