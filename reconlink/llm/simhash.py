@@ -10,7 +10,7 @@ orthogonal to, so every pair within the radius agrees in at least one of the
 Only distinct fingerprints enter the tables. A bucket gives a spanning forest of its links
 (at most size - 1 rows), never all pairs: a search takes one fingerprint, links all that
 are near and not yet reached, and goes on from those. A bucket of over ``SPLIT`` fingerprints is
-first split by the same masks over the bits that its table did not test.
+first split by the same masks over the bits that its table did not test, unless links beyond the radius are asked for.
 
 Cases: null and empty texts have fingerprint zero and link like any other; fewer
 words than a shingle give one shingle of them all; rows without doc_id get a
@@ -103,9 +103,12 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def bucket_links(prints: np.ndarray, mask: int, radius: int, reach: int | None = None) -> list[tuple[int, int]]:
-    """Links of up to ``reach`` bits (by default the radius) within one bucket, whose members agree on ``mask``."""
+    """Links of up to ``reach`` bits (by default the radius) within one bucket, whose members agree on ``mask``.
+
+    The masks that split a large bucket are sure of the radius only, so with a reach beyond it the bucket is searched whole.
+    """
     reach = radius if reach is None else reach
-    if len(prints) <= SPLIT:
+    if len(prints) <= SPLIT or reach > radius:
         return forest(prints, reach)
     links = []
     for sub in covering_masks(radius, [b for b in range(64) if not mask >> b & 1]):

@@ -92,6 +92,23 @@ def test_large_buckets_keep_every_link(monkeypatch):
             assert bin(a ^ b).count("1") > 4 or find(a) == find(b)
 
 
+def test_large_buckets_keep_links_beyond_the_radius(monkeypatch):
+    """Whatever a small bucket links at up to ``reach`` bits, a large one links too."""
+    rnd = random.Random(10)
+    mask = S.covering_masks(5)[7]
+    free = [b for b in range(64) if not mask >> b & 1]
+    prints = {0}
+    while len(prints) < 120:
+        p = rnd.choice(sorted(prints))
+        for b in rnd.sample(free, 9):
+            p ^= 1 << b
+        prints.add(p)
+    own = np.array(sorted(prints), dtype=np.uint64)
+    whole = S.bucket_links(own, mask, 5, 9)
+    monkeypatch.setattr(S, "SPLIT", 20)
+    assert S.bucket_links(own, mask, 5, 9) == whole and len(whole) == len(own) - 1
+
+
 def test_passages(spark):
     rnd = random.Random(10)
     passage = words(rnd, 70)
