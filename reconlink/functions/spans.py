@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from reconlink.functions.text import let, text
@@ -10,43 +12,51 @@ _OPEN, _CLOSE = "\u0001", "\u0002"
 SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
 
 
-# An append copies its array, so a fold fills short arrays and keeps the full ones aside.
-_CHUNK = 64
+# A fold copies its state at every step, so states are numbers or the short lists of one block.
+_BLOCK = 64
+_STRIDE = 16
+
 
+def _blocks(items: Column, size: int = _BLOCK) -> Column:
+    heads = F.filter(items, lambda _, i: i % size == 0)
+    return F.transform(heads, lambda _, b: F.slice(items, b * size + 1, F.lit(size)))
 
-def _empty_list(empty: Column) -> Column:
-    return F.struct(F.slice(F.array(empty), 1, 0).alias("full"), empty.alias("last"))
 
+def _running(values: Column, op: Callable[[Column, Column], Column], zero: Column, levels: int = 2) -> Column:
+    """``op`` over each value and all before it: over what the blocks before hold, then over the own block."""
 
-def _pushed(made: Column, item: Column) -> Column:
-    whole = F.size(made["last"]) >= _CHUNK
-    return F.struct(
-        F.when(whole, F.array_append(made["full"], made["last"])).otherwise(made["full"]).alias("full"),
-        F.when(whole, F.array(item)).otherwise(F.array_append(made["last"], item)).alias("last"))
+    def total(items: Column, start: Column) -> Column:
+        return F.aggregate(items, start, op)
 
+    def scanned(every: Column) -> Column:
+        if levels == 0:
+            return F.transform(every, lambda _, i: total(F.slice(every, F.lit(1), i + 1), zero))
+        ahead = _running(F.transform(_blocks(every, _STRIDE), lambda b: total(b, zero)), op, zero, levels - 1)
+        return let(ahead, lambda done: F.transform(every, lambda _, i: total(
+            F.slice(every, i - i % _STRIDE + 1, i % _STRIDE + 1),
+            F.coalesce(F.get(done, F.floor(i / _STRIDE).cast("int") - 1), zero))))
 
-def _listed(made: Column) -> Column:
-    return F.concat(F.flatten(made["full"]), made["last"])
+    return let(values, scanned)
 
 
 def all_spans(value, pattern: str) -> Column:
     """array<struct<start,end,text>> of every match, left to right.
 
-    Matches are fenced by control characters, the text is split at the fences,
-    and a fold adds up the part lengths; odd parts are the matches.
+    Matches are fenced by control characters and the text is split at the fences:
+    odd parts are the matches, and running totals of the part lengths place them.
     """
     plain = F.translate(F.coalesce(text(value), F.lit("")), _OPEN + _CLOSE, "  ")
     parts = F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
-    empty = F.array().cast(SPAN_TYPE)
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), _empty_list(empty).alias("found"))
 
-    def step(state: Column, part: Column) -> Column:
-        end = state["pos"] + F.length(part)
-        hit = F.struct(state["pos"].alias("start"), end.alias("end"), part.alias("text"))
-        grown = F.when(state["inside"], _pushed(state["found"], hit)).otherwise(state["found"])
-        return F.struct(end.alias("pos"), (~state["inside"]).alias("inside"), grown.alias("found"))
+    def placed(p: Column) -> Column:
+        sizes = F.transform(p["hits"], lambda hit, i: F.length(F.get(p["gaps"], i)) + F.length(hit))
+        ends = _running(sizes, lambda total, size: total + size, F.lit(0))
+        return let(ends, lambda end: F.transform(p["hits"], lambda hit, i: F.struct(
+            (F.get(end, i) - F.length(hit)).alias("start"), F.get(end, i).alias("end"), hit.alias("text"))))
 
-    return F.aggregate(parts, start, step, lambda state: _listed(state["found"]))
+    sides = let(parts, lambda every: F.struct(
+        F.filter(every, lambda _, i: i % 2 == 0).alias("gaps"), F.filter(every, lambda _, i: i % 2 == 1).alias("hits")))
+    return let(sides, placed)
 
 
 def first_span(value, pattern: str, group: int = 0) -> Column:
@@ -68,34 +78,79 @@ def greedy_spans(spans) -> Column:
     """Non-overlapping picks: earliest start first, longer first, skip what starts inside the last pick."""
 
     def ordered(items: Column) -> Column:
-        return F.array_sort(F.transform(
+        return F.sort_array(F.transform(
             items, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s.alias("span"))))
 
     def step(state: Column, item: Column) -> Column:
         taken = item["start"] >= state["end"]
         return F.struct(
-            F.when(taken, item["span"]["end"]).otherwise(state["end"]).alias("end"),
-            F.when(taken, _pushed(state["kept"], item["span"])).otherwise(state["kept"]).alias("kept"))
+            F.when(taken, item["end"]).otherwise(state["end"]).alias("end"),
+            F.when(taken, F.array_append(state["kept"], item["at"])).otherwise(state["kept"]).alias("kept"))
+
+    def state(end: Column, kept: Column) -> Column:
+        return F.struct(end.alias("end"), kept.alias("kept"))
 
     def pick(items: Column) -> Column:
-        start = F.struct(F.lit(0).alias("end"), _empty_list(F.slice(items, 1, 0)).alias("kept"))
-        return F.aggregate(ordered(items), start, step, lambda state: _listed(state["kept"]))
+        borders = F.transform(items, lambda x, i: F.struct(x["start"].alias("start"), x["span"]["end"].alias("end"), i.alias("at")))
+        none = F.array().cast("array<int>")
+        kept = F.aggregate(
+            let(borders, lambda every: _blocks(every)), state(F.lit(0), F.array().cast("array<array<int>>")),
+            lambda so_far, block: let(
+                F.aggregate(block, state(so_far["end"], none), step),
+                lambda got: state(got["end"], F.array_append(so_far["kept"], got["kept"]))),
+            lambda s: F.flatten(s["kept"]))
+        return F.transform(kept, lambda i: F.get(items, i)["span"])
+
+    return let(ordered(text(spans)), pick)
+
+
+def _heaps(items: Column) -> Column:
+    """Spans in order of their start parted where none reaches over: only spans of one part can overlap."""
+    ends = F.transform(items, lambda x: x["end"].cast("long"))
+    reach = _running(ends, lambda a, b: F.greatest(a, b), F.lit(None).cast("long"))
+
+    def parted(first: Column) -> Column:
+        return F.transform(first, lambda at, j: F.slice(items, at + 1, F.coalesce(F.get(first, j + 1), F.size(items)) - at))
 
-    return let(text(spans), pick)
+    def heads(reach: Column) -> Column:
+        return F.filter(F.transform(items, lambda x, i: F.when(
+            F.coalesce(x["start"] < F.get(reach, i - 1), F.lit(False)), -1).otherwise(i)), lambda i: i >= 0)
+
+    return let(let(reach, heads), parted)
 
 
 def merge_longer(primary, secondary) -> Column:
-    """Add ``secondary`` spans to ``primary``: on overlap the longer one stays, a tie keeps the earlier."""
+    """Add ``secondary`` spans to ``primary``: on overlap the longer one stays, a tie keeps the earlier.
+
+    Spans that no chain of overlaps connects do not meet, so each connected heap is merged by itself.
+    Only borders are moved about: ``slot`` is the place in the result, that of a primary span or behind
+    them all in the secondary order, and ``pick`` the span that has it.
+    """
 
-    def step(kept: Column, span: Column) -> Column:
+    def row(span: Column, slot: Column, pick: Column) -> Column:
+        return F.struct(slot.alias("slot"), span["start"].alias("start"), span["end"].alias("end"), pick.alias("pick"))
+
+    def step(kept: Column, item: Column) -> Column:
         def place(at: Column) -> Column:
-            longer = span_length(span) > span_length(F.try_element_at(kept, F.nullif(at, F.lit(0))))
-            swapped = F.transform(kept, lambda k, i: F.when(i == at - 1, span).otherwise(k))
-            return F.when(at == 0, F.array_append(kept, span)).when(longer, swapped).otherwise(kept)
+            longer = span_length(item) > span_length(F.try_element_at(kept, F.nullif(at, F.lit(0))))
+            swapped = F.transform(kept, lambda k, i: F.when(i == at - 1, row(item, k["slot"], item["pick"])).otherwise(k))
+            return F.when(at == 0, F.array_append(kept, item)).when(longer, swapped).otherwise(kept)
+
+        return let(F.array_position(F.transform(kept, lambda k: overlaps(k, item)), True).cast("int"), place)
+
+    def merged(heap: Column, first: Column) -> Column:
+        folded = let(F.sort_array(heap), lambda r: F.aggregate(
+            F.filter(r, lambda x: x["slot"] >= first), F.filter(r, lambda x: x["slot"] < first), step))
+        return F.when(F.size(heap) > 1, folded).otherwise(heap)
 
-        return let(F.array_position(F.transform(kept, lambda k: overlaps(k, span)), True).cast("int"), place)
+    def whole(both: Column) -> Column:
+        rows = F.transform(both["spans"], lambda s, i: F.struct(s["start"].alias("start"), row(s, i, i).alias("row")))
+        heaps = let(F.transform(F.sort_array(rows), lambda x: x["row"]), _heaps)
+        kept = F.flatten(F.transform(heaps, lambda heap: merged(heap, both["first"])))
+        return F.transform(F.sort_array(kept), lambda x: F.get(both["spans"], x["pick"]))
 
-    return F.aggregate(text(secondary), text(primary), step)
+    pair = F.struct(text(primary).alias("a"), text(secondary).alias("b"))
+    return let(let(pair, lambda p: F.struct(F.concat(p["a"], p["b"]).alias("spans"), F.size(p["a"]).alias("first"))), whole)
 
 
 def drop_overlapping(weak, strong) -> Column:

@@ -174,3 +174,38 @@ def test_span_folds_against_loops(spark):
     for i, a, b in rows:
         assert [tuple(x) for x in got[i]["m"]] == merged(a, b)
         assert [tuple(x) for x in got[i]["g"]] == greedy(a)
+
+
+def test_long_lists_of_spans_are_merged_and_picked_in_step_with_their_length(spark):
+    import random
+    import time
+
+    def merged(first, second):
+        kept = list(first)
+        for s in second:
+            at = next((i for i, k in enumerate(kept) if None not in (*s, *k) and k[0] < s[1] and s[0] < k[1]), None)
+            if at is None:
+                kept.append(s)
+            elif s[1] - s[0] > kept[at][1] - kept[at][0]:
+                kept[at] = s
+        return kept
+
+    # chains of overlaps, spans without length, spans without borders, lists longer than two levels of blocks
+    rnd = random.Random(5)
+    span = lambda wide: (lambda a: (a, a + rnd.randint(0, 6)) if rnd.random() < 0.97 else (a, None))(rnd.randint(0, wide))
+    rows = [(i, [span(w) for _ in range(n)], [span(w) for _ in range(n)]) for i, (n, w) in enumerate([(0, 9), (1, 1), (150, 90), (700, 9000)])]
+    kind = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame([*rows, (9, None, [(1, 2)])], f"i int, a {kind}, b {kind}")
+    got = {r["i"]: r["m"] for r in df.select("i", S.merge_longer("a", "b").alias("m")).collect()}
+    assert got[9] is None
+    for i, a, b in rows:
+        assert [tuple(x) for x in got[i]] == merged(a, b)
+
+    words = " ".join(["ab", "abcdefghij"] * 15_000)
+    begun = time.time()
+    long, two = S.all_spans("t", "[^ ]{8,}"), S.all_spans("t", "[^ ]+ [^ ]+")
+    row = spark.createDataFrame([(words,)], "t string").select(
+        S.merge_longer(long, two).alias("m"), S.greedy_spans(F.concat(long, two)).alias("g")).first()
+    pairs = [(i * 14, i * 14 + 13) for i in range(15_000)]
+    assert [(s["start"], s["end"]) for s in row["m"]] == pairs and [(s["start"], s["end"]) for s in row["g"]] == pairs
+    assert time.time() - begun < 60
