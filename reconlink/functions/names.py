@@ -339,8 +339,7 @@ def person_mentions(value, birth_window: int = 60) -> Column:
         F.filter(F.transform(all_spans(whole, WITH_INITIALS), initials), usable(True)),
         F.filter(F.transform(all_spans(whole, AFTER_TRIGGER), triggered), usable(False)),
     ]
-    merged = merge_longer(merge_longer(found[0], found[1]), found[2])
-    return best_per_name(merged)
+    return best_per_name(merge_longer(found[0], F.concat(found[1], found[2])))
 
 
 def birth_rank(person: Column) -> Column:

@@ -14,7 +14,7 @@ SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
 
 # A fold copies its state at every step, so states are numbers or the short lists of one block.
 _BLOCK = 64
-_STRIDE = 16
+_STRIDE = 32
 
 
 def _blocks(items: Column, size: int = _BLOCK) -> Column:
@@ -22,7 +22,7 @@ def _blocks(items: Column, size: int = _BLOCK) -> Column:
     return F.transform(heads, lambda _, b: F.slice(items, b * size + 1, F.lit(size)))
 
 
-def _running(values: Column, op: Callable[[Column, Column], Column], zero: Column, levels: int = 2) -> Column:
+def _running(values: Column, op: Callable[[Column, Column], Column], zero: Column, levels: int = 1) -> Column:
     """``op`` over each value and all before it: over what the blocks before hold, then over the own block."""
 
     def total(items: Column, start: Column) -> Column:
