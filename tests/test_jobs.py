@@ -515,3 +515,26 @@ def test_fetched_rows_are_shuffled_no_more(spark):
     last = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line)
     assert "_b#" in last and got.columns == ["m", "lt", "e", "rt", "rank_in_window"]
     assert [tuple(x) for x in got.select("m", "e", "rank_in_window").orderBy("rank_in_window").collect()] == [(1, 99, 1), (1, 98, 2), (1, 97, 3)]
+
+
+def test_vector_matches_hold_a_bounded_number_of_scores(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from reconlink.operators import vectors as V
+
+    rnd = np.random.default_rng(3)
+    made = rnd.normal(size=(90, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "row long, embedding array<double>")
+    other = df.withColumnRenamed("row", "entry")
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.3))}
+    for limits in ({}, {"max_rows": 30, "block_rows": 40}):
+        got = V.vector_matches(df, other, row_key="row", entry_key="entry", min_score=0.3, **limits).collect()
+        assert len(got) == len(want) and {(r["row"], r["entry"]) for r in got} == want
+
+    seen = []
+    monkeypatch.setattr(V, "TILE_CELLS", 1_000)
+    monkeypatch.setattr(V, "against", lambda left, right, prepare, apply, schema, **more: (
+        seen.extend(apply(left.toPandas(), prepare(right.toPandas()))), df)[1])
+    V.vector_matches(df, other, row_key="row", entry_key="entry", min_score=-1.0)
+    assert len(seen) > 1 and max(map(len, seen)) <= 1_000 and len(pd.concat(seen)) == 8_100
