@@ -160,12 +160,36 @@ def _piece(size: Column, i: Column, n: Column) -> tuple[Column, Column]:
     return start, F.floor((i + 1) * size / n).cast("int") - start
 
 
+def _dropped(report: Column, registry: Column, threshold: float) -> tuple[Column, Column]:
+    """Letters that the ratio lets names of these sizes leave unmatched at most, on either side."""
+    least = F.ceil((report + registry) * (threshold / 2) - 1e-9).cast("int")
+    return report - least, registry - least
+
+
+def _few(drops: tuple[Column, Column]) -> Column:
+    return (drops[0] <= 1) & (drops[1] <= 1)
+
+
+def _shortened(name: Column, size: Column, drop: Column, report: Column, registry: Column) -> Column:
+    """The name without ``drop`` (none or one) of its letters, under the sizes of both names; nothing for less than none."""
+    one = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.concat(F.left(name, i), F.substring(name, i + 2, size)))
+    sizes = F.concat_ws("-", report.cast("string"), registry.cast("string"))
+    return F.transform(
+        F.when(drop < 0, F.array().cast("array<string>")).when(drop == 0, F.array(name)).otherwise(one), lambda v: F.concat_ws("/", sizes, v))
+
+
+def _sizes(size: Column, threshold: float) -> Column:
+    """Sizes of the names that may reach the ratio with one of this size."""
+    spread = (2 - threshold) / threshold
+    return F.sequence(F.ceil(size / spread - 1e-9).cast("int"), F.floor(size * spread + 1e-9).cast("int"))
+
+
 def registry_surname_keys(surname, threshold: float) -> Column:
     """Block keys of a registry surname; any report surname that may match it shares one.
 
-    A ratio of at least ``threshold`` leaves room for a known number of edits,
-    so when a name is cut into one piece more, some piece stands whole in the
-    other name, moved by no more than the edits.
+    A ratio of at least ``threshold`` leaves room for a known number of edits. Where that is one letter
+    on either side, the names without such a letter are equal. For more, a name is cut into one piece more than
+    there are edits, so some piece stands whole in the other name, moved by no more than the edits.
     """
     g = text(surname)
     size = F.length(g)
@@ -177,16 +201,20 @@ def registry_surname_keys(surname, threshold: float) -> Column:
 
         return F.transform(F.sequence(F.lit(0), n - 1), one)
 
-    return F.concat(F.array(F.concat(F.lit("="), g), F.concat(F.lit("^"), F.left(g, F.lit(1)))), let(_pieces(size, threshold), cut))
+    def for_size(other: Column) -> Column:
+        drops = _dropped(other, size, threshold)
+        return F.when(_few(drops) & (drops[0] >= 0), _shortened(g, size, drops[1], other, size)).otherwise(F.array().cast("array<string>"))
+
+    whole = F.array(F.concat(F.lit("="), g), F.concat(F.lit("^"), F.left(g, F.lit(1))))
+    return F.concat(whole, let(_pieces(size, threshold), cut), F.flatten(F.transform(_sizes(size, threshold), for_size)))
 
 
 def report_surname_keys(surname, readings, threshold: float) -> Column:
     """Block keys of a report surname, see ``registry_surname_keys``."""
     r = text(surname)
     size = F.length(r)
-    spread = (2 - threshold) / threshold
 
-    def for_size(other: Column) -> Column:
+    def pieces(other: Column) -> Column:
         n = _pieces(other, threshold)
 
         def for_piece(i: Column) -> Column:
@@ -196,9 +224,13 @@ def report_surname_keys(surname, readings, threshold: float) -> Column:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), for_piece))
 
-    sizes = F.sequence(F.ceil(size / spread - 1e-9).cast("int"), F.floor(size * spread + 1e-9).cast("int"))
+    def for_size(other: Column) -> Column:
+        drops = _dropped(size, other, threshold)
+        return F.when(~_few(drops), pieces(other)).when(drops[1] >= 0, _shortened(r, size, drops[0], size, other)).otherwise(
+            F.array().cast("array<string>"))
+
     whole = F.transform(text(readings), lambda v: F.concat(F.lit("="), v))
-    similar = F.flatten(F.transform(sizes, for_size))
+    similar = F.flatten(F.transform(_sizes(size, threshold), for_size))
     return F.array_distinct(F.when(size == 1, F.array(F.concat(F.lit("^"), r))).otherwise(F.concat(whole, similar)))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from reconlink import scale
 from reconlink.config import DEFAULTS, Thresholds
@@ -38,6 +39,19 @@ def registry_rows(registry: DataFrame) -> DataFrame:
     return known.withColumn("record_id", F.min("person_id").over(W.partitionBy(*record)))
 
 
+def takeable(known: DataFrame) -> DataFrame:
+    """Of ``registry_rows`` those that ``assign`` can tell apart.
+
+    A match uses up the ``record_id``, so of the equal records of an event only those whose id is some record's id are ever taken; of
+    the others, which stay free, the first serves every match and the last every clash.
+    """
+    heads = known.select("event_id", F.col("record_id").alias("person_id"), F.lit(True).alias("_head")).distinct()
+    rows = known.filter("person_id IS NOT NULL").distinct().join(heads, ["event_id", "person_id"], "left").na.fill(False, ["_head"])
+    ids = W.partitionBy("event_id", "last", "first", "middle", "birth", "_head")
+    ends = rows.withColumns({"_low": F.min("person_id").over(ids), "_high": F.max("person_id").over(ids)})
+    return ends.filter("_head OR person_id IN (_low, _high)").select(*known.columns)
+
+
 def link_candidates(
     people: DataFrame, registry: DataFrame, t: Thresholds = DEFAULTS, fold: Callable[[Column], Column] = N.name_key,
 ) -> DataFrame:
@@ -45,28 +59,36 @@ def link_candidates(
 
     ``people``: mention_id, event_id, seq, place, last, first, middle, birth.
     ``registry``: event_id, person_id, record_id, last, first, middle, birth.
-    People meet only the records of the event that share a block key of the surname,
-    which loses no pair; the join drops pairs that cannot pass, and only the rest
-    reach the ratio.
+    Distinct surnames of an event meet only where they share a block key,
+    which loses no pair, and only those that cannot be told apart by length reach the ratio;
+    people and records meet by the surnames that passed.
     """
     parts = ("last", "first", "middle")
     p = _folded(people, "s", fold).filter("s_last <> ''").select(
         "mention_id", "event_id", "seq", "place", F.col("birth").alias("s_birth"), "s_last", "s_first", "s_middle",
-        *[N.variants(f"s_{part}", part).alias(f"v_{part}") for part in parts])
+        *[N.variants(f"s_{part}", part).alias(f"v_{part}") for part in parts[1:]])
     r = _folded(registry, "p", fold).select(
         "event_id", "person_id", "record_id", F.col("birth").alias("p_birth"), "p_last", "p_first", "p_middle")
     limits = (("last", t.surname_ratio, "фамилия"), ("first", t.first_name_ratio, "имя"), ("middle", t.patronymic_ratio, "отчество"))
-    possible = F.lit(True)
-    for part, limit, _ in limits:
-        possible = possible & N.part_possible(f"s_{part}", f"p_{part}", f"v_{part}", limit)
 
-    asked = p.withColumn("_k", F.explode(F.array_distinct(N.report_surname_keys("s_last", "v_last", t.surname_ratio))))
-    known = r.withColumn("_k", F.explode(F.array_distinct(N.registry_surname_keys("p_last", t.surname_ratio))))
-    pairs = asked.join(known, ["event_id", "_k"]).filter(possible).drop("_k").dropDuplicates(["mention_id", "event_id", "place", "seq", "person_id"])
+    def possible(part: str, limit: float) -> Column:
+        return N.part_possible(f"s_{part}", f"p_{part}", f"v_{part}", limit)
+
+    def tested(pairs: DataFrame, *tests: tuple) -> DataFrame:
+        return pairs.withColumns({f"_{part}": N.part_match(f"s_{part}", f"p_{part}", f"v_{part}", limit, label) for part, limit, label in tests})
+
+    names = p.select("event_id", "s_last").distinct().withColumn("v_last", N.variants("s_last", "last"))
+    asked = names.withColumn("_k", F.explode(F.array_distinct(N.report_surname_keys("s_last", "v_last", t.surname_ratio))))
+    known = r.select("event_id", "p_last").distinct().withColumn("_k", F.explode(F.array_distinct(N.registry_surname_keys("p_last", t.surname_ratio))))
+    met = asked.join(known, ["event_id", "_k"]).filter(possible("last", t.surname_ratio)).drop("_k").dropDuplicates(["event_id", "s_last", "p_last"])
+    spelled = tested(met, limits[0]).filter("_last.ok").select("event_id", "s_last", "p_last", "_last")
+
+    pairs = p.join(spelled, ["event_id", "s_last"]).join(r, ["event_id", "p_last"])
+    for part, limit, _ in limits[1:]:
+        pairs = pairs.filter(possible(part, limit))
+    pairs = pairs.dropDuplicates(["mention_id", "event_id", "place", "seq", "person_id"])
 
-    tested = pairs.withColumns(
-        {f"_{part}": N.part_match(f"s_{part}", f"p_{part}", f"v_{part}", limit, label) for part, limit, label in limits})
-    linked = tested.filter("_last.ok AND _first.ok AND _middle.ok")
+    linked = tested(pairs, *limits[1:]).filter("_first.ok AND _middle.ok")
     note = F.concat_ws("; ", "_last.note", "_first.note", "_middle.note")
     kind = (
         F.when((F.col("s_first") == "") & (F.col("s_middle") == ""), "partial")
@@ -83,35 +105,50 @@ def link_candidates(
 def assign(candidates: DataFrame) -> DataFrame:
     """Greedy one-to-one: people in their order take the strongest free row, ties to the first.
 
-    What is gathered are the pairs of one mention and event that passed the name test.
+    The people of a mention and event pass in their order through one task, each with the pairs of theirs that passed the name test;
+    what is kept of those before are the rows they took.
     """
     group = ["mention_id", "event_id"]
     option = F.struct(
         (-F.col("strength")).alias("weak"), "person_id", "record_id", "match_type", "note", "birth_ok")
-    per_person = candidates.groupBy(*group, "place", "seq").agg(F.array_sort(F.collect_list(option)).alias("options"))
-    people = per_person.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("place", "seq", "options"))).alias("people"))
-    result = "array<struct<seq:int,person_id:string,bucket:string,match_type:string,note:string>>"
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(result).alias("out"))
-
-    def step(state: Column, who: Column) -> Column:
-        free = F.filter(who["options"], lambda o: ~F.array_contains(state["used"], o["person_id"].cast("string")))
-        best = F.try_element_at(F.filter(free, lambda o: o["birth_ok"]), F.lit(1))
-        clash = F.array_max(F.transform(
-            F.filter(free, lambda o: ~o["birth_ok"]),
-            lambda o: F.struct(o["person_id"].alias("person_id"), o["record_id"].alias("record_id"))))
-        matched = best.isNotNull()
-        row = F.struct(
-            who["seq"].cast("int").alias("seq"),
-            F.when(matched, best["record_id"]).otherwise(clash["record_id"]).cast("string").alias("person_id"),
-            F.when(matched, "matched").otherwise("possible").alias("bucket"),
-            F.when(matched, best["match_type"]).alias("match_type"), F.when(matched, best["note"]).alias("note"))
-        return F.struct(
-            F.when(matched, F.array_append(state["used"], best["record_id"].cast("string")))
-            .otherwise(state["used"]).alias("used"),
-            F.when(matched | clash.isNotNull(), F.array_append(state["out"], row)).otherwise(state["out"]).alias("out"))
-
-    return people.select(*group, F.explode(F.aggregate("people", start, step)["out"]).alias("r")).select(*group, "r.*")
+    per_person = candidates.filter("person_id IS NOT NULL").groupBy(*group, "place", "seq").agg(
+        F.array_sort(F.collect_list(F.when(F.col("birth_ok"), option))).alias("fits"),
+        F.sort_array(F.collect_list(F.when(~F.col("birth_ok"), F.struct("person_id", "record_id"))), asc=False).alias("clashes"))
+
+    def named(o: Column, *more: str) -> Column:
+        return F.struct(*[o[c].cast("string").alias(c) for c in ("person_id", "record_id", *more)])
+
+    people = per_person.select(
+        *group, "place", "seq", F.transform("fits", lambda o: named(o, "match_type", "note")).alias("fits"), F.transform("clashes", lambda o: named(o)).alias("clashes"))
+    dealt = people.repartition(*group).sortWithinPartitions(*group, "place", "seq").select(
+        *group, F.col("seq").cast("int").alias("seq"), "fits", "clashes")
+    texts = [T.StructField(c, T.StringType()) for c in ("person_id", "bucket", "match_type", "note")]
+    out = T.StructType([*[dealt.schema[c] for c in (*group, "seq")], *texts])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = None, set()
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            at, rows = [], []
+            keys = zip(*[columns[c].to_pylist() for c in group])
+            for i, (here, fits, clashes) in enumerate(zip(keys, columns["fits"].to_pylist(), columns["clashes"].to_pylist())):
+                if here != last:
+                    last, used = here, set()
+                best = next((o for o in fits if o["person_id"] not in used), None)
+                if best is not None:
+                    used.add(best["record_id"])
+                    rows.append((best["record_id"], "matched", best["match_type"], best["note"]))
+                else:
+                    clash = next((o for o in clashes if o["person_id"] not in used), None)
+                    if clash is None:
+                        continue
+                    rows.append((clash["record_id"], "possible", None, None))
+                at.append(i)
+            kept = [columns[c].take(pa.array(at, pa.int64())) for c in (*group, "seq")]
+            values = [pa.array([r[k] for r in rows], pa.string()) for k in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*kept, *values], names=out.fieldNames())
+
+    return dealt.mapInArrow(take, out)
 
 
 def link_persons(
@@ -127,7 +164,7 @@ def link_persons(
     listed = reenter_staff(people, pairs, registry, fold)
     known = registry.withColumn("birth", N.known_birth("birth"))
     # read four times below
-    placed = scale.cut(assign(link_candidates(listed, registry_rows(registry), t, fold)))
+    placed = scale.cut(assign(link_candidates(listed, takeable(registry_rows(registry)), t, fold)))
 
     key = [fold(F.col(c)).alias(f"k_{c}") for c in ("last", "first", "middle")]
     keys = ["k_last", "k_first", "k_middle"]

@@ -104,7 +104,7 @@ def reconcile(mentions: DataFrame, registry: Registry, units: DataFrame, rules:
 
     def overlap(pairs: DataFrame) -> DataFrame:
         listed = pairs.join(own, "mention_id").withColumn("place", F.struct(F.lit(False), "seq"))
-        placed = P.assign(P.link_candidates(listed, P.registry_rows(known.join(pairs.select("event_id").distinct(), "event_id", "left_semi")), t))
+        placed = P.assign(P.link_candidates(listed, P.takeable(P.registry_rows(known.join(pairs.select("event_id").distinct(), "event_id", "left_semi"))), t))
         return placed.filter("bucket = 'matched'").groupBy("mention_id", "event_id").agg(F.count(F.lit(1)).alias("overlap"))
 
     texts = mentions.select("mention_id", "text")

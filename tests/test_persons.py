@@ -242,3 +242,39 @@ def test_a_possible_pair_accounts_for_one_record(spark):
     people = [("m", 1, "Орлов", "Иван", "Ильич", dt.date(1990, 5, 6), None, False)]
     known = [("e", p, "Орлов", "Иван", "Ильич", dt.date(1985, 5, 6)) for p in ("p1", "p2")]
     assert buckets_of(spark, people, known) == [(0, "missing_in_report", "p2"), (1, "possible", "p1")]
+
+
+def test_numbered_surnames_meet_by_their_own_letters(spark):
+    """Names that share most pieces do not all meet, and none that reach the ratio is lost."""
+    import difflib
+    import random
+
+    rnd = random.Random(4)
+    names = [f"n{rnd.randint(0, 3000):09d}" for _ in range(120)] + [f"n{rnd.randint(0, 300):09d}" for _ in range(60)]
+    names = sorted(set(names) | {n[:3] + n[4:] for n in names[:30]} | {n[::-1] for n in names[:30]})
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for threshold, most in ((0.9, 0.1), (0.75, 1.0)):
+        asked = df.select(F.col("n").alias("a"), F.explode(N.report_surname_keys("n", N.variants("n", "last"), threshold)).alias("k"))
+        known = df.select(F.col("n").alias("b"), F.explode(N.registry_surname_keys("n", threshold)).alias("k"))
+        met = {tuple(r) for r in asked.join(known, "k").select("a", "b").distinct().collect()}
+        alike = {(a, b) for a in names for b in names if difflib.SequenceMatcher(None, a, b).ratio() >= threshold}
+        assert alike <= met and len(met) <= most * len(names) ** 2
+
+
+def test_equal_records_are_enough_by_those_a_match_can_tell_apart(spark):
+    import random
+
+    rnd = random.Random(6)
+    births = [None, dt.date(1990, 3, 3), dt.date(1991, 4, 4)]
+    people = [(f"m{i % 7}", f"e{i % 7}", i, i, rnd.choice(["орлов", "климов"]), rnd.choice(["", "иван", "и"]), "", rnd.choice(births)) for i in range(160)]
+    known = [(f"e{i % 7}", f"p{rnd.randint(0, 60):02d}", rnd.choice(["орлов", "климов"]), "иван", "", births[rnd.randint(1, 2)]) for i in range(200)]
+    # a person stands once in an event, apart from a repeated row
+    known = list({k[:2]: k for k in known}.values())
+    p = spark.createDataFrame(people, "mention_id string, event_id string, seq int, place int, last string, first string, middle string, birth date")
+    rows = P.registry_rows(spark.createDataFrame(known + known[:20], REGISTRY))
+    fewer = P.takeable(rows)
+    out = [sorted((tuple(r) for r in P.assign(P.link_candidates(p, r)).collect()), key=str) for r in (rows, fewer)]
+    assert out[0] == out[1] and {r[4] for r in out[0]} == {"matched", "possible"}
+    assert fewer.count() < rows.distinct().count()
+    free = {k[:2] for k in known}
+    assert {(r["event_id"], r["person_id"]) for r in fewer.collect()} <= free
