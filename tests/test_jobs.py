@@ -538,3 +538,17 @@ def test_vector_matches_hold_a_bounded_number_of_scores(spark, monkeypatch):
         seen.extend(apply(left.toPandas(), prepare(right.toPandas()))), df)[1])
     V.vector_matches(df, other, row_key="row", entry_key="entry", min_score=-1.0)
     assert len(seen) > 1 and max(map(len, seen)) <= 1_000 and len(pd.concat(seen)) == 8_100
+
+
+def test_text_tables_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    from reconlink.queries import registry
+
+    rows = [(i, "одно и то же " * 400 if i % 50 else None) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    size = sum(len(x.encode()) for _, x in rows if x)
+    dealt = lambda: registry.Tables(spark, str(tmp_path)).documents
+    cores = spark.sparkContext.defaultParallelism
+    assert dealt().rdd.getNumPartitions() == cores
+    monkeypatch.setattr(registry, "PART_BYTES", 100_000)
+    assert dealt().rdd.getNumPartitions() == -(-size // 100_000) > cores
+    assert sorted(tuple(r) for r in dealt().collect()) == rows
