@@ -209,3 +209,32 @@ def test_long_lists_of_spans_are_merged_and_picked_in_step_with_their_length(spa
     pairs = [(i * 14, i * 14 + 13) for i in range(15_000)]
     assert [(s["start"], s["end"]) for s in row["m"]] == pairs and [(s["start"], s["end"]) for s in row["g"]] == pairs
     assert time.time() - begun < 60
+
+
+def test_windows_walk_their_source_once_per_start(spark):
+    import time
+
+    from reconlink.functions.windows import windows_by_size, windows_by_start
+
+    words = [f"w{i}" for i in range(300)]
+    source = "–" * 1_000_000 + "".join(w + "., "[: i % 4] + " " for i, w in enumerate(words))
+    at = [source.index(w + source[source.index(w) + len(w)]) for w in words]
+    df = spark.createDataFrame([(source,)], "t string").coalesce(1).localCheckpoint()
+
+    def timed(make, sizes, cap=None):
+        began = time.time()
+        got = df.select(make("t", sizes, cap).alias("w")).first()["w"]
+        return time.time() - began, [(w["text"], w["start"], w["end"], w["tokens"]) for w in got]
+
+    def want(z, s, joined):
+        end = at[s + z - 1] + len(words[s + z - 1])
+        return (" ".join(words[s : s + z]) if joined else source[at[s] : end].strip(), at[s], end, words[s : s + z])
+
+    timed(windows_by_size, (10, 10))
+    one, _ = timed(windows_by_size, (10, 10))
+    seven, got = timed(windows_by_size, (4, 10))
+    assert got == [want(z, s, False) for z in range(4, 11) for s in range(300 - z + 1)]
+    assert timed(windows_by_size, (4, 10), 5)[1] == got[:5]
+    by_start = [want(z, s, True) for s in range(300) for z in range(1, 4) if s + z <= 300]
+    assert timed(windows_by_start, (1, 3))[1] == by_start and timed(windows_by_start, (1, 3), 7)[1] == by_start[:7]
+    assert seven < 3 * one + 1
