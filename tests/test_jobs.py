@@ -219,6 +219,18 @@ def test_contained_names_against_loop(spark):
     assert sorted(tuple(r) for r in found if r["t"] is not None) == want and {r["n"] for r in found if r["t"] is None} == {2, 5, 6, 9}
 
 
+def test_words_of_texts_stay_where_the_index_is_small(spark, monkeypatch):
+    rnd = random.Random(5)
+    texts = spark.createDataFrame([(i, "".join(rnd.choice("абв ") for _ in range(50))) for i in range(30)], "t int, text string")
+    names = spark.createDataFrame([(i, "".join(rnd.choice("абв ") for _ in range(rnd.randint(1, 4)))) for i in range(20)], "n int, name string")
+    args = dict(text_key="t", text="text", name_key="n", name="name")
+    found = D.contained_names(texts, names, **args)
+    assert "strategy=broadcast" in found._jdf.queryExecution().logical().toString() + found._jdf.queryExecution().analyzed().toString()
+    # a large index meets the words by a join of salted keys, with the same result
+    monkeypatch.setattr(D, "fits", lambda df: False)
+    assert {tuple(r) for r in D.contained_names(texts, names, **args).collect()} == {tuple(r) for r in found.collect()} != set()
+
+
 def test_vectors_against_numpy(spark):
     import numpy as np
 
