@@ -92,3 +92,18 @@ def test_texts_that_surely_stay_are_not_shuffled(spark, monkeypatch):
     few = df.select("doc_id").where("doc_id IN (3, 100)")
     marked = {r["doc_id"] for r in N.perhaps(df, few, "doc_id", "_m").where("_m").collect()}
     assert {3, 100} <= marked and None not in marked
+
+
+def test_pairs_behind_refused_links_are_checked(spark):
+    """Texts of the same words in any order share all buckets, where a forest of links to the first of them says nothing of the others."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(15):
+        rnd.shuffle(words)
+        copy = list(words)
+        copy[60], copy[61] = copy[61], copy[60]
+        texts += [" ".join(words), " ".join(copy)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["group"] for r in N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
