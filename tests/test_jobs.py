@@ -3,6 +3,7 @@ import io
 import itertools
 import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window as W, functions as F
@@ -564,3 +565,24 @@ def test_text_tables_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(registry, "PART_BYTES", 100_000)
     assert dealt().rdd.getNumPartitions() == -(-size // 100_000) > cores
     assert sorted(tuple(r) for r in dealt().collect()) == rows
+
+
+def _first_join(plan):
+    while not plan.nodeName() == "Join":
+        plan = plan.children().head()
+    return plan
+
+
+def test_person_lookup_does_not_join_its_results_again(spark):
+    mentions = spark.createDataFrame([(1, 7, True), (2, 7, True), (3, 8, False), (3, 8, False)], "mention_id long, unit_id long, high_conf boolean")
+    people = mentions.selectExpr("mention_id", "1 AS seq", "'a' AS surname", "'none' AS mode", "CAST(NULL AS DATE) AS birth", "CAST(NULL AS INT) AS birth_year")
+    events = spark.createDataFrame([(10, 7), (11, 9)], "event_id long, unit_id long").selectExpr("event_id", "unit_id", "TIMESTAMP '2024-01-01' AS event_ts")
+    known = events.selectExpr("event_id", "'a' AS surname", "CAST(NULL AS DATE) AS birth")
+    out = L.by_persons(mentions, people, known, events)
+    rows = Counter((r["mention_id"], r["event_id"], r["path"]) for r in out.collect())
+    assert rows == {(1, 10, "person_unit"): 1, (2, 10, "person_unit"): 1, (3, 10, "person_only"): 16, (3, 11, "person_only"): 16}
+    union = out._jdf.queryExecution().analyzed()
+    while union.nodeName() != "Union":
+        union = union.children().head()
+    for i in range(union.children().size()):
+        assert "_k" in _first_join(union.children().apply(i)).condition().get().toString()
