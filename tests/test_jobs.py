@@ -586,3 +586,25 @@ def test_person_lookup_does_not_join_its_results_again(spark):
         union = union.children().head()
     for i in range(union.children().size()):
         assert "_k" in _first_join(union.children().apply(i)).condition().get().toString()
+
+
+def test_shared_key_scores_read_the_pairs_once(spark):
+    mentions = spark.createDataFrame([(0, 0, 5, 1), (1, 0, 5, 1), (1, 9, 6, 2), (2, 0, None, None)], "mention_id long, s int, unit_id long, k long").withColumn(
+        "ts", F.timestamp_seconds("s"))
+    events = spark.createDataFrame([(0, 0, 5, 1), (1, 99, 6, 1), (1, 0, 6, 2), (1, 0, 6, 2), (2, 9, 5, None)], "event_id long, s int, unit_id long, k long").withColumn(
+        "event_ts", F.timestamp_seconds("s"))
+    pairs = spark.range(9).selectExpr("id div 3 AS mention_id", "id % 3 AS event_id")
+    own = L.SharedKey(mentions, events, "k")
+    joined = L.score(pairs, mentions, events, own)
+    plain = L.score(pairs, mentions, events, lambda p: own(p))
+    assert Counter(joined.collect()) == Counter(plain.collect())
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_near_pairs_compare_numbers(spark):
+    """What a time join checks per pair of a bucket is made once per row."""
+    near = L.around(spark.sql("SELECT 1L AS mention_id, TIMESTAMP_NTZ '2024-01-01 10:00:00' AS ts, 1L AS unit_id"),
+                    spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ '2024-01-01 09:29:59' + make_dt_interval(0, 0, id) AS event_ts, 1L AS unit_id FROM range(70)"), 1800)
+    assert sorted(r["event_id"] for r in near.collect()) == list(range(1, 61))
+    plan = near._jdf.queryExecution().analyzed().toString()
+    assert "unix_micros" not in next(line for line in plan.splitlines() if "Filter" in line)
