@@ -34,11 +34,13 @@ def slice_by_markers(elements: DataFrame, begin: str = "[BEGIN]", end: str = "[E
 def marker_summary(elements: DataFrame, begin: str = "[BEGIN]", end: str = "[END]") -> DataFrame:
     """doc_id, markers_found, segments_count, kept_elements."""
     lowered = F.lower("text")
-    begins, ends = F.contains(lowered, F.lit(begin.lower())), F.contains(lowered, F.lit(end.lower()))
-    marked = marker_state(elements, ["doc_id"], ["idx"], begins, ends)
+    # what is asked of a text is taken before the rows are placed and kept: no text goes along
+    rows = elements.select("doc_id", "idx", F.contains(lowered, F.lit(begin.lower())).alias("_begins"), F.contains(lowered, F.lit(end.lower())).alias("_ends"),
+                           (without_markers("text", begin, end) != "").alias("_filled"))
+    marked = marker_state(rows, ["doc_id"], ["idx"], F.col("_begins"), F.col("_ends"))
     return marked.groupBy("doc_id").agg(
-        F.bool_or(begins | ends).alias("markers_found"), F.max("segment").cast("int").alias("segments_count"),
-        F.count_if(F.col("inside") & (without_markers("text", begin, end) != "")).alias("kept_elements"))
+        F.bool_or(F.col("_begins") | F.col("_ends")).alias("markers_found"), F.max("segment").cast("int").alias("segments_count"),
+        F.count_if(F.col("inside") & F.col("_filled")).alias("kept_elements"))
 
 
 def _around(lines: scale.Ordered, text_col: str = "text") -> scale.Ordered:
@@ -127,9 +129,10 @@ def anchored_ranges(elements: DataFrame, doc_templates: DataFrame, anchors: Data
     sized = scale.segmented_scan(
         elements.select("doc_id", "idx", F.length("text").alias("_len")), ["doc_id"], ["idx"],
         {"_chars": ("sum", F.col("_len") + 1), "_no": ("count", F.lit(1))})
-    numbered = elements.select("doc_id", "idx", "text").join(sized.select("doc_id", "idx", "_chars", "_no"), ["doc_id", "idx"])
     totals = sized.groupBy("doc_id").agg(F.max("_no").cast("int").alias("_total"), F.max("_chars").alias("_all_chars"))
-    scores = anchor_scores(numbered, doc_templates, anchors, t).join(sized, ["doc_id", "idx"])
+    # places are joined to the few lines that are good enough, not to all texts; once more for lines that share an idx
+    scores = anchor_scores(elements.select("doc_id", "idx", "text"), doc_templates, anchors, t).join(
+        sized.select("doc_id", "idx"), ["doc_id", "idx"]).join(sized, ["doc_id", "idx"])
     hit = F.struct((-F.col("score")).alias("weak"), (F.col("_no") - 1).cast("int").alias("no"), F.col("_chars").alias("chars"),
                    F.col("_len").alias("len"))
     hits = scores.groupBy("doc_id", "seg").agg(

@@ -608,3 +608,13 @@ def test_near_pairs_compare_numbers(spark):
     assert sorted(r["event_id"] for r in near.collect()) == list(range(1, 61))
     plan = near._jdf.queryExecution().analyzed().toString()
     assert "unix_micros" not in next(line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_marker_summary_keeps_no_texts(spark, monkeypatch):
+    """Rows that are placed in order and kept for the markers carry what was asked of a text, not the text."""
+    seen, of = [], SL.scale.Ordered.of
+    monkeypatch.setattr(SL.scale.Ordered, "of", staticmethod(lambda df, *more, **named: (seen.append(df.columns), of(df, *more, **named))[1]))
+    rows = [(1, 0, "a [begin]"), (1, 1, "b"), (1, 2, "[END]"), (2, 0, "c"), (3, 0, "[BEGIN]"), (3, 1, None)]
+    out = SL.marker_summary(spark.createDataFrame(rows, "doc_id int, idx int, text string"))
+    assert sorted(map(tuple, out.collect())) == [(1, True, 1, 2), (2, False, 0, 0), (3, True, 1, 0)]
+    assert seen and all("text" not in columns for columns in seen)
